@@ -15,36 +15,71 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def format_gauge(c) -> Column:
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``body(x)`` with ``x`` bound to ``value`` once (a one-element
+    array through ``transform``), instead of repeating ``value``'s tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _exact_batch(s):
+    import numpy as np
+    import pandas as pd
+    out = [None if pd.isna(x) else np.format_float_positional(x, unique=True, trim="-") for x in s]
+    return pd.Series(out, dtype=object)
+
+
+_EXACT = {}
+
+
+def _exact_udf():
+    # Built on first use: a pandas UDF needs an active session.
+    if "f" not in _EXACT:
+        _EXACT["f"] = F.pandas_udf(_exact_batch, "string")
+    return _EXACT["f"]
+
+
+def format_gauge(c, exact: bool = True) -> Column:
     """Gauge text the way the service prints it (FN-1).
 
     Shortest round-trip digits in positional notation, never an exponent,
     no trailing ``.0``; ``NaN``, ``+Inf``, ``-Inf`` and ``-0`` spelled out.
-    Built from string expressions so it stays inside whole-stage codegen.
+
+    The digits come from Spark's double-to-string (JVM-side string
+    expressions, moved to positional form).  Java 17 sometimes prints one
+    or two digits more than the shortest form, only when it prints 16 or
+    more digits; with ``exact`` those rare values (and only those; all other
+    rows pass a null) go through an Arrow-batched shortest-digits routine.
     """
     v = _col(c)
     s = F.abs(v).cast("string")
-    int_digits = F.regexp_extract(s, _JAVA_DOUBLE_RE, 1)
-    frac_digits = F.regexp_extract(s, _JAVA_DOUBLE_RE, 2)
     exp_text = F.regexp_extract(s, _JAVA_DOUBLE_RE, 3)
-    exponent = F.when(exp_text == "", F.lit(0)).otherwise(exp_text.cast("int"))
-    digits = F.concat(int_digits, frac_digits)
-    point = F.length(int_digits) + exponent
-    positional = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."),
-                            F.substring(digits, point + 1, F.length(digits))))
-    )
-    trimmed = F.when(F.instr(positional, ".") > 0,
-                     F.regexp_replace(F.regexp_replace(positional, "0+$", ""), r"\.$", "")
-                     ).otherwise(positional)
+    parts = F.struct(
+        F.concat(F.regexp_extract(s, _JAVA_DOUBLE_RE, 1), F.regexp_extract(s, _JAVA_DOUBLE_RE, 2)).alias("d"),
+        (F.length(F.regexp_extract(s, _JAVA_DOUBLE_RE, 1))
+         + F.when(exp_text == "", F.lit(0)).otherwise(exp_text.cast("int"))).alias("p"))
+
+    def positional(x):
+        d, p = x["d"], x["p"]
+        return (F.when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+                .when(p >= F.length(d), F.rpad(d, p, "0"))
+                .otherwise(F.concat(F.substring(d, F.lit(1), p), F.lit("."),
+                                    F.substring(d, p + 1, F.length(d)))))
+
+    def trim(t):
+        return F.when(F.instr(t, ".") > 0,
+                      F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
+
+    body = _bind(parts, lambda x: _bind(positional(x), trim))
     negative = F.startswith(v.cast("string"), F.lit("-"))
+    native = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), body)
+    if exact:
+        long_digits = F.length(F.regexp_replace(s, r"[^0-9]|E.*$", "")) >= 16
+        native = F.coalesce(_exact_udf()(F.when(long_digits & ~F.isnan(v), v)), native)
     return (F.when(v.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(v), F.lit("NaN"))
             .when(v == float("inf"), F.lit("+Inf"))
             .when(v == float("-inf"), F.lit("-Inf"))
-            .otherwise(F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), trimmed)))
+            .otherwise(native))
 
 
 def format_counter(c) -> Column:

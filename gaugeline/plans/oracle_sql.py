@@ -87,3 +87,57 @@ def gauge_text(x: str) -> str:
 def metric_text(kind: str, delta: str, value: str) -> str:
     return (f"CASE WHEN {kind} = 'gauge' THEN {gauge_text(value)} "
             f"WHEN {kind} = 'counter' THEN CAST({delta} AS VARCHAR) END")
+
+
+def hmac_sql(body_blob: str, key: str) -> str:
+    """HMAC-SHA256 hex in DuckDB from the padded keys."""
+    from gaugeline.functions.signing import hmac_pads
+    ipad, opad = hmac_pads(key)
+    return (f"sha256(unhex('{opad.hex()}') || unhex(sha256(unhex('{ipad.hex()}') || {body_blob})))")
+
+
+# Batch bodies rebuilt as JSON text (element order = pos; null fields
+# omitted; the same two defects as sources.updates.batch_bodies).
+BODIES = """
+el AS (
+  SELECT batch_id, pos, seq, user_id, ts, delta, id,
+         '{"id":"' || id || '","type":"' || type || '"'
+         || COALESCE(',"delta":' || CAST(delta AS VARCHAR), '')
+         || COALESCE(',"value":' || CAST(value AS VARCHAR), '') || '}' AS e
+  FROM u),
+bb AS (
+  SELECT batch_id, '[' || string_agg(e, ',' ORDER BY pos) || ']' AS body0,
+         bool_or(delta IS NOT NULL) AS has_delta, MIN(seq) AS first_seq, MIN(ts) AS arrival_ts,
+         MIN(user_id) AS user_id
+  FROM el GROUP BY batch_id),
+b AS (
+  SELECT *, CASE WHEN batch_id % 17 = 16 THEN substring(body0, 1, length(body0) - 1)
+                 WHEN batch_id % 17 = 15 THEN regexp_replace(body0, '"delta":(-?[0-9]+)', '"delta":"\\1"', 'g')
+                 ELSE body0 END AS body,
+         (batch_id % 17 = 16 OR (batch_id % 17 = 15 AND has_delta)) AS undecodable
+  FROM bb)"""
+
+
+def requests_cte(key: str) -> str:
+    """Request envelopes over BODIES (same rules as request_envelopes)."""
+    right = hmac_sql("encode(body)", key)
+    wrong = hmac_sql("encode(body || ' ')", key)
+    return f"""
+req AS (
+  SELECT *,
+         '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.1:' || CAST(1024 + first_seq % 1000 AS VARCHAR) AS remote_addr,
+         CASE WHEN batch_id % 3 = 0 THEN '192.168.0.' || CAST(batch_id % 250 AS VARCHAR) END AS real_ip,
+         CASE WHEN batch_id % 3 = 1 THEN ' 172.16.0.' || CAST(batch_id % 250 AS VARCHAR) || ', 10.9.9.9' END AS xff,
+         {right} AS right_hash,
+         CASE WHEN batch_id % 5 <> 0 THEN {right} WHEN batch_id % 10 = 0 THEN {wrong} END AS hash
+  FROM b)"""
+
+
+_SP = r"[\s\x{85}\p{Z}]"
+
+
+def client_ip_sql(real: str, xff: str, remote: str) -> str:
+    hop = f"split_part(COALESCE({xff}, ''), ',', 1)"
+    fromh = f"CASE WHEN COALESCE({real}, '') <> '' THEN {real} ELSE {hop} END"
+    ip = f"CASE WHEN {fromh} <> '' THEN {fromh} ELSE regexp_replace(COALESCE({remote}, ''), ':[^:]*$', '') END"
+    return f"regexp_replace({ip}, '^{_SP}+|{_SP}+$', '', 'g')"

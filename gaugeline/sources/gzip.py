@@ -24,16 +24,24 @@ def _inflate_one(b):
         return None
 
 
-@F.pandas_udf("binary")
-def _inflate(s: pd.Series) -> pd.Series:
+def _inflate_batch(s: pd.Series) -> pd.Series:
     return s.map(_inflate_one)
 
 
-@F.pandas_udf("binary")
-def _deflate(s: pd.Series) -> pd.Series:
+def _deflate_batch(s: pd.Series) -> pd.Series:
     return s.map(lambda b: None if b is None else gzip.compress(b, mtime=0))
 
 
+_UDFS: dict = {}
+
+
+def _udf(name, fn):
+    # Built on first use: a pandas UDF needs an active session.
+    if name not in _UDFS:
+        _UDFS[name] = F.pandas_udf(fn, "binary")
+    return _UDFS[name]
+
+
 def is_gzip(content_encoding) -> Column:
     """The request is compressed when its Content-Encoding contains 'gzip'."""
     c = F.col(content_encoding) if isinstance(content_encoding, str) else content_encoding
@@ -42,10 +50,10 @@ def is_gzip(content_encoding) -> Column:
 
 def inflate(body) -> Column:
     """Binary body inflated, or null when it is not valid gzip."""
-    return _inflate(F.col(body) if isinstance(body, str) else body)
+    return _udf("inflate", _inflate_batch)(F.col(body) if isinstance(body, str) else body)
 
 
 def deflate(body) -> Column:
     """Gzip of a binary (or text, as UTF-8) body."""
     c = F.col(body) if isinstance(body, str) else body
-    return _deflate(c.cast("binary"))
+    return _udf("deflate", _deflate_batch)(c.cast("binary"))

@@ -60,7 +60,8 @@ def write_state_version(state: DataFrame, root: str, version: int | None = None)
     if version is None:
         cur = current_version(spark, root)
         version = 0 if cur is None else cur + 1
-    (state.repartition("type", "id").sortWithinPartitions("type", "id")
+    # A folded state is already hash-partitioned by (type, id); only sort.
+    (state.sortWithinPartitions("type", "id")
      .write.mode("overwrite").partitionBy("type").parquet(f"{root}/v={version}"))
     _set_pointer(spark, root, version)
     return version
