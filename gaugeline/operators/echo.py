@@ -34,9 +34,20 @@ def running_aggregates(df: DataFrame, keys: list[str], order: str, sums: dict[st
     so far.  ``order`` must be a unique bigint within a key.
     """
     sums, lasts = sums or {}, lasts or {}
-    b = df.withColumn("_bkt", F.floor(F.col(order) / span).cast("bigint"))
+    b = df.withColumn("_bkt", F.expr(f"`{order}` div {int(span)}"))
     part = [*keys, "_bkt"]
 
+    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = b.select(
+        "*",
+        *[F.sum(c).over(upto).alias(f"_ls_{i}") for i, c in enumerate(sums)],
+        *[F.last(c, ignorenulls=True).over(upto).alias(f"_ll_{i}") for i, c in enumerate(lasts)])
+
+    # Bucket summaries: a partial/final aggregate over the input, so only
+    # one partial row per (key, bucket) and task crosses the network.
+    # (Deriving them from the level-1 output instead looks cheaper but makes
+    # Spark shuffle the full input a second time: column pruning keeps the
+    # two exchanges from being shared.)
     summary_aggs = [F.sum(c).alias(f"_bs_{i}") for i, c in enumerate(sums)]
     summary_aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_bl_{i}")
                      for i, c in enumerate(lasts)]
@@ -47,13 +58,10 @@ def running_aggregates(df: DataFrame, keys: list[str], order: str, sums: dict[st
         *[F.sum(f"_bs_{i}").over(before).alias(f"_os_{i}") for i, _ in enumerate(sums)],
         *[F.last(f"_bl_{i}", ignorenulls=True).over(before).alias(f"_ol_{i}") for i, _ in enumerate(lasts)])
 
-    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = b.select(
-        "*",
-        *[F.sum(c).over(upto).alias(f"_ls_{i}") for i, c in enumerate(sums)],
-        *[F.last(c, ignorenulls=True).over(upto).alias(f"_ll_{i}") for i, c in enumerate(lasts)])
-
-    j = local.join(offsets, part, "inner")
+    # Null-safe on the key so rows with a null key keep their own group.
+    off = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in part],
+                         *[c for c in offsets.columns if c not in part])
+    j = local.join(off, [local[c].eqNullSafe(off[f"_k_{c}"]) for c in part], "inner")
     outs = {}
     for i, out in enumerate(sums.values()):
         ls, os_ = F.col(f"_ls_{i}"), F.col(f"_os_{i}")
@@ -61,7 +69,7 @@ def running_aggregates(df: DataFrame, keys: list[str], order: str, sums: dict[st
             F.coalesce(os_, F.lit(0)) + F.coalesce(ls, F.lit(0)))
     for i, out in enumerate(lasts.values()):
         outs[out] = F.coalesce(F.col(f"_ll_{i}"), F.col(f"_ol_{i}"))
-    tmp = [c for c in j.columns if c.startswith(("_ls_", "_ll_", "_os_", "_ol_"))] + ["_bkt"]
+    tmp = [c for c in j.columns if c.startswith(("_ls_", "_ll_", "_os_", "_ol_", "_k_"))] + ["_bkt"]
     return j.withColumns(outs).drop(*tmp)
 
 

@@ -42,7 +42,7 @@ def update_log(events: DataFrame, dirty: bool = True) -> DataFrame:
         present = eid % MISSING_EVERY != MISSING_EVERY - 1
     return e.select(
         eid.alias("seq"),
-        F.floor(eid / BATCH_ROWS).cast("bigint").alias("batch_id"),
+        F.expr(f"event_id div {BATCH_ROWS}").alias("batch_id"),
         (eid % BATCH_ROWS).cast("int").alias("pos"),
         kind.alias("type"),
         F.when(even, F.concat(F.lit("hits_"), F.col("event_type")))
