@@ -47,8 +47,9 @@ def format_gauge(c, exact: bool = True) -> Column:
     The digits come from Spark's double-to-string (JVM-side string
     expressions, moved to positional form).  Java 17 sometimes prints one
     or two digits more than the shortest form, only when it prints 16 or
-    more digits; with ``exact`` those rare values (and only those; all other
-    rows pass a null) go through an Arrow-batched shortest-digits routine.
+    more digits, and for subnormals; with ``exact`` those rare values (and
+    only those; all other rows pass a null) go through an Arrow-batched
+    shortest-digits routine.
     """
     v = _col(c)
     s = F.abs(v).cast("string")
@@ -73,8 +74,11 @@ def format_gauge(c, exact: bool = True) -> Column:
     negative = F.startswith(v.cast("string"), F.lit("-"))
     native = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), body)
     if exact:
+        # Subnormals too: with so few significant bits Java keeps a second
+        # digit ("4.9E-324") where one suffices.
         long_digits = F.length(F.regexp_replace(s, r"[^0-9]|E.*$", "")) >= 16
-        native = F.coalesce(_exact_udf()(F.when(long_digits & ~F.isnan(v), v)), native)
+        subnormal = (F.abs(v) < F.lit(2.2250738585072014e-308)) & (v != 0)
+        native = F.coalesce(_exact_udf()(F.when((long_digits | subnormal) & ~F.isnan(v), v)), native)
     return (F.when(v.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(v), F.lit("NaN"))
             .when(v == float("inf"), F.lit("+Inf"))

@@ -1,0 +1,9 @@
+"""Structured Streaming forms of the fold, the batch apply, snapshots,
+poll windows and audit (STR-1..STR-5)."""
+
+from gaugeline.streaming.fold import continuous_fold, start_continuous_fold, start_periodic_snapshot
+from gaugeline.streaming.apply import apply_epoch, start_batch_apply
+from gaugeline.streaming.ticks import poll_windows, start_poll_windows
+
+__all__ = ["continuous_fold", "start_continuous_fold", "start_periodic_snapshot", "apply_epoch",
+           "start_batch_apply", "poll_windows", "start_poll_windows"]

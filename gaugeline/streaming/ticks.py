@@ -13,8 +13,23 @@ def poll_windows(samples: DataFrame, producer: str, ts: str, value: str, seq: st
     On a stream, pass ``watermark`` so windows close and append mode can
     emit them; late rows beyond it are dropped by Spark.
     """
-    df = samples.withWatermark(ts, watermark) if watermark else samples
+    # Event time must be a TIMESTAMP for watermarks; the data's naive
+    # timestamps are read as UTC wall-clock times (session time zone).
+    df = samples.withColumn(ts, F.col(ts).cast("timestamp"))
+    df = df.withWatermark(ts, watermark) if watermark else df
     return (df.groupBy(producer, F.window(ts, width).alias("w"))
             .agg(F.count(F.lit(1)).alias("poll_count"), F.max_by(value, seq).alias("last_value"))
             .select(producer, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "poll_count", "last_value"))
+
+
+def start_poll_windows(samples: DataFrame, producer: str, ts: str, value: str, seq: str,
+                       width: str, watermark: str, query_name: str, checkpoint: str | None = None,
+                       sink: str = "memory", trigger: dict | None = None):
+    """STR-4 on a stream: append mode emits each window once the watermark
+    passes its end."""
+    from gaugeline.session import checkpoint_root
+    ck = checkpoint or f"{checkpoint_root(samples.sparkSession)}/streams/{query_name}"
+    out = poll_windows(samples, producer, ts, value, seq, width, watermark)
+    return (out.writeStream.outputMode("append").format(sink).queryName(query_name)
+            .option("checkpointLocation", ck).trigger(**(trigger or {"availableNow": True})).start())
