@@ -188,3 +188,34 @@ def src_gzip(spark, sf_dir):
     z = b.select("batch_id", "body", deflate("body").alias("gz"))
     return z.select("batch_id", (inflate("gz").cast("string") == F.col("body")).alias("roundtrip_ok"),
                     F.octet_length("gz").cast("bigint").alias("gz_bytes"))
+
+
+# ------------------------------------------------------------ snapshots --
+
+def _scratch(spark, name, sf_dir):
+    from gaugeline.session import checkpoint_root
+    return f"{checkpoint_root(spark)}/{name}/{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+
+
+@register("src_snapshot", q.with_(q.U, q.C, q.ACC, q.STATE) + " SELECT id, type, delta, value FROM st")
+def src_snapshot(spark, sf_dir):
+    """SRC-4: the folded state written as a one-array snapshot file (the
+    interchange form) and scanned back with array positions."""
+    from gaugeline.sinks import write_snapshot_array
+    from gaugeline.sources import read_snapshot
+    path = _scratch(spark, "snapshot_array", sf_dir)
+    write_snapshot_array(state(spark, sf_dir), path)
+    return read_snapshot(spark, path, whole_array=True).select("id", "type", "delta", "value")
+
+
+@register("snapshot_roundtrip", q.with_(q.U, q.C, q.ACC, q.STATE) + """
+ SELECT type, id, delta, value FROM st WHERE NOT (type = 'counter' AND delta = 0)""")
+def snapshot_roundtrip(spark, sf_dir):
+    """SNK-1 → SRC-4 → MRG-4: state saved as JSON Lines by all tasks, then
+    restored into an empty store (a zero counter is not re-created)."""
+    from gaugeline.sinks import write_snapshot
+    from gaugeline.sources import read_snapshot
+    path = _scratch(spark, "snapshot_lines", sf_dir)
+    write_snapshot(state(spark, sf_dir), path)
+    empty = spark.createDataFrame([], "type string, id string, delta bigint, value double")
+    return op.restore_merge(empty, read_snapshot(spark, path)).select("type", "id", "delta", "value")
