@@ -164,30 +164,34 @@ def poll_windows(spark, sf_dir):
                     "poll_count", "last_value")
 
 
-# ------------------------------------------------- rows-only (no oracle) --
+# ------------------------------------------------ encodings round trips --
 
-@register("state_map")
+@register("state_map", q.with_(q.U, q.C, q.ACC, q.STATE) + " SELECT type, id, delta, value FROM st")
 def state_map(spark, sf_dir):
-    """AGG-6: state documents, split in hash buckets of bounded size."""
+    """AGG-6: state encoded as JSON map documents (hash buckets of bounded
+    size) and decoded back into rows."""
     s = state(spark, sf_dir)
-    return op.state_documents(s, buckets=4)
+    return op.documents_to_rows(op.state_documents(s, buckets=4)).select("type", "id", "delta", "value")
 
 
-@register("signed_batches")
+@register("signed_batches", q.with_(q.U, q.BODIES) + f"""
+ SELECT batch_id, CAST(strlen(body0) AS BIGINT) AS json_bytes, {q.hmac_sql('encode(body0)', SIGNING_KEY)} AS hash
+ FROM bb""")
 def signed_batches(spark, sf_dir):
-    """SNK-5: per batch JSON body, byte length and HMAC."""
+    """SNK-5: per batch the JSON array body's byte length and its HMAC."""
     from gaugeline.sinks import signed_batches as sb
     return sb(updates(spark, sf_dir), SIGNING_KEY).select("batch_id", "json_bytes", "hash")
 
 
-@register("src_gzip")
+@register("src_gzip", q.with_(q.U, q.BODIES) + """
+ SELECT batch_id, TRUE AS roundtrip_ok, CAST(strlen(body0) AS BIGINT) AS body_bytes FROM bb""")
 def src_gzip(spark, sf_dir):
     """SRC-6: bodies gzipped and inflated back through the Arrow UDF."""
     from gaugeline.sources.gzip import deflate, inflate
     b = batch_bodies(updates(spark, sf_dir), corrupt=False)
     z = b.select("batch_id", "body", deflate("body").alias("gz"))
     return z.select("batch_id", (inflate("gz").cast("string") == F.col("body")).alias("roundtrip_ok"),
-                    F.octet_length("gz").cast("bigint").alias("gz_bytes"))
+                    F.octet_length("body").cast("bigint").alias("body_bytes"))
 
 
 # ------------------------------------------------------------ snapshots --
