@@ -149,3 +149,35 @@ def truncate_body(spark, sf_dir):
     return d.select("doc_id", F.octet_length("text").cast("bigint").alias("body_bytes"),
                     (F.octet_length("text") > 512).alias("truncated"),
                     fn.byte_prefix_hex("text", 512).alias("preview_hex"))
+
+
+@register("single_update_echo", q.with_(q.U) + """
+ , d AS (SELECT seq, CASE WHEN seq % 17 <> 16 THEN id END AS id, CASE WHEN seq % 17 <> 16 THEN type END AS type,
+                CASE WHEN seq % 17 <> 16 THEN delta END AS delta, CASE WHEN seq % 17 <> 16 THEN value END AS value,
+                seq % 17 <> 16 AS decode_ok FROM u)
+ , k AS (SELECT *, CASE WHEN NOT decode_ok THEN 3 WHEN type = 'gauge' AND value IS NULL THEN 1
+                        WHEN type = 'counter' AND delta IS NULL THEN 1
+                        WHEN type IS NULL OR type NOT IN ('gauge', 'counter') THEN 2 ELSE 0 END AS err_code FROM d)
+ , ok AS (SELECT seq, id, type, value,
+                 CAST(SUM(delta) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total
+          FROM k WHERE err_code = 0 AND type = 'counter')
+ SELECT k.seq, CASE WHEN k.err_code = 0 THEN 200 ELSE 400 END AS status,
+        CASE k.err_code WHEN 1 THEN 'bad metric value' WHEN 2 THEN 'invalid metric type' WHEN 3 THEN 'decode error' END AS err,
+        CASE WHEN k.err_code = 0 THEN k.id END AS id, CASE WHEN k.err_code = 0 THEN k.type END AS type,
+        ok.total AS delta, CASE WHEN k.err_code = 0 AND k.type = 'gauge' THEN k.value END AS value
+ FROM k LEFT JOIN ok ON k.seq = ok.seq""")
+def single_update_echo(spark, sf_dir):
+    """SRC-2 + VAL-4 + WIN-1/WIN-2: the response of every single-update
+    request: the counter's total after it, or the gauge's stored value;
+    400 with the error otherwise."""
+    from gaugeline import operators as op
+    rows = op.classify(parse_single_bodies(single_bodies(updates(spark, sf_dir)), keep=["seq"]),
+                       decode_ok="decode_ok")
+    ok = rows.filter(F.col("err_code") == 0)
+    totals = op.counter_echo(ok).select("seq", F.col("total").alias("_total"))
+    return rows.join(totals, "seq", "left").select(
+        "seq", "status", "err",
+        F.when(F.col("status") == 200, F.col("id")).alias("id"),
+        F.when(F.col("status") == 200, F.col("type")).alias("type"),
+        F.col("_total").alias("delta"),
+        F.when((F.col("status") == 200) & (F.col("type") == "gauge"), F.col("value")).alias("value"))

@@ -21,7 +21,7 @@ from gaugeline.operators.validate import error_label
 from gaugeline.schema import (CODE_BAD_VALUE, CODE_DECODE, CODE_INVALID_TYPE, CODE_OK, COUNTER,
                               GAUGE, H_CONTENT_ENCODING, H_FORWARDED_FOR, H_HASH, H_REAL_IP)
 from gaugeline.sources.gzip import inflate, is_gzip
-from gaugeline.sources.json_body import batch_array
+from gaugeline.sources.json_body import with_batch_array
 
 # seq = request_id * 2^20 + pos keeps arrival order (request, then array
 # position) in one bigint; checked bounds below.
@@ -54,8 +54,7 @@ def evaluate_requests(requests: DataFrame, key: str | None) -> DataFrame:
     ``bad_pos`` and ``status``.
     """
     sig = signature_state("body", header("headers", H_HASH), key)
-    rows, ok = batch_array("body")
-    r = requests.withColumns({"signature_state": sig, "decode_ok": ok, "rows": rows})
+    r = with_batch_array(requests.withColumn("signature_state", sig), "body")
     codes = F.transform(F.col("rows"), _element_code)
     first_bad = F.array_position(F.transform(codes, lambda c: c != CODE_OK), True)
     r = r.withColumns({"_codes": codes, "bad_pos": F.when(first_bad > 0, first_bad - 1)})

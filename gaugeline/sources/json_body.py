@@ -51,18 +51,25 @@ def _metric_of(e: Column) -> Column:
     )
 
 
-def batch_array(body) -> tuple[Column, Column]:
-    """``(rows, decode_ok)`` for a batch body column: rows is
-    ``array<METRIC>`` (empty for ``null``), null when decoding failed."""
-    b = F.col(body) if isinstance(body, str) else body
-    v = F.try_parse_json(b)
-    top = F.schema_of_variant(v)
-    elems = F.try_variant_get(v, "$", "array<variant>")
-    is_null_doc = top == "VOID"
-    decode_ok = F.coalesce(is_null_doc | (elems.isNotNull() & F.forall(elems, _object_ok)), F.lit(False))
-    rows = (F.when(is_null_doc, F.array().cast(f"array<{METRIC.simpleString()}>"))
-            .when(decode_ok, F.transform(elems, _metric_of)))
-    return rows, decode_ok
+def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok: str = "decode_ok") -> DataFrame:
+    """Add ``rows`` (``array<METRIC>``; empty for a ``null`` body, null when
+    decoding failed) and ``ok`` (decoded) for a batch body column.
+
+    Staged projections: the body is parsed once into a column and every
+    check reads that column (Spark does not merge projections that would
+    repeat a non-trivial expression), keeping generated code small.
+    """
+    keep = [c for c in df.columns if c not in (rows, ok)]
+    parsed = df.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
+    shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"),
+                           F.try_variant_get("_v", "$", "array<variant>").alias("_elems"))
+    is_null_doc = F.col("_top") == "VOID"
+    elems = F.col("_elems")
+    checked = shaped.select(*keep, "_top", "_elems", F.coalesce(
+        is_null_doc | (elems.isNotNull() & F.forall(elems, _object_ok)), F.lit(False)).alias(ok))
+    out = (F.when(F.col("_top") == "VOID", F.array().cast(f"array<{METRIC.simpleString()}>"))
+           .when(F.col(ok), F.transform("_elems", _metric_of)))
+    return checked.select(*keep, out.alias(rows), ok)
 
 
 def parse_batch_bodies(bodies: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -73,8 +80,8 @@ def parse_batch_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     The work is local to each body row: no shuffle.
     """
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
-    rows, ok = batch_array(body)
-    exploded = bodies.select(*keep, ok.alias("decode_ok"), F.posexplode_outer(rows).alias("pos", "m"))
+    decoded = with_batch_array(bodies.select(*keep, body), body)
+    exploded = decoded.select(*keep, "decode_ok", F.posexplode_outer("rows").alias("pos", "m"))
     return exploded.select(*keep, "pos", "m.id", "m.type", "m.delta", "m.value", "decode_ok")
 
 
@@ -85,8 +92,13 @@ def parse_single_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     an array or a badly typed field is a decode error.
     """
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
-    v = F.try_parse_json(F.col(body))
-    ok = F.coalesce(v.isNotNull() & _object_ok(v), F.lit(False))
-    m = F.when(ok, _metric_of(v))
-    return bodies.select(*keep, m.alias("m"), ok.alias("decode_ok")).select(
-        *keep, "m.id", "m.type", "m.delta", "m.value", "decode_ok")
+    parsed = bodies.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
+    v = F.col("_v")
+    checked = parsed.select(*keep, "_v", F.coalesce(v.isNotNull() & _object_ok(v), F.lit(False)).alias("decode_ok"))
+    m = F.when(F.col("decode_ok"), _metric_of(v))
+    # Emitted through a generator: later filters on these columns (for
+    # instance on the row's outcome) stay above it instead of being pushed
+    # down with the decode expressions copied into every branch.
+    row = F.struct(m["id"].alias("id"), m["type"].alias("type"), m["delta"].alias("delta"),
+                   m["value"].alias("value"), F.col("decode_ok").alias("decode_ok"))
+    return checked.select(*keep, F.inline(F.array(row)))

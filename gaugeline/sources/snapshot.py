@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import METRIC
-from gaugeline.sources.json_body import batch_array
+from gaugeline.sources.json_body import with_batch_array
 
 
 def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
@@ -24,9 +24,9 @@ def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) ->
                 .withColumns({"file": F.col("_metadata.file_path"), "pos": F.lit(None).cast("bigint")}))
     raw = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
-    rows, ok = batch_array("doc")
+    decoded = with_batch_array(raw, "doc")
     # A snapshot that does not decode is an error, not an empty state.
-    checked = raw.select("file", F.when(ok, rows).otherwise(
+    checked = decoded.select("file", F.when(F.col("decode_ok"), F.col("rows")).otherwise(
         F.raise_error(F.concat(F.lit("snapshot does not decode: "), F.col("file")))).alias("rows"))
     return checked.select("file", F.posexplode("rows").alias("pos", "m")).select(
         "m.id", "m.type", "m.delta", "m.value", "file", F.col("pos").cast("bigint").alias("pos"))

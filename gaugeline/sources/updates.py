@@ -30,25 +30,20 @@ def update_log(events: DataFrame, dirty: bool = True) -> DataFrame:
     ``seq`` (= event_id, unique and ascending in ``ts``) is the arrival
     order; ``batch_id``/``pos`` place the row in its request body.
     Even events are counter increments of ``hits_<event_type>``, odd events
-    gauge readings of ``user_<user_id>``.
+    gauge readings of ``user_<user_id>``.  Written as one SQL projection
+    (the fixture's own form): a single analysis step, fused into the scan.
     """
-    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
-    eid = F.col("event_id")
-    even = eid % 2 == 0
-    kind = F.when(even, F.lit(COUNTER)).otherwise(F.lit(GAUGE))
-    present = F.lit(True)
-    if dirty:
-        kind = F.when(eid % BAD_KIND_EVERY == BAD_KIND_EVERY - 1, F.lit(UNKNOWN_KIND)).otherwise(kind)
-        present = eid % MISSING_EVERY != MISSING_EVERY - 1
-    return e.select(
-        eid.alias("seq"),
-        F.expr(f"event_id div {BATCH_ROWS}").alias("batch_id"),
-        (eid % BATCH_ROWS).cast("int").alias("pos"),
-        kind.alias("type"),
-        F.when(even, F.concat(F.lit("hits_"), F.col("event_type")))
-         .otherwise(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("id"),
-        F.when(even & present, F.get_json_object("props", "$.k").cast("bigint")).alias("delta"),
-        F.when(~even & present, F.col("value")).alias("value"),
+    bad_kind = f"WHEN event_id % {BAD_KIND_EVERY} = {BAD_KIND_EVERY - 1} THEN '{UNKNOWN_KIND}' " if dirty else ""
+    present = f"AND event_id % {MISSING_EVERY} <> {MISSING_EVERY - 1}" if dirty else ""
+    return events.selectExpr(
+        "event_id AS seq",
+        f"event_id div {BATCH_ROWS} AS batch_id",
+        f"CAST(event_id % {BATCH_ROWS} AS INT) AS pos",
+        f"CASE {bad_kind}WHEN event_id % 2 = 0 THEN '{COUNTER}' ELSE '{GAUGE}' END AS type",
+        "CASE WHEN event_id % 2 = 0 THEN concat('hits_', event_type) "
+        "ELSE concat('user_', CAST(user_id AS STRING)) END AS id",
+        f"CASE WHEN event_id % 2 = 0 {present} THEN CAST(get_json_object(props, '$.k') AS BIGINT) END AS delta",
+        f"CASE WHEN event_id % 2 = 1 {present} THEN value END AS value",
         "ts", "user_id", "event_type",
     )
 
@@ -141,10 +136,11 @@ def read_requests(events: DataFrame) -> DataFrame:
     16th event asks for a name that is never written and every 64th uses an
     unknown kind, so lookups meet all outcomes.
     """
-    eid = F.col("event_id")
-    kind = (F.when(eid % 64 == 63, F.lit(UNKNOWN_KIND))
-            .when(eid % 2 == 0, F.lit(COUNTER)).otherwise(F.lit(GAUGE)))
-    name = (F.when(eid % 16 == 15, F.concat(F.lit("ghost_"), F.col("user_id").cast("string")))
-            .when(eid % 2 == 0, F.concat(F.lit("hits_"), F.col("event_type")))
-            .otherwise(F.concat(F.lit("user_"), F.col("user_id").cast("string"))))
-    return events.select(eid.alias("request_id"), eid.alias("seq"), kind.alias("type"), name.alias("id"))
+    return events.selectExpr(
+        "event_id AS request_id", "event_id AS seq",
+        f"CASE WHEN event_id % 64 = 63 THEN '{UNKNOWN_KIND}' WHEN event_id % 2 = 0 THEN '{COUNTER}' "
+        f"ELSE '{GAUGE}' END AS type",
+        "CASE WHEN event_id % 16 = 15 THEN concat('ghost_', CAST(user_id AS STRING)) "
+        "WHEN event_id % 2 = 0 THEN concat('hits_', event_type) "
+        "ELSE concat('user_', CAST(user_id AS STRING)) END AS id",
+    )
