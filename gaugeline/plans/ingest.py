@@ -62,12 +62,16 @@ def evaluate_requests(requests: DataFrame, key: str | None) -> DataFrame:
             .when(F.col("bad_pos").isNotNull(), F.element_at("_codes", (F.col("bad_pos") + 1).cast("int")))
             .otherwise(F.lit(CODE_OK)))
     invalid_sig = F.col("signature_state") == "invalid"
-    return (r.withColumn("err_code", F.when(invalid_sig, F.lit(None).cast("int")).otherwise(code))
-            .withColumns({
-                "err": F.when(invalid_sig, F.lit("invalid hash")).otherwise(error_label("err_code")),
-                "status": F.when(invalid_sig | (F.col("err_code") != CODE_OK), F.lit(400)).otherwise(F.lit(200)),
-            })
-            .drop("_codes"))
+    out = (r.withColumn("err_code", F.when(invalid_sig, F.lit(None).cast("int")).otherwise(code))
+           .withColumns({
+               "err": F.when(invalid_sig, F.lit("invalid hash")).otherwise(error_label("err_code")),
+               "status": F.when(invalid_sig | (F.col("err_code") != CODE_OK), F.lit(400)).otherwise(F.lit(200)),
+           })
+           .drop("_codes"))
+    # Emit through a generator so that filters on the outcome (accepted
+    # requests) are not pushed below it with the signature and decode
+    # expressions copied in.
+    return out.select(F.inline(F.array(F.struct(*[F.col(c) for c in out.columns]))))
 
 
 def accepted_rows(evaluated: DataFrame) -> DataFrame:
