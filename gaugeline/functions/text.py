@@ -128,3 +128,11 @@ def mask_hash(c) -> Column:
     return (F.when(s.isNull() | (s == ""), F.lit(""))
             .when(F.octet_length(s) <= keep, s)
             .otherwise(F.concat(truncate_bytes(s, keep), F.lit(ellipsis))))
+
+
+def epoch_seconds(name: str, dtype: str) -> Column:
+    """Unix seconds of the timestamp column ``name``, independent of the
+    session time zone for naive (``timestamp_ntz``) values, read as UTC."""
+    if dtype == "timestamp_ntz":
+        return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    return F.unix_seconds(F.col(name))

@@ -102,6 +102,14 @@ def state_documents(state: DataFrame, buckets: int = 1) -> DataFrame:
     return docs.select("bucket", F.to_json(F.struct("gauges", "counters")).alias("doc"))
 
 
+def sized_state_documents(state: DataFrame, max_entries: int = 100_000) -> DataFrame:
+    """``state_documents`` with the bucket count chosen from the state size
+    (one counting job) so no document holds more than about ``max_entries``
+    names whatever the state grows to."""
+    n = state.count()
+    return state_documents(state, buckets=max(1, -(-n // max_entries)))
+
+
 def documents_to_rows(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Decode state documents back into METRIC rows ``(type, id, delta, value)``."""
     d = docs.select(F.from_json(doc, STATE_DOC).alias("d"))

@@ -46,11 +46,11 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _before(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("ts") < F.lit(MID).cast("timestamp"))
+    return df.filter(F.col("ts") < F.lit(MID).cast("timestamp_ntz"))
 
 
 def _after(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("ts") >= F.lit(MID).cast("timestamp"))
+    return df.filter(F.col("ts") >= F.lit(MID).cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- folds --

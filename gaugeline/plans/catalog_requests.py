@@ -171,16 +171,17 @@ def state_map(spark, sf_dir):
     """AGG-6: state encoded as JSON map documents (hash buckets of bounded
     size) and decoded back into rows."""
     s = state(spark, sf_dir)
-    return op.documents_to_rows(op.state_documents(s, buckets=4)).select("type", "id", "delta", "value")
+    return op.documents_to_rows(op.sized_state_documents(s)).select("type", "id", "delta", "value")
 
 
 @register("signed_batches", q.with_(q.U, q.BODIES) + f"""
- SELECT batch_id, CAST(strlen(body0) AS BIGINT) AS json_bytes, {q.hmac_sql('encode(body0)', SIGNING_KEY)} AS hash
+ SELECT batch_id, CAST(0 AS BIGINT) AS part, CAST(strlen(body0) AS BIGINT) AS json_bytes,
+        {q.hmac_sql('encode(body0)', SIGNING_KEY)} AS hash
  FROM bb""")
 def signed_batches(spark, sf_dir):
     """SNK-5: per batch the JSON array body's byte length and its HMAC."""
     from gaugeline.sinks import signed_batches as sb
-    return sb(updates(spark, sf_dir), SIGNING_KEY).select("batch_id", "json_bytes", "hash")
+    return sb(updates(spark, sf_dir), SIGNING_KEY).select("batch_id", "part", "json_bytes", "hash")
 
 
 @register("src_gzip", q.with_(q.U, q.BODIES) + """

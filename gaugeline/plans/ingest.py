@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.functions.net import client_ip, header
+from gaugeline.functions.text import epoch_seconds
 from gaugeline.operators.fold import fold_state
 from gaugeline.operators.merge import merge_state
 from gaugeline.operators.signature import signature_state
@@ -91,8 +92,9 @@ def request_audit(evaluated: DataFrame) -> DataFrame:
     """Audit event per accepted request, built inside the row:
     ``(request_id, ts, metrics, ip_address)``."""
     ip = client_ip(header("headers", H_REAL_IP), header("headers", H_FORWARDED_FOR), "remote_addr")
+    ts = epoch_seconds("arrival_ts", dict(evaluated.dtypes)["arrival_ts"])
     return evaluated.filter(F.col("status") == 200).select(
-        "request_id", F.unix_seconds(F.col("arrival_ts").cast("timestamp")).alias("ts"),
+        "request_id", ts.alias("ts"),
         F.transform("rows", lambda m: m["id"]).alias("metrics"), ip.alias("ip_address"))
 
 

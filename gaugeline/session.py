@@ -17,6 +17,15 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Broadcast bounds: the planner broadcasts a side only when its size
+    # estimate (for a scan-derived side, the unfiltered input size: an upper
+    # bound) is below 32 MB; AQE re-checks the measured size of the
+    # materialized stage against the same bound and otherwise keeps a
+    # shuffle join, splitting skewed partitions.
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Duplicate JSON keys: the last one wins, as in a Go decoder.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -45,7 +54,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.variant.allowDuplicateKeys"):
         spark.conf.set(k, DEFAULT_CONF[k])
     checkpoint_root(spark)
     return spark

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeline.functions.net import client_ip, header
+from gaugeline.functions.text import epoch_seconds
 from gaugeline.schema import H_FORWARDED_FOR, H_REAL_IP
 
 log = logging.getLogger(__name__)
@@ -23,7 +24,8 @@ def audit_events(accepted_requests: DataFrame, names: DataFrame) -> DataFrame:
     large batch yields one event per chunk of names.
     """
     ip = client_ip(header("headers", H_REAL_IP), header("headers", H_FORWARDED_FOR), "remote_addr")
-    r = accepted_requests.select("request_id", F.unix_seconds(F.col("arrival_ts").cast("timestamp")).alias("ts"), ip.alias("ip_address"))
+    ts = epoch_seconds("arrival_ts", dict(accepted_requests.dtypes)["arrival_ts"])
+    r = accepted_requests.select("request_id", ts.alias("ts"), ip.alias("ip_address"))
     j = r.join(names, "request_id", "left")
     return j.select("request_id", "ts", F.coalesce("names", F.array().cast("array<string>")).alias("metrics"),
                     "ip_address")

@@ -13,10 +13,12 @@ def poll_windows(samples: DataFrame, producer: str, ts: str, value: str, seq: st
     On a stream, pass ``watermark`` so windows close and append mode can
     emit them; late rows beyond it are dropped by Spark.
     """
-    # Event time must be a TIMESTAMP for watermarks; the data's naive
-    # timestamps are read as UTC wall-clock times (session time zone).
-    df = samples.withColumn(ts, F.col(ts).cast("timestamp"))
-    df = df.withWatermark(ts, watermark) if watermark else df
+    # Naive timestamps window by wall clock, whatever the session zone.  A
+    # watermark needs a zoned TIMESTAMP, so the stream form casts (the
+    # session zone then decides where hours start).
+    df = samples
+    if watermark:
+        df = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     return (df.groupBy(producer, F.window(ts, width).alias("w"))
             .agg(F.count(F.lit(1)).alias("poll_count"), F.max_by(value, seq).alias("last_value"))
             .select(producer, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
