@@ -4,6 +4,9 @@ poll windows and audit (STR-1..STR-5)."""
 from gaugeline.streaming.fold import continuous_fold, start_continuous_fold, start_periodic_snapshot
 from gaugeline.streaming.apply import apply_epoch, start_batch_apply
 from gaugeline.streaming.ticks import poll_windows, start_poll_windows
+from gaugeline.streaming.incremental import (compact, read_current, running_state, start_audit_stream,
+                                             start_incremental_apply)
 
 __all__ = ["continuous_fold", "start_continuous_fold", "start_periodic_snapshot", "apply_epoch",
-           "start_batch_apply", "poll_windows", "start_poll_windows"]
+           "start_batch_apply", "poll_windows", "start_poll_windows", "running_state",
+           "start_incremental_apply", "start_audit_stream", "read_current", "compact"]
