@@ -95,6 +95,23 @@ def request_log_q(spark, sf_dir):
     return request_log(ev)
 
 
+@register("audit_path_updates", q.with_(q.U) + f"""
+ , p AS (SELECT *, (value IS NOT NULL OR delta IS NOT NULL) OR seq % 14 IN (0, 7) AS routed,
+                seq % 14 IN (0, 7) AS suffixed FROM u)
+ , ok AS (SELECT * FROM p WHERE routed AND NOT suffixed AND type IN ('gauge', 'counter')
+          AND NOT (type = 'gauge' AND value IS NULL) AND NOT (type = 'counter' AND delta IS NULL))
+ SELECT seq AS request_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, to_json([id]) AS metrics_json,
+        {q.client_ip_sql('NULL', "CASE WHEN seq % 3 = 1 THEN '172.16.' || CAST(seq % 250 AS VARCHAR) || '.9, 10.9.9.9' END", "'10.0.' || CAST(user_id % 256 AS VARCHAR) || '.1:' || CAST(1024 + seq % 1000 AS VARCHAR)")} AS ip_address
+ FROM ok""")
+def audit_path_updates(spark, sf_dir):
+    """SNK-3 for single updates: one audit event per accepted path request."""
+    from gaugeline.sinks import single_update_audit
+    from gaugeline.sources import parse_update_paths, path_requests
+    outcomes = parse_update_paths(path_requests(updates(spark, sf_dir)))
+    a = single_update_audit(outcomes)
+    return a.select("request_id", "ts", F.to_json("metrics").alias("metrics_json"), "ip_address")
+
+
 @register("batch_names", q.with_(q.U, q.C, q.ACC) + """
  SELECT batch_id, CAST(0 AS BIGINT) AS chunk, to_json(list(id ORDER BY pos)) AS names_json
  FROM acc GROUP BY batch_id""")

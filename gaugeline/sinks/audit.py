@@ -31,6 +31,17 @@ def audit_events(accepted_requests: DataFrame, names: DataFrame) -> DataFrame:
                     "ip_address")
 
 
+def single_update_audit(outcomes: DataFrame, name: str = "id") -> DataFrame:
+    """Audit events of single updates (path or JSON object requests): one
+    event with the one name for each request answered 200.  ``outcomes``:
+    ``(request_id, arrival_ts, headers, remote_addr, status, <name>)``.
+    Row-local: no shuffle."""
+    ip = client_ip(header("headers", H_REAL_IP), header("headers", H_FORWARDED_FOR), "remote_addr")
+    ts = epoch_seconds("arrival_ts", dict(outcomes.dtypes)["arrival_ts"])
+    return outcomes.filter(F.col("status") == 200).select(
+        "request_id", ts.alias("ts"), F.array(F.col(name)).alias("metrics"), ip.alias("ip_address"))
+
+
 def write_audit(events: DataFrame, path: str) -> None:
     """Append events as JSON Lines (``ts, metrics, ip_address``)."""
     events.select("ts", "metrics", "ip_address").write.mode("append").json(path)

@@ -98,7 +98,13 @@ def path_requests(updates: DataFrame) -> DataFrame:
             .when(seq % 14 == 7, F.concat(text, F.lit("x")))
             .otherwise(text))
     path = F.concat(F.lit("/update/"), F.col("type"), F.lit("/"), F.col("id"), F.lit("/"), text)
-    return updates.select("seq", path.alias("path"))
+    remote = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1:"),
+                      (F.lit(1024) + seq % 1000).cast("string"))
+    headers = F.when(seq % 3 == 1, F.create_map(F.lit(H_FORWARDED_FOR), F.concat(
+        F.lit("172.16."), (seq % 250).cast("string"), F.lit(".9, 10.9.9.9")))).otherwise(
+        F.create_map().cast("map<string,string>"))
+    return updates.select("seq", F.col("seq").alias("request_id"), F.col("ts").alias("arrival_ts"),
+                          path.alias("path"), headers.alias("headers"), remote.alias("remote_addr"))
 
 
 def request_envelopes(bodies: DataFrame, key: str = SIGNING_KEY) -> DataFrame:
