@@ -24,8 +24,11 @@ def _bind(value: Column, body) -> Column:
 def _exact_batch(s):
     import numpy as np
     import pandas as pd
-    out = [None if pd.isna(x) else np.format_float_positional(x, unique=True, trim="-") for x in s]
-    return pd.Series(out, dtype=object)
+    out = pd.Series(None, index=s.index, dtype=object)
+    need = s.notna()  # nearly all rows arrive null: only the rare ones are formatted
+    if need.any():
+        out[need] = [np.format_float_positional(x, unique=True, trim="-") for x in s[need]]
+    return out
 
 
 _EXACT = {}

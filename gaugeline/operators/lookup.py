@@ -24,8 +24,11 @@ def bulk_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     response ``text``.  A left join on ``(type, id)``: AQE broadcasts the
     state when it is small at run time and splits a hot requested key.
     """
-    s = state.select("type", "id", "delta", "value", F.lit(True).alias("_found"))
-    j = requests.join(s, ["type", "id"], "left")
+    # One composite join key: the state side (one row per key) then gets
+    # its own exchange even when it comes straight from a fold, so both
+    # inputs are plain shuffle stages and AQE can split a hot requested key.
+    s = state.select(_key().alias("_k"), F.col("delta"), F.col("value"), F.lit(True).alias("_found"))
+    j = requests.withColumn("_k", _key()).join(s, "_k", "left").drop("_k")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status, err = _outcome(found)
     return (j.withColumns({"status": status, "err": err,
@@ -33,6 +36,11 @@ def bulk_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
             .drop("_found"))
 
 
+def _key() -> F.Column:
+    # Kinds never contain NUL, so (type, id) ↔ key is one-to-one.
+    return F.concat_ws("\u0000", F.col("type"), F.col("id"))
+
+
 def point_lookup(state: DataFrame, kind: str, name: str) -> DataFrame:
     """LKP-1: one ``(type, id)`` → one row with status/err/value/text.
 

@@ -51,20 +51,23 @@ def classify(updates: DataFrame, decode_ok: str | None = None) -> DataFrame:
 
 
 def bad_batches(classified: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Ids of batches holding at least one bad row.
+    """Ids of batches holding at least one bad row, one per bad row.
 
-    Only bad rows are shuffled (a distinct over the failing ids), so the
-    exchange is as small as the error rate, whatever the batch sizes.
+    Only bad rows are shuffled, so the exchange is as small as the error
+    rate.  Ids are not de-duplicated: the semi and anti joins that use them
+    do not need it, and leaving the side a plain exchange lets AQE split a
+    hot batch on the other side of the join (its skew-join rule applies only
+    between two plain shuffle stages).
     """
-    return classified.filter(F.col("err_code") != CODE_OK).select(batch).distinct()
+    return classified.filter(F.col("err_code") != CODE_OK).select(batch)
 
 
 def gate_batches(updates: DataFrame, batch: str = "batch_id", decode_ok: str | None = None) -> DataFrame:
     """VAL-5: keep only rows of batches in which every row is valid.
 
     An anti join against the failing batch ids: AQE turns it into a
-    broadcast join when that set is small at run time and keeps a shuffle
-    join (with skew splitting of a hot batch) when it is not.
+    broadcast join when that set is small at run time and otherwise keeps
+    a shuffle join whose skewed partitions (a hot batch) it splits.
     """
     c = classify(updates, decode_ok=decode_ok)
     return (c.join(bad_batches(c, batch), batch, "left_anti")
@@ -106,11 +109,15 @@ def rejects(updates: DataFrame, decode_ok: str | None = None) -> DataFrame:
 def batch_lanes(updates: DataFrame, batch: str = "batch_id", decode_ok: str | None = None) -> DataFrame:
     """VAL-7: label every row ``accepted`` (its batch passed), ``salvaged``
     (batch failed, row valid: the producer re-sends it alone) or
-    ``quarantined`` (row invalid).  The three lanes partition the input."""
+    ``quarantined`` (row invalid).  The three lanes partition the input.
+
+    Built from an anti join (accepted) and a semi join (failed batches)
+    against the failing ids, both skew-splittable, rather than an outer
+    join that would need the ids de-duplicated first.
+    """
     c = classify(updates, decode_ok=decode_ok)
-    flagged = bad_batches(c, batch).withColumn("_batch_failed", F.lit(True))
-    j = c.join(flagged, batch, "left")
-    lane = (F.when(F.col("_batch_failed").isNull(), F.lit("accepted"))
-            .when(F.col("err_code") == CODE_OK, F.lit("salvaged"))
-            .otherwise(F.lit("quarantined")))
-    return j.withColumn("lane", lane).drop("_batch_failed", "status")
+    bad = bad_batches(c, batch)
+    ok = c.join(bad, batch, "left_anti").withColumn("lane", F.lit("accepted"))
+    failed = c.join(bad, batch, "left_semi").withColumn(
+        "lane", F.when(F.col("err_code") == CODE_OK, F.lit("salvaged")).otherwise(F.lit("quarantined")))
+    return ok.unionByName(failed).drop("status")
