@@ -30,8 +30,24 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of TB of updates).  Shuffles start
+# with many partitions and AQE coalesces them to ~256 MB each; input splits
+# stay at 256 MB; streaming state lives in RocksDB (one row per metric, off
+# the JVM heap, checkpointed incrementally).
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "gaugeline", extra: dict | None = None) -> SparkSession:
+                app_name: str = "gaugeline", extra: dict | None = None,
+                cluster: bool = False) -> SparkSession:
     """Return the active session or build one with the package defaults.
 
     On a cluster the launcher already owns the session; in that case only
@@ -44,7 +60,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = SparkSession.builder.appName(app_name)
         if master:
             builder = builder.master(master)
-        for k, v in DEFAULT_CONF.items():
+        for k, v in {**DEFAULT_CONF, **(CLUSTER_CONF if cluster else {})}.items():
             builder = builder.config(k, v)
         builder = builder.config("spark.driver.memory", os.environ.get("GAUGELINE_DRIVER_MEMORY", "16g"))
         if shuffle_partitions:
