@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gaugeline.schema import H_FORWARDED_FOR, H_REAL_IP
-
 # Go's TrimSpace strips Unicode white space, not only blanks.
 _SPACE = r"[\s\x{85}\p{Z}]"
 

@@ -98,10 +98,26 @@ def request_audit(evaluated: DataFrame) -> DataFrame:
         F.transform("rows", lambda m: m["id"]).alias("metrics"), ip.alias("ip_address"))
 
 
-def ingest(requests: DataFrame, key: str | None, state: DataFrame | None = None) -> dict[str, DataFrame]:
+def first_arrivals(requests: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Drop re-sent copies of a batch, keeping its first arrival (lowest
+    ``request_id``).  Only ids are shuffled to find the survivors; the
+    request rows (with their bodies) meet them in a semi join, which AQE
+    broadcasts or skew-splits."""
+    keep = requests.groupBy(batch).agg(F.min("request_id").alias("request_id"))
+    return requests.join(keep, [batch, "request_id"], "left_semi")
+
+
+def ingest(requests: DataFrame, key: str | None, state: DataFrame | None = None,
+           dedupe_batches: bool = False) -> dict[str, DataFrame]:
     """The whole write path.  Returns ``outcomes`` (per request), ``rows``
     (accepted updates), ``state`` (folded, merged into ``state`` if given)
-    and ``audit`` frames; nothing runs until a sink acts on them."""
+    and ``audit`` frames; nothing runs until a sink acts on them.
+
+    The service adds a re-sent batch twice (it has no idempotency key); with
+    ``dedupe_batches`` a batch id is applied once (requests need ``batch_id``).
+    """
+    if dedupe_batches:
+        requests = first_arrivals(requests)
     ev = evaluate_requests(requests, key)
     rows = accepted_rows(ev)
     new_state = fold_state(rows) if state is None else merge_state(state, rows)

@@ -32,3 +32,9 @@ def request_log(requests: DataFrame, status: str = "status") -> DataFrame:
         F.col(status).alias("status"), F.lit(None).cast("int").alias("size"),
         F.lit(None).cast("bigint").alias("duration_ms"),
         F.to_date("arrival_ts").alias("log_date"))
+
+
+def write_request_log(log: DataFrame, path: str) -> None:
+    """Append log rows partitioned by day (``log_date``)."""
+    log.write.mode("append").partitionBy("log_date").parquet(path)
+

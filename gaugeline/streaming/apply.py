@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeline.plans.ingest import accepted_rows, evaluate_requests, request_audit
 from gaugeline.operators.fold import fold_state
 from gaugeline.operators.merge import merge_state
-from gaugeline.schema import METRIC
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks.audit import fan_out
 from gaugeline.sources.state import current_version, read_state, write_state_version
@@ -70,7 +69,3 @@ def start_batch_apply(requests: DataFrame, state_root: str, key: str | None,
     ck = checkpoint or f"{checkpoint_root(requests.sparkSession)}/streams/{query_name}"
     return (requests.writeStream.foreachBatch(each).queryName(query_name)
             .option("checkpointLocation", ck).trigger(**(trigger or {"availableNow": True})).start())
-
-
-def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], METRIC).select("type", "id", "delta", "value")

@@ -2,7 +2,6 @@
 
 import gzip
 import io
-import os
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -88,3 +87,37 @@ def test_point_lookup_pushes_down(spark, scratch):
     write_state_version(QUERIES["metric_state"](spark, SF_SMALL), root)
     plan = _plan(op.point_lookup(read_state(spark, root), "counter", "hits_view"))
     assert "PartitionFilters" in plan and "EqualTo(id,hits_view)" in plan
+
+
+def test_sink_writers(spark, scratch):
+    from gaugeline.plans.catalog_requests import envelopes
+    from gaugeline.sinks import request_log, write_request_log, signed_batches, write_signed_batches
+    from gaugeline.sinks.snapshot import write_snapshot
+    from gaugeline.plans.catalog import updates
+    from gaugeline.sources.updates import SIGNING_KEY
+    ev = evaluate_requests(envelopes(spark, SF_SMALL), SIGNING_KEY)
+    write_request_log(request_log(ev), f"{scratch}/log")
+    back = spark.read.parquet(f"{scratch}/log")
+    assert back.count() == 100 and "log_date" in back.columns
+    write_signed_batches(signed_batches(updates(spark, SF_SMALL), SIGNING_KEY), f"{scratch}/out")
+    gz = spark.read.parquet(f"{scratch}/out").orderBy("batch_id").first()
+    assert gzip.decompress(gz["gz"]).startswith(b"[{")
+    nan_state = spark.createDataFrame([("gauge", "g", None, float("nan"))], "type string, id string, delta bigint, value double")
+    import pytest
+    with pytest.raises(Exception):
+        write_snapshot(nan_state, f"{scratch}/snap_nan")
+    write_snapshot(nan_state, f"{scratch}/snap_nan_ok", nonfinite="string")
+
+
+def test_dedupe_resent_batches(spark):
+    from gaugeline.plans.catalog_requests import envelopes
+    from gaugeline.plans.ingest import ingest
+    from gaugeline.sources.updates import SIGNING_KEY
+    req = envelopes(spark, SF_SMALL)
+    twice = req.unionByName(req.withColumn("request_id", F.col("request_id") + 1_000_000))
+    cols = ["type", "id", "delta", "value"]
+    once = sorted(tuple(r) for r in ingest(req, SIGNING_KEY)["state"].select(*cols).collect())
+    deduped = sorted(tuple(r) for r in ingest(twice, SIGNING_KEY, dedupe_batches=True)["state"].select(*cols).collect())
+    doubled = {r["id"]: r["delta"] for r in ingest(twice, SIGNING_KEY)["state"].filter("type = 'counter'").collect()}
+    assert deduped == once
+    assert all(doubled[r[1]] == 2 * r[2] for r in once if r[0] == "counter")

@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from gaugeline import operators as op
 from gaugeline.plans.ingest import ingest
 from gaugeline.sinks import write_audit
