@@ -8,8 +8,13 @@ number.  A body failing any of this is rejected whole (``decode_ok`` false).
 Lax ``from_json`` would turn a bad field into a silent null, so the body is
 parsed once into a VARIANT and types are checked from it.
 
-Documented difference: key names match case-sensitively, and text after the
-first JSON value makes the body undecodable.
+Key names match case-insensitively, as in a Go decoder: ``"ID"`` fills
+``id``.  An exact key wins; the case-folded lookup runs only for objects
+whose key list shows a non-lower-case variant of a field name.
+Documented differences: when one object holds several case variants of a
+name, Go keeps the last in document order, which a VARIANT does not record
+(here: the exact key, else the greatest variant); text after the first JSON
+value makes the body undecodable.
 """
 
 from __future__ import annotations
@@ -19,35 +24,71 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeline.schema import METRIC
 
 
-def _jtype(v: Column, path: str) -> Column:
-    """JSON type name of a field ('' when the field is absent)."""
-    return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")), F.lit(""))
+FIELDS = ("id", "type", "delta", "value")
+# A key that folds to a field name but is not spelled in lower case, as it
+# appears in ``schema_of_variant`` text ("OBJECT<ID: STRING, Type: ...>").
+_FOLD_RE = r"(?:<|, )(?!(?:id|type|delta|value):)(?i:id|type|delta|value):"
 
 
-def _field_ok(v: Column, path: str, allowed: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> Column:
-    t = _jtype(v, path)
+def _kind_and_fold(e: Column) -> tuple[Column, Column]:
+    """JSON type name of an element and whether its keys need case folding."""
+    kind = F.coalesce(F.schema_of_variant(e), F.lit("VOID"))
+    return kind, F.coalesce(F.regexp_like(kind, F.lit(_FOLD_RE)), F.lit(False))
+
+
+def _fields_from(e: Column, kind: Column, fold: Column) -> Column:
+    """Struct ``(kind, id, type, delta, value)``: the element's JSON type
+    name and the four fields as VARIANTs (SQL null when absent).  The map
+    of keys is built only for the rare objects that need case folding."""
+    m = F.when(fold, F.try_variant_get(e, "$", "map<string,variant>"))
+
+    def pick(name):
+        exact = F.try_variant_get(e, f"$.{name}", "variant")
+        keys = F.filter(F.map_keys(m), lambda key: F.lower(key) == name)
+        folded = F.when(F.size(keys) > 0, F.element_at(m, F.array_max(keys)))
+        return F.when(exact.isNotNull() | ~fold, exact).otherwise(folded).alias(name)
+    return F.struct(kind.alias("kind"), *[pick(n) for n in FIELDS])
+
+
+def _array_fields(elems: Column) -> Column:
+    """``_fields_from`` for every element of an ``array<variant>``: a first
+    pass finds each element's kind and folding need once, a second reads
+    the fields."""
+    def tag(e):
+        kind, fold = _kind_and_fold(e)
+        return F.struct(e.alias("e"), kind.alias("k"), fold.alias("f"))
+    return F.transform(F.transform(elems, tag), lambda x: _fields_from(x["e"], x["k"], x["f"]))
+
+
+def _jtype(v: Column) -> Column:
+    """JSON type name of a field variant ('' when the field is absent)."""
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _field_ok(v: Column, allowed: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> Column:
+    t = _jtype(v)
     ok = t.isin("", "VOID", *allowed)
     for p in prefixes:
         ok = ok | t.startswith(p)
     return ok
 
 
-def _object_ok(e: Column) -> Column:
+def _object_ok(f: Column) -> Column:
     """An element decodes into a metric row: JSON null or a well-typed object."""
-    t = F.coalesce(F.schema_of_variant(e), F.lit("VOID"))
-    well_typed = (_field_ok(e, "$.id", ("STRING",)) & _field_ok(e, "$.type", ("STRING",))
-                  & _field_ok(e, "$.delta", ("BIGINT",))
-                  & _field_ok(e, "$.value", ("BIGINT", "DOUBLE", "FLOAT"), ("DECIMAL",)))
+    t = f["kind"]
+    well_typed = (_field_ok(f["id"], ("STRING",)) & _field_ok(f["type"], ("STRING",))
+                  & _field_ok(f["delta"], ("BIGINT",))
+                  & _field_ok(f["value"], ("BIGINT", "DOUBLE", "FLOAT"), ("DECIMAL",)))
     return (t == "VOID") | (t.startswith("OBJECT") & well_typed)
 
 
-def _metric_of(e: Column) -> Column:
-    """Typed metric struct from a variant element; absent names become ''."""
+def _metric_of(f: Column) -> Column:
+    """Typed metric struct from the field variants; absent names become ''."""
     return F.struct(
-        F.coalesce(F.try_variant_get(e, "$.id", "string"), F.lit("")).alias("id"),
-        F.coalesce(F.try_variant_get(e, "$.type", "string"), F.lit("")).alias("type"),
-        F.try_variant_get(e, "$.delta", "bigint").alias("delta"),
-        F.try_variant_get(e, "$.value", "double").alias("value"),
+        F.coalesce(F.try_variant_get(f["id"], "$", "string"), F.lit("")).alias("id"),
+        F.coalesce(F.try_variant_get(f["type"], "$", "string"), F.lit("")).alias("type"),
+        F.try_variant_get(f["delta"], "$", "bigint").alias("delta"),
+        F.try_variant_get(f["value"], "$", "double").alias("value"),
     )
 
 
@@ -62,7 +103,7 @@ def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok:
     keep = [c for c in df.columns if c not in (rows, ok)]
     parsed = df.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
     shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"),
-                           F.try_variant_get("_v", "$", "array<variant>").alias("_elems"))
+                           _array_fields(F.try_variant_get("_v", "$", "array<variant>")).alias("_elems"))
     is_null_doc = F.col("_top") == "VOID"
     elems = F.col("_elems")
     checked = shaped.select(*keep, "_top", "_elems", F.coalesce(
@@ -93,9 +134,13 @@ def parse_single_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     """
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
     parsed = bodies.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
-    v = F.col("_v")
-    checked = parsed.select(*keep, "_v", F.coalesce(v.isNotNull() & _object_ok(v), F.lit(False)).alias("decode_ok"))
-    m = F.when(F.col("decode_ok"), _metric_of(v))
+    kind, fold = _kind_and_fold(F.col("_v"))
+    tagged = parsed.select(*keep, "_v", kind.alias("_k"), fold.alias("_fold"))
+    fields = tagged.select(*keep, F.when(F.col("_v").isNotNull(), _fields_from(
+        F.col("_v"), F.col("_k"), F.col("_fold"))).alias("_f"))
+    f = F.col("_f")
+    checked = fields.select(*keep, "_f", F.coalesce(f.isNotNull() & _object_ok(f), F.lit(False)).alias("decode_ok"))
+    m = F.when(F.col("decode_ok"), _metric_of(f))
     # Emitted through a generator: later filters on these columns (for
     # instance on the row's outcome) stay above it instead of being pushed
     # down with the decode expressions copied into every branch.

@@ -184,3 +184,23 @@ def test_overflow_policies(spark):
     assert u.groupBy("id").agg(sum_deltas(F.col("delta"), "null").alias("t")).first()["t"] is None
     with pytest.raises(Exception):
         u.groupBy("id").agg(sum_deltas(F.col("delta"), "error").alias("t")).collect()
+
+
+@pytest.mark.parametrize("body,expected", [
+    ('[{"ID":"a","TYPE":"gauge","Value":1.5}]', ("a", "gauge", None, 1.5)),
+    ('[{"Id":"c","type":"counter","DELTA":3}]', ("c", "counter", 3, None)),
+    ('[{"id":"x","ID":"y","type":"gauge","value":2}]', ("x", "gauge", None, 2.0)),
+    ('[{"id":"n","type":"gauge","value":1,"extra":{"ID":5}}]', ("n", "gauge", None, 1.0)),
+])
+def test_keys_match_case_insensitively(spark, body, expected):
+    df = spark.createDataFrame([(1, body)], "batch_id long, body string")
+    r = parse_batch_bodies(df).first()
+    assert r["decode_ok"] and (r["id"], r["type"], r["delta"], r["value"]) == expected
+
+
+def test_single_body_case_insensitive(spark):
+    from gaugeline.sources import parse_single_bodies
+    df = spark.createDataFrame([(1, '{"ID":"m","Type":"counter","Delta":7}'), (2, '{"id":"m","type":"gauge","VALUE":"x"}')],
+                               "seq long, body string")
+    r = {x["seq"]: x for x in parse_single_bodies(df).collect()}
+    assert (r[1]["id"], r[1]["type"], r[1]["delta"]) == ("m", "counter", 7) and not r[2]["decode_ok"]
