@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gaugeline import operators as op
+from gaugeline.operators.validate import kind_ok, value_present
 from gaugeline.plans import oracle_sql as q
 from gaugeline.sources import load_table, read_requests, update_log
 
@@ -78,7 +79,6 @@ def gauge_latest(spark, sf_dir):
 @register("val_kind", q.with_(q.U) + """
  SELECT seq, type, COALESCE(type IN ('gauge', 'counter'), FALSE) AS kind_ok FROM u""")
 def val_kind(spark, sf_dir):
-    from gaugeline.operators.validate import kind_ok
     return updates(spark, sf_dir).select("seq", "type", kind_ok().alias("kind_ok"))
 
 
@@ -86,7 +86,6 @@ def val_kind(spark, sf_dir):
  SELECT seq, type, NOT ((type = 'gauge' AND value IS NULL) OR (type = 'counter' AND delta IS NULL))
         AS present FROM u""")
 def val_presence(spark, sf_dir):
-    from gaugeline.operators.validate import value_present
     return updates(spark, sf_dir).select("seq", "type", value_present().alias("present"))
 
 
@@ -208,7 +207,6 @@ def counter_increments(spark, sf_dir):
     """WIN-3: daily absolute snapshots of each counter → increments."""
     acc = accepted(spark, sf_dir).filter(F.col("type") == "counter")
     daily = acc.groupBy("id", F.to_date("ts").alias("day")).agg(F.sum("delta").alias("s"))
-    from pyspark.sql import Window
     w = Window.partitionBy("id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     snaps = daily.select("id", F.col("day").cast("string").alias("snapshot_no"), F.sum("s").over(w).alias("want"))
     return op.counter_increments(snaps).select("id", "snapshot_no", "want", "increment")

@@ -11,8 +11,12 @@ from gaugeline.plans import oracle_sql as q
 from gaugeline.plans.catalog import _after, _before, accepted, register, state, updates
 from gaugeline.plans.ingest import evaluate_requests, ingest, request_audit
 from gaugeline.schema import H_FORWARDED_FOR, H_HASH, H_REAL_IP
-from gaugeline.sinks import listing_lines, request_log
-from gaugeline.sources import batch_bodies, load_table, request_envelopes
+from gaugeline.session import checkpoint_root
+from gaugeline.sinks import (listing_lines, request_log, signed_batches as sign_batches, single_update_audit,
+                             write_snapshot, write_snapshot_array)
+from gaugeline.sources import (batch_bodies, load_table, parse_update_paths, path_requests, read_snapshot,
+                               request_envelopes)
+from gaugeline.sources.gzip import deflate, inflate
 from gaugeline.sources.updates import SIGNING_KEY
 from gaugeline.streaming.ticks import poll_windows as poll_windows_op
 
@@ -105,8 +109,6 @@ def request_log_q(spark, sf_dir):
  FROM ok""")
 def audit_path_updates(spark, sf_dir):
     """SNK-3 for single updates: one audit event per accepted path request."""
-    from gaugeline.sinks import single_update_audit
-    from gaugeline.sources import parse_update_paths, path_requests
     outcomes = parse_update_paths(path_requests(updates(spark, sf_dir)))
     a = single_update_audit(outcomes)
     return a.select("request_id", "ts", F.to_json("metrics").alias("metrics_json"), "ip_address")
@@ -197,15 +199,13 @@ def state_map(spark, sf_dir):
  FROM bb""")
 def signed_batches(spark, sf_dir):
     """SNK-5: per batch the JSON array body's byte length and its HMAC."""
-    from gaugeline.sinks import signed_batches as sb
-    return sb(updates(spark, sf_dir), SIGNING_KEY).select("batch_id", "part", "json_bytes", "hash")
+    return sign_batches(updates(spark, sf_dir), SIGNING_KEY).select("batch_id", "part", "json_bytes", "hash")
 
 
 @register("src_gzip", q.with_(q.U, q.BODIES) + """
  SELECT batch_id, TRUE AS roundtrip_ok, CAST(strlen(body0) AS BIGINT) AS body_bytes FROM bb""")
 def src_gzip(spark, sf_dir):
     """SRC-6: bodies gzipped and inflated back through the Arrow UDF."""
-    from gaugeline.sources.gzip import deflate, inflate
     b = batch_bodies(updates(spark, sf_dir), corrupt=False)
     z = b.select("batch_id", "body", deflate("body").alias("gz"))
     return z.select("batch_id", (inflate("gz").cast("string") == F.col("body")).alias("roundtrip_ok"),
@@ -215,7 +215,6 @@ def src_gzip(spark, sf_dir):
 # ------------------------------------------------------------ snapshots --
 
 def _scratch(spark, name, sf_dir):
-    from gaugeline.session import checkpoint_root
     return f"{checkpoint_root(spark)}/{name}/{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
 
 
@@ -223,8 +222,6 @@ def _scratch(spark, name, sf_dir):
 def src_snapshot(spark, sf_dir):
     """SRC-4: the folded state written as a one-array snapshot file (the
     interchange form) and scanned back with array positions."""
-    from gaugeline.sinks import write_snapshot_array
-    from gaugeline.sources import read_snapshot
     path = _scratch(spark, "snapshot_array", sf_dir)
     write_snapshot_array(state(spark, sf_dir), path)
     return read_snapshot(spark, path, whole_array=True).select("id", "type", "delta", "value")
@@ -235,8 +232,6 @@ def src_snapshot(spark, sf_dir):
 def snapshot_roundtrip(spark, sf_dir):
     """SNK-1 → SRC-4 → MRG-4: state saved as JSON Lines by all tasks, then
     restored into an empty store (a zero counter is not re-created)."""
-    from gaugeline.sinks import write_snapshot
-    from gaugeline.sources import read_snapshot
     path = _scratch(spark, "snapshot_lines", sf_dir)
     write_snapshot(state(spark, sf_dir), path)
     empty = spark.createDataFrame([], "type string, id string, delta bigint, value double")
