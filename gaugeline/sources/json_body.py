@@ -11,10 +11,13 @@ parsed once into a VARIANT and types are checked from it.
 Key names match case-insensitively, as in a Go decoder: ``"ID"`` fills
 ``id``.  An exact key wins; the case-folded lookup runs only for objects
 whose key list shows a non-lower-case variant of a field name.
-Documented differences: when one object holds several case variants of a
+Like a Go decoder reading one value from the body, text after the first
+JSON value is ignored: bodies whose whole-text parse fails go through a
+small Arrow-batched helper that finds where the first value ends (every
+other row passes a null), and that prefix is parsed natively.
+Documented difference: when one object holds several case variants of a
 name, Go keeps the last in document order, which a VARIANT does not record
-(here: the exact key, else the greatest variant); text after the first JSON
-value makes the body undecodable.
+(here: the exact key, else the greatest variant).
 """
 
 from __future__ import annotations
@@ -24,6 +27,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeline.schema import METRIC
 
 
+def _first_value_batch(s):
+    import json
+
+    import pandas as pd
+    out = pd.Series(None, index=s.index, dtype=object)
+    need = s.notna()  # only bodies whose whole-text parse failed arrive non-null
+    if need.any():
+        dec = json.JSONDecoder()
+
+        def first(t):
+            u = t.lstrip(" \t\n\r")
+            try:
+                return u[:dec.raw_decode(u)[1]]
+            except ValueError:
+                return None
+        out[need] = [first(t) for t in s[need]]
+    return out
+
+
+_UDFS: dict = {}
+
+
+def _parse_first_value(body: Column, whole: Column) -> Column:
+    """VARIANT of the body's first JSON value: ``whole`` (the whole-text
+    parse) when it succeeded, else the parse of the leading value."""
+    if "first" not in _UDFS:  # built on first use: a pandas UDF needs a session
+        _UDFS["first"] = F.pandas_udf(_first_value_batch, "string")
+    prefix = _UDFS["first"](F.when(whole.isNull(), body))
+    return F.coalesce(whole, F.try_parse_json(prefix))
+
+
 FIELDS = ("id", "type", "delta", "value")
 # A key that folds to a field name but is not spelled in lower case, as it
 # appears in ``schema_of_variant`` text ("OBJECT<ID: STRING, Type: ...>").
@@ -101,7 +135,8 @@ def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok:
     repeat a non-trivial expression), keeping generated code small.
     """
     keep = [c for c in df.columns if c not in (rows, ok)]
-    parsed = df.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
+    whole = df.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
+    parsed = whole.select(*keep, _parse_first_value(F.col(body), F.col("_w")).alias("_v"))
     shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"),
                            _array_fields(F.try_variant_get("_v", "$", "array<variant>")).alias("_elems"))
     is_null_doc = F.col("_top") == "VOID"
@@ -133,7 +168,8 @@ def parse_single_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     an array or a badly typed field is a decode error.
     """
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
-    parsed = bodies.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
+    whole = bodies.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
+    parsed = whole.select(*keep, _parse_first_value(F.col(body), F.col("_w")).alias("_v"))
     kind, fold = _kind_and_fold(F.col("_v"))
     tagged = parsed.select(*keep, "_v", kind.alias("_k"), fold.alias("_fold"))
     fields = tagged.select(*keep, F.when(F.col("_v").isNotNull(), _fields_from(

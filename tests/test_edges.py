@@ -48,6 +48,11 @@ def test_counter_text_parse(spark):
     ("[null]", True, 1),
     ('[{"id":"a","type":"gauge","value":1,"extra":{"x":[1]}}]', True, 1),
     ('[{"id":"a","type":"gauge","value":1e2},{"id":"b","type":"counter","delta":-3}]', True, 2),
+    ('[{"id":"a","type":"gauge","value":1}] trailing text', True, 1),
+    ('  [{"id":"a","type":"gauge","value":1}][{"id":"b","type":"gauge","value":2}]', True, 1),
+    ('[{"id":"a","type":"gauge","value":1}]\n', True, 1),
+    ('[{"id":"a","type":"gauge","value":1}', False, None),
+    ('[{"id":"a","type":"gauge","value":NaN}] x', False, None),
 ])
 def test_batch_bodies(spark, body, ok, n):
     df = spark.createDataFrame([(1, body)], "batch_id long, body string")
