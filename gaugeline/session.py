@@ -80,13 +80,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and versioned tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared file
-    system there).  Only when it is unset, as in local tests, a fresh
-    scratch folder is made and recorded in the session.
+    system there).  Only when it is unset on a local master, as in tests, a
+    fresh scratch folder is made and recorded in the session; on a cluster a
+    machine-local folder would not survive a lost executor, so it is an
+    error instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) for this cluster")
         root = tempfile.mkdtemp(prefix="gaugeline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
