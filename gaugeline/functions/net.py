@@ -9,9 +9,15 @@ _SPACE = r"[\s\x{85}\p{Z}]"
 
 
 def header(headers, name: str) -> Column:
-    """Header value from a ``map<string,string>`` column, '' when absent."""
+    """Header value from a ``map<string,string>`` column, '' when absent.
+
+    Names match case-insensitively, as HTTP header names do: the exact key
+    is tried first, then any key equal ignoring case.
+    """
     h = F.col(headers) if isinstance(headers, str) else headers
-    return F.coalesce(h.getItem(name), F.lit(""))
+    lowered = name.lower()
+    any_case = F.try_element_at(F.map_values(F.map_filter(h, lambda k, v: F.lower(k) == lowered)), F.lit(1))
+    return F.coalesce(h.getItem(name), any_case, F.lit(""))
 
 
 def client_ip(real_ip, forwarded_for, remote_addr) -> Column:

@@ -209,3 +209,11 @@ def test_single_body_case_insensitive(spark):
                                "seq long, body string")
     r = {x["seq"]: x for x in parse_single_bodies(df).collect()}
     assert (r[1]["id"], r[1]["type"], r[1]["delta"]) == ("m", "counter", 7) and not r[2]["decode_ok"]
+
+
+def test_header_names_ignore_case(spark):
+    df = spark.createDataFrame([({"x-real-ip": "1.2.3.4"},), ({"X-Forwarded-For": "5.6.7.8, 9"},), ({},)],
+                               "h map<string,string>")
+    got = [r[0] for r in df.select(fn.client_ip(fn.header("h", "X-Real-IP"), fn.header("h", "X-Forwarded-For"),
+                                                F.lit("7.7.7.7:1"))).collect()]
+    assert got == ["1.2.3.4", "5.6.7.8", "7.7.7.7"]
