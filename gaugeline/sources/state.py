@@ -1,59 +1,44 @@
 """Stored state (SRC-5) and its versioned layout (H5).
 
 Parquet has no MERGE and a path cannot be overwritten while it is read, so
-state lives in versions ``<root>/v=<n>`` with a small ``_CURRENT`` pointer.
-A writer produces version n+1 completely, then swaps the pointer; readers
-follow the pointer.  A failed or replayed write leaves the old version in
-place.  Each version is partitioned by ``type`` (kind pruning) and sorted by
-``id`` inside files (row-group min/max prune point lookups).
+state lives in versions ``<root>/v=<n>``.  A writer produces version n
+completely, then publishes it by writing the marker ``_pointers/version=<n>``
+(a one-row text write, committed atomically by Spark's output committer);
+readers take the highest published version.  A failed write publishes
+nothing, and a replayed write rewrites the same version.  Each version is
+partitioned by ``type`` (kind pruning) and sorted by ``id`` inside files
+(row-group min/max prune point lookups).
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import COUNTER
 
-POINTER = "_CURRENT"
-
-
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    return p.getFileSystem(conf), jvm
+POINTERS = "_pointers"
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    """Version the pointer names, or None for a store never written."""
-    fs, jvm = _fs(spark, root)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
+    """Highest published version, or None for a store never written."""
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return int(reader.readLine().strip())
-    finally:
-        stream.close()
+        marks = spark.read.text(f"{root}/{POINTERS}")
+        if "version" not in marks.columns:
+            return None
+        v = marks.agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+    return None if v is None else int(v)
 
 
-def _set_pointer(spark: SparkSession, root: str, version: int) -> None:
-    fs, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}.tmp-{version}")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(f"{version}\n".encode()))
-    finally:
-        out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+def _publish(spark: SparkSession, root: str, version: int) -> None:
+    (spark.createDataFrame([(str(version),)], "value string").coalesce(1)
+     .write.mode("overwrite").text(f"{root}/{POINTERS}/version={version}"))
 
 
 def write_state_version(state: DataFrame, root: str, version: int | None = None) -> int:
-    """Write ``state`` (METRIC rows) as the next version and swap the pointer.
+    """Write ``state`` (METRIC rows) as the next version and publish it.
 
     ``version`` pins the number (a streaming epoch uses its batch id so a
     replayed epoch rewrites the same version).  Returns the version written.
@@ -65,7 +50,7 @@ def write_state_version(state: DataFrame, root: str, version: int | None = None)
     # A folded state is already hash-partitioned by (type, id); only sort.
     (state.sortWithinPartitions("type", "id")
      .write.mode("overwrite").partitionBy("type").parquet(f"{root}/v={version}"))
-    _set_pointer(spark, root, version)
+    _publish(spark, root, version)
     return version
 
 

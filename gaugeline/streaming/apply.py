@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,14 +27,15 @@ from gaugeline.sources.state import current_version, read_state, write_state_ver
 
 
 def _state_at(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v={version}")
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
+    """State version ``version`` if it was written, else the latest one
+    before it (None for an empty store)."""
+    try:
         return read_state(spark, root, version)
-    cur = current_version(spark, root)
-    if cur is not None and cur < version:
-        return read_state(spark, root, cur)
-    return None
+    except AnalysisException:
+        cur = current_version(spark, root)
+        if cur is not None and cur < version:
+            return read_state(spark, root, cur)
+        return None
 
 
 def apply_epoch(requests: DataFrame, epoch_id: int, state_root: str, key: str | None,

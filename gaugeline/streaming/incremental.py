@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,32 +75,33 @@ def _latest(df: DataFrame) -> DataFrame:
                                         F.max_by("value", "epoch").alias("value"))
 
 
+def _base(spark: SparkSession, root: str) -> tuple[DataFrame | None, int | None]:
+    """Newest compacted base ``(rows, upto_epoch)``, or ``(None, None)``."""
+    try:
+        bases = spark.read.parquet(f"{root}/base")
+    except AnalysisException:
+        return None, None
+    upto = bases.agg(F.max("upto")).first()[0]
+    return bases.filter(F.col("upto") == upto).drop("upto"), upto
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """Current state ``(type, id, delta, value)``: each change row carries the
     key's full running value, so the latest epoch per key wins (a partial
     aggregate over change rows; no single-task step)."""
     changes = spark.read.parquet(f"{root}/changes")
-    base_path = f"{root}/base"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base_path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        base = spark.read.parquet(base_path)  # columns + epoch of the compaction
-        upto = base.agg(F.max("epoch")).first()[0]
-        changes = changes.filter(F.col("epoch") > upto).unionByName(base)
+    base, upto = _base(spark, root)
+    if base is not None:
+        changes = changes.filter(F.col("epoch") > upto).unionByName(base.withColumn("epoch", F.lit(upto)))
     return _latest(changes)
 
 
 def compact(spark: SparkSession, root: str) -> None:
-    """Fold all changes into ``base`` (tagged with the last epoch) so later
-    reads scan only the base and newer epochs.  Written to a new folder and
-    then swapped in, never over the folder being read."""
-    cur = spark.read.parquet(f"{root}/changes")
-    last = cur.agg(F.max("epoch")).first()[0]
-    state = read_current(spark, root).withColumn("epoch", F.lit(last))
-    tmp = f"{root}/base-{last}"
-    state.write.mode("overwrite").parquet(tmp)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/base")
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        fs.delete(fs_path, True)
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp), fs_path)
+    """Fold all changes into a new base ``base/upto=<last epoch>`` so later
+    reads scan only that base and newer epochs.  Bases are never
+    overwritten while read: each compaction writes a new folder."""
+    last = spark.read.parquet(f"{root}/changes").agg(F.max("epoch")).first()[0]
+    _, upto = _base(spark, root)
+    if last is None or (upto is not None and upto >= last):
+        return
+    read_current(spark, root).write.mode("overwrite").parquet(f"{root}/base/upto={last}")
