@@ -27,18 +27,20 @@ def bulk_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     # One composite join key: the state side (one row per key) then gets
     # its own exchange even when it comes straight from a fold, so both
     # inputs are plain shuffle stages and AQE can split a hot requested key.
-    s = state.select(_key().alias("_k"), F.col("delta"), F.col("value"), F.lit(True).alias("_found"))
+    s = state.select(_key().alias("_k"), F.col("delta").alias("_sd"), F.col("value").alias("_sv"),
+                     F.lit(True).alias("_found"))
     j = requests.withColumn("_k", _key()).join(s, "_k", "left").drop("_k")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status, err = _outcome(found)
-    return (j.withColumns({"status": status, "err": err,
-                           "text": F.when(found, format_metric_value("type", "delta", "value"))})
-            .drop("_found"))
+    return (j.withColumns({"status": status, "err": err, "delta": F.col("_sd"), "value": F.col("_sv"),
+                           "text": F.when(found, format_metric_value("type", "_sd", "_sv"))})
+            .drop("_found", "_sd", "_sv"))
 
 
 def _key() -> F.Column:
-    # Kinds never contain NUL, so (type, id) ↔ key is one-to-one.
-    return F.concat_ws("\u0000", F.col("type"), F.col("id"))
+    # Kinds never contain NUL, so (type, id) <-> key is one-to-one; a null
+    # part gives a null key, which matches nothing.
+    return F.concat(F.col("type"), F.lit("\u0000"), F.col("id"))
 
 
 def point_lookup(state: DataFrame, kind: str, name: str) -> DataFrame:
