@@ -34,6 +34,20 @@ def sum_deltas(c: Column, overflow: str = "error") -> Column:
     raise ValueError(f"unknown overflow policy {overflow!r}")
 
 
+def add_totals(a: Column, b: Column, overflow: str = "error") -> Column:
+    """``a + b`` for counter totals under the same overflow policy as
+    ``sum_deltas`` (a null side counts as 0)."""
+    a, b = F.coalesce(a, F.lit(0).cast("bigint")), F.coalesce(b, F.lit(0).cast("bigint"))
+    if overflow == "error":
+        return a + b
+    if overflow == "null":
+        return F.try_add(a, b)
+    if overflow == "wrap":
+        exact = a.cast("decimal(38,0)") + b.cast("decimal(38,0)")
+        return (F.pmod(exact + F.expr(_TWO_63), F.expr(_TWO_64)) - F.expr(_TWO_63)).cast("bigint")
+    raise ValueError(f"unknown overflow policy {overflow!r}")
+
+
 def fold_state(updates: DataFrame, overflow: str = "error", seq: str = "seq") -> DataFrame:
     """AGG-3: current state of a validated update log, as METRIC rows
     ``(type, id, delta, value)``: counters sum their deltas, gauges keep the

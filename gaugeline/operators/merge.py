@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeline.operators.fold import counter_totals, fold_state, gauge_latest
+from gaugeline.operators.fold import add_totals, counter_totals, fold_state, gauge_latest
 from gaugeline.schema import COUNTER, GAUGE
 
 
@@ -25,7 +25,7 @@ def merge_counters(counters: DataFrame, updates: DataFrame, overflow: str = "err
     """MRG-2: insert or add: ``(id, value)``."""
     new = counter_totals(updates, overflow).withColumnRenamed("value", "_new")
     return (counters.withColumnRenamed("value", "_old").join(new, "id", "full_outer")
-            .select("id", (F.coalesce("_old", F.lit(0)) + F.coalesce("_new", F.lit(0))).alias("value")))
+            .select("id", add_totals(F.col("_old"), F.col("_new"), overflow).alias("value")))
 
 
 def merge_state(state: DataFrame, updates: DataFrame, overflow: str = "error") -> DataFrame:
@@ -36,7 +36,7 @@ def merge_state(state: DataFrame, updates: DataFrame, overflow: str = "error") -
     j = old.join(new, ["type", "id"], "full_outer")
     return j.select(
         "type", "id",
-        F.when(F.col("type") == COUNTER, F.coalesce("_od", F.lit(0)) + F.coalesce("_nd", F.lit(0))).alias("delta"),
+        F.when(F.col("type") == COUNTER, add_totals(F.col("_od"), F.col("_nd"), overflow)).alias("delta"),
         F.when(F.col("type") == GAUGE, F.coalesce("_nv", "_ov")).alias("value"))
 
 

@@ -217,3 +217,14 @@ def test_header_names_ignore_case(spark):
     got = [r[0] for r in df.select(fn.client_ip(fn.header("h", "X-Real-IP"), fn.header("h", "X-Forwarded-For"),
                                                 F.lit("7.7.7.7:1"))).collect()]
     assert got == ["1.2.3.4", "5.6.7.8", "7.7.7.7"]
+
+
+def test_merge_overflow_policies(spark):
+    big = 9223372036854775807
+    state = spark.createDataFrame([("counter", "c", big, None)], "type string, id string, delta bigint, value double")
+    u = metric_rows(spark, [(1, 1, 0, "c", "counter", 2, None)])
+    wrap = op.merge_state(state, u, overflow="wrap").first()["delta"]
+    assert wrap == -9223372036854775807
+    assert op.merge_state(state, u, overflow="null").first()["delta"] is None
+    with pytest.raises(Exception):
+        op.merge_state(state, u).collect()
