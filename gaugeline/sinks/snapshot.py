@@ -7,28 +7,54 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeline.schema import COUNTER
 
 
+def _nonfinite() -> F.Column:
+    return F.coalesce(F.isnan("value") | F.col("value").isin(float("inf"), float("-inf")), F.lit(False))
+
+
 def _snapshot_rows(state: DataFrame, nonfinite: str) -> DataFrame:
     rows = state.select("id", "type", "delta", "value")
-    if nonfinite == "reject":
-        bad = F.isnan("value") | F.col("value").isin(float("inf"), float("-inf"))
-        # JSON has no NaN/Infinity; a strict reader could not load them back.
-        rows = rows.withColumn("value", F.when(F.coalesce(bad, F.lit(False)),
-                                               F.raise_error(F.concat(F.lit("non-finite gauge in snapshot: "), F.col("id"))))
-                               .otherwise(F.col("value")))
+    if nonfinite == "error":
+        rows = rows.withColumn("value", F.when(_nonfinite(), F.raise_error(
+            F.concat(F.lit("non-finite gauge in snapshot: "), F.col("id")))).otherwise(F.col("value")))
+    elif nonfinite == "reject":
+        rows = rows.filter(~_nonfinite())
+    elif nonfinite != "string":
+        raise ValueError(f"unknown nonfinite policy {nonfinite!r}")
     return rows
 
 
-def write_snapshot(state: DataFrame, path: str, nonfinite: str = "reject") -> None:
+def write_snapshot(state: DataFrame, path: str, nonfinite: str = "reject",
+                   reject_path: str | None = None) -> None:
     """State as JSON Lines of METRIC rows (counters keep their total in
     ``delta``), written by all tasks in parallel, replacing ``path``.
-    Sorted by kind (counters first) and name within each file."""
-    rows = _snapshot_rows(state, nonfinite)
-    (rows.sortWithinPartitions(F.col("type") != COUNTER, "id")
-     .write.mode("overwrite").option("ignoreNullFields", "true").json(path))
+    Sorted by kind (counters first) and name within each file.
+
+    JSON has no NaN or Infinity.  ``nonfinite``: ``reject`` (default) leaves
+    such gauges out of the snapshot and, with ``reject_path``, writes them
+    there; ``error`` fails the write; ``string`` writes them as strings
+    (readable back by Spark, not by strict JSON readers).
+    """
+    if nonfinite == "reject" and reject_path:
+        state = state.persist()
+    try:
+        rows = _snapshot_rows(state, nonfinite)
+        (rows.sortWithinPartitions(F.col("type") != COUNTER, "id")
+         .write.mode("overwrite").option("ignoreNullFields", "true").json(path))
+        if nonfinite == "reject" and reject_path:
+            (state.select("id", "type", "delta", F.col("value").cast("string").alias("value"))
+             .filter(F.col("type") == "gauge").filter(_nonfinite_text())
+             .write.mode("overwrite").json(reject_path))
+    finally:
+        if nonfinite == "reject" and reject_path:
+            state.unpersist()
+
+
+def _nonfinite_text() -> F.Column:
+    return F.col("value").isin("NaN", "Infinity", "-Infinity")
 
 
 def write_snapshot_array(state: DataFrame, path: str, max_rows: int = 1_000_000,
-                         nonfinite: str = "reject") -> None:
+                         nonfinite: str = "error") -> None:
     """Interchange form: one file holding one JSON array (``null`` when the
     state is empty).  The array is built in one task, so the state size is
     checked first against ``max_rows``; larger states use ``write_snapshot``."""

@@ -102,11 +102,16 @@ def test_sink_writers(spark, scratch):
     write_signed_batches(signed_batches(updates(spark, SF_SMALL), SIGNING_KEY), f"{scratch}/out")
     gz = spark.read.parquet(f"{scratch}/out").orderBy("batch_id").first()
     assert gzip.decompress(gz["gz"]).startswith(b"[{")
-    nan_state = spark.createDataFrame([("gauge", "g", None, float("nan"))], "type string, id string, delta bigint, value double")
+    nan_state = spark.createDataFrame([("gauge", "g", None, float("nan")), ("gauge", "h", None, 1.5),
+                                       ("counter", "c", 3, None)], "type string, id string, delta bigint, value double")
     import pytest
+    write_snapshot(nan_state, f"{scratch}/snap_nan", reject_path=f"{scratch}/snap_rejects")
+    assert sorted(r["id"] for r in spark.read.json(f"{scratch}/snap_nan").collect()) == ["c", "h"]
+    assert [r["id"] for r in spark.read.json(f"{scratch}/snap_rejects").collect()] == ["g"]
     with pytest.raises(Exception):
-        write_snapshot(nan_state, f"{scratch}/snap_nan")
-    write_snapshot(nan_state, f"{scratch}/snap_nan_ok", nonfinite="string")
+        write_snapshot(nan_state, f"{scratch}/snap_nan_err", nonfinite="error")
+    write_snapshot(nan_state, f"{scratch}/snap_nan_str", nonfinite="string")
+    assert spark.read.json(f"{scratch}/snap_nan_str").count() == 3
 
 
 def test_dedupe_resent_batches(spark):
