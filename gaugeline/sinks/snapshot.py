@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeline.schema import COUNTER
+from gaugeline.sources.state import current_version, publish_version
 
 
 def _nonfinite() -> F.Column:
@@ -24,22 +25,29 @@ def _snapshot_rows(state: DataFrame, nonfinite: str) -> DataFrame:
 
 
 def write_snapshot(state: DataFrame, path: str, nonfinite: str = "reject",
-                   reject_path: str | None = None) -> None:
+                   reject_path: str | None = None) -> int:
     """State as JSON Lines of METRIC rows (counters keep their total in
-    ``delta``), written by all tasks in parallel, replacing ``path``.
-    Sorted by kind (counters first) and name within each file.
+    ``delta``), written by all tasks in parallel.  Sorted by kind (counters
+    first) and name within each file.
+
+    Crash-safe: each snapshot is a new version ``<path>/v=<n>``, published
+    by a marker only once complete (``read_snapshot`` follows it), so a
+    failed write never destroys the previous snapshot.  Returns ``n``.
 
     JSON has no NaN or Infinity.  ``nonfinite``: ``reject`` (default) leaves
     such gauges out of the snapshot and, with ``reject_path``, writes them
     there; ``error`` fails the write; ``string`` writes them as strings
     (readable back by Spark, not by strict JSON readers).
     """
+    spark = state.sparkSession
+    cur = current_version(spark, path)
+    version = 0 if cur is None else cur + 1
     if nonfinite == "reject" and reject_path:
         state = state.persist()
     try:
         rows = _snapshot_rows(state, nonfinite)
         (rows.sortWithinPartitions(F.col("type") != COUNTER, "id")
-         .write.mode("overwrite").option("ignoreNullFields", "true").json(path))
+         .write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/v={version}"))
         if nonfinite == "reject" and reject_path:
             (state.select("id", "type", "delta", F.col("value").cast("string").alias("value"))
              .filter(F.col("type") == "gauge").filter(_nonfinite_text())
@@ -47,6 +55,8 @@ def write_snapshot(state: DataFrame, path: str, nonfinite: str = "reject",
     finally:
         if nonfinite == "reject" and reject_path:
             state.unpersist()
+    publish_version(spark, path, version)
+    return version
 
 
 def _nonfinite_text() -> F.Column:

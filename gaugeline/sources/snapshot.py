@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import METRIC
 from gaugeline.sources.json_body import with_batch_array
+from gaugeline.sources.state import current_version
 
 
 def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
@@ -18,7 +19,10 @@ def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) ->
     ``pos`` is the array position, used for last-wins on repeated ids.
     """
     if not whole_array:
-        df = spark.read.schema(METRIC).json(path)
+        # A snapshot written by ``sinks.write_snapshot`` is versioned: read
+        # the newest published version.  Plain JSON files are read as given.
+        version = current_version(spark, path)
+        df = spark.read.schema(METRIC).json(path if version is None else f"{path}/v={version}")
         return (df.filter(~(F.col("id").isNull() & F.col("type").isNull()
                             & F.col("delta").isNull() & F.col("value").isNull()))
                 .withColumns({"file": F.col("_metadata.file_path"), "pos": F.lit(None).cast("bigint")}))

@@ -32,7 +32,8 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return None if v is None else int(v)
 
 
-def _publish(spark: SparkSession, root: str, version: int) -> None:
+def publish_version(spark: SparkSession, root: str, version: int) -> None:
+    """Mark version ``version`` under ``root`` as complete."""
     (spark.createDataFrame([(str(version),)], "value string").coalesce(1)
      .write.mode("overwrite").text(f"{root}/{POINTERS}/version={version}"))
 
@@ -50,7 +51,7 @@ def write_state_version(state: DataFrame, root: str, version: int | None = None)
     # A folded state is already hash-partitioned by (type, id); only sort.
     (state.sortWithinPartitions("type", "id")
      .write.mode("overwrite").partitionBy("type").parquet(f"{root}/v={version}"))
-    _publish(spark, root, version)
+    publish_version(spark, root, version)
     return version
 
 

@@ -106,12 +106,15 @@ def test_sink_writers(spark, scratch):
                                        ("counter", "c", 3, None)], "type string, id string, delta bigint, value double")
     import pytest
     write_snapshot(nan_state, f"{scratch}/snap_nan", reject_path=f"{scratch}/snap_rejects")
-    assert sorted(r["id"] for r in spark.read.json(f"{scratch}/snap_nan").collect()) == ["c", "h"]
+    from gaugeline.sources import read_snapshot
+    assert sorted(r["id"] for r in read_snapshot(spark, f"{scratch}/snap_nan").collect()) == ["c", "h"]
+    assert write_snapshot(nan_state.filter("id = 'c'"), f"{scratch}/snap_nan") == 1  # next version
+    assert [r["id"] for r in read_snapshot(spark, f"{scratch}/snap_nan").collect()] == ["c"]
     assert [r["id"] for r in spark.read.json(f"{scratch}/snap_rejects").collect()] == ["g"]
     with pytest.raises(Exception):
         write_snapshot(nan_state, f"{scratch}/snap_nan_err", nonfinite="error")
     write_snapshot(nan_state, f"{scratch}/snap_nan_str", nonfinite="string")
-    assert spark.read.json(f"{scratch}/snap_nan_str").count() == 3
+    assert read_snapshot(spark, f"{scratch}/snap_nan_str").count() == 3
 
 
 def test_dedupe_resent_batches(spark):
