@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gaugeline.functions.cache import column_cache
+
 # Go's TrimSpace strips Unicode white space, not only blanks.
 _SPACE = r"[\s\x{85}\p{Z}]"
 
 
+@column_cache
 def header(headers, name: str) -> Column:
     """Header value from a ``map<string,string>`` column, '' when absent.
 
@@ -20,6 +23,7 @@ def header(headers, name: str) -> Column:
     return F.coalesce(h.getItem(name), any_case, F.lit(""))
 
 
+@column_cache
 def client_ip(real_ip, forwarded_for, remote_addr) -> Column:
     """``X-Real-IP`` as is; else ``X-Forwarded-For`` up to the first comma;
     if that is empty, the remote address without what follows its last

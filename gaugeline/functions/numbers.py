@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gaugeline.functions.cache import column_cache
+
 # Fixed syntax of accepted gauge text, case-insensitive and anchored:
 # signed inf/infinity, unsigned nan, signed decimal with optional exponent,
 # signed hexadecimal float with a mandatory binary exponent.
@@ -27,6 +29,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@column_cache
 def parse_gauge_text(c) -> Column:
     """Double from strict gauge text, or null when the text is rejected.
 
@@ -41,6 +44,7 @@ def parse_gauge_text(c) -> Column:
     return F.when(ok_syntax & (~infinite | spelled_inf), parsed)
 
 
+@column_cache
 def parse_counter_text(c) -> Column:
     """Bigint from strict base-10 text, or null (blanks, fractions, overflow)."""
     s = _col(c)

@@ -12,6 +12,8 @@ import hashlib
 
 from pyspark.sql import Column, functions as F
 
+from gaugeline.functions.cache import column_cache
+
 _BLOCK = 64  # SHA-256 block size in bytes
 
 
@@ -24,6 +26,7 @@ def hmac_pads(key: str) -> tuple[bytes, bytes]:
     return bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k)
 
 
+@column_cache
 def hmac_sha256_hex(body, key: str, binary: bool = False) -> Column:
     """Lower-case hex HMAC-SHA256 of ``body``.
 

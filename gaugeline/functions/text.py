@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gaugeline.functions.cache import column_cache
 from gaugeline.schema import COUNTER, GAUGE
 
 # Java's shortest-repr text of |v|: integer digits, fraction digits and an
@@ -41,6 +42,7 @@ def _exact_udf():
     return _EXACT["f"]
 
 
+@column_cache
 def format_gauge(c, exact: bool = True) -> Column:
     """Gauge text the way the service prints it (FN-1).
 
@@ -89,11 +91,13 @@ def format_gauge(c, exact: bool = True) -> Column:
             .otherwise(native))
 
 
+@column_cache
 def format_counter(c) -> Column:
     """Counter text: base-10 integer (FN-2)."""
     return _col(c).cast("string")
 
 
+@column_cache
 def format_metric_value(kind, delta, value) -> Column:
     """Text of a stored metric: gauge value or counter total by kind."""
     k = _col(kind)
@@ -101,11 +105,13 @@ def format_metric_value(kind, delta, value) -> Column:
             .when(k == COUNTER, format_counter(delta)))
 
 
+@column_cache
 def byte_prefix_hex(c, n: int) -> Column:
     """Hex of the first ``n`` UTF-8 bytes of a string (exact byte cut)."""
     return F.substring(F.hex(F.encode(_col(c), "UTF-8")), 1, 2 * n)
 
 
+@column_cache
 def truncate_bytes(c, n: int, marker: str | None = None) -> Column:
     """First ``n`` bytes of the UTF-8 text (FN-6).
 
@@ -123,6 +129,7 @@ def truncate_bytes(c, n: int, marker: str | None = None) -> Column:
     return out
 
 
+@column_cache
 def mask_hash(c) -> Column:
     """Hide a secret: first 10 bytes and an ellipsis when longer (FN-5)."""
     s = _col(c)
@@ -133,6 +140,7 @@ def mask_hash(c) -> Column:
             .otherwise(F.concat(truncate_bytes(s, keep), F.lit(ellipsis))))
 
 
+@column_cache
 def epoch_seconds(name: str, dtype: str) -> Column:
     """Unix seconds of the timestamp column ``name``, independent of the
     session time zone for naive (``timestamp_ntz``) values, read as UTC."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.functions.cache import column_cache
 from gaugeline.functions.signing import hmac_sha256_hex
 
 
+@column_cache
 def signature_state(body, presented, key: str | None) -> Column:
     """'unsigned' when no key is configured or no hash is presented, else
     'valid' / 'invalid' by exact comparison with the lower-case hex HMAC."""

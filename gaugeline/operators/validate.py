@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.functions.cache import column_cache
 from gaugeline.schema import (CODE_BAD_VALUE, CODE_DECODE, CODE_INVALID_TYPE, CODE_OK, COUNTER,
                               ERR_BAD_VALUE, ERR_DECODE, ERR_INVALID_TYPE, GAUGE)
 
 
+@column_cache
 def kind_ok(type_col: str = "type") -> Column:
     """VAL-1: the kind is exactly 'gauge' or 'counter' (null is not)."""
     return F.coalesce(F.col(type_col).isin(GAUGE, COUNTER), F.lit(False))
 
 
+@column_cache
 def value_present(type_col: str = "type", delta: str = "delta", value: str = "value") -> Column:
     """VAL-2: the field the kind needs is present (zero counts as present)."""
     t = F.col(type_col)
     return ~(((t == GAUGE) & F.col(value).isNull()) | ((t == COUNTER) & F.col(delta).isNull()))
 
 
+@column_cache
 def row_error_code(type_col: str = "type", delta: str = "delta", value: str = "value",
                    decode_ok: str | None = None) -> Column:
     """Integer outcome of one row, checked in the service's order: missing
@@ -33,6 +37,7 @@ def row_error_code(type_col: str = "type", delta: str = "delta", value: str = "v
     return code
 
 
+@column_cache
 def error_label(code) -> Column:
     """Message of an outcome code (null for OK)."""
     c = F.col(code) if isinstance(code, str) else code

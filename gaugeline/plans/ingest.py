@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.functions.cache import column_cache
 from gaugeline.functions.net import client_ip, header
 from gaugeline.functions.text import epoch_seconds
 from gaugeline.operators.fold import fold_state
@@ -37,6 +38,19 @@ def _element_code(m: Column) -> Column:
             .otherwise(F.lit(CODE_OK)))
 
 
+@column_cache
+def _outcome_exprs() -> tuple[Column, Column, Column]:
+    """Per-element codes, first bad position and the request's code over
+    the columns ``rows``, ``_codes``, ``bad_pos`` and ``decode_ok``."""
+    codes = F.transform(F.col("rows"), _element_code)
+    first_bad = F.array_position(F.transform(F.col("_codes"), lambda c: c != CODE_OK), True)
+    bad_pos = F.when(first_bad > 0, first_bad - 1)
+    code = (F.when(~F.col("decode_ok"), F.lit(CODE_DECODE))
+            .when(F.col("bad_pos").isNotNull(), F.element_at("_codes", (F.col("bad_pos") + 1).cast("int")))
+            .otherwise(F.lit(CODE_OK)))
+    return codes, bad_pos, code
+
+
 def inflate_requests(requests: DataFrame) -> DataFrame:
     """Inflate gzip bodies (binary ``body``) whose Content-Encoding says so;
     a body that does not inflate becomes null (answered 400)."""
@@ -56,12 +70,8 @@ def evaluate_requests(requests: DataFrame, key: str | None) -> DataFrame:
     """
     sig = signature_state("body", header("headers", H_HASH), key)
     r = with_batch_array(requests.withColumn("signature_state", sig), "body")
-    codes = F.transform(F.col("rows"), _element_code)
-    first_bad = F.array_position(F.transform(codes, lambda c: c != CODE_OK), True)
-    r = r.withColumns({"_codes": codes, "bad_pos": F.when(first_bad > 0, first_bad - 1)})
-    code = (F.when(~F.col("decode_ok"), F.lit(CODE_DECODE))
-            .when(F.col("bad_pos").isNotNull(), F.element_at("_codes", (F.col("bad_pos") + 1).cast("int")))
-            .otherwise(F.lit(CODE_OK)))
+    codes, bad_pos, code = _outcome_exprs()
+    r = r.withColumns({"_codes": codes}).withColumn("bad_pos", bad_pos)
     invalid_sig = F.col("signature_state") == "invalid"
     out = (r.withColumn("err_code", F.when(invalid_sig, F.lit(None).cast("int")).otherwise(code))
            .withColumns({

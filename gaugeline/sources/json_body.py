@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.functions.cache import column_cache
 from gaugeline.schema import METRIC
 
 
@@ -49,11 +50,13 @@ def _first_value_batch(s):
 _UDFS: dict = {}
 
 
-def _parse_first_value(body: Column, whole: Column) -> Column:
-    """VARIANT of the body's first JSON value: ``whole`` (the whole-text
-    parse) when it succeeded, else the parse of the leading value."""
+@column_cache
+def _parse_first_value(body: str, whole: str) -> Column:
+    """VARIANT of the body's first JSON value: column ``whole`` (the
+    whole-text parse) when it succeeded, else the parse of the leading value."""
     if "first" not in _UDFS:  # built on first use: a pandas UDF needs a session
         _UDFS["first"] = F.pandas_udf(_first_value_batch, "string")
+    body, whole = F.col(body), F.col(whole)
     prefix = _UDFS["first"](F.when(whole.isNull(), body))
     return F.coalesce(whole, F.try_parse_json(prefix))
 
@@ -126,6 +129,29 @@ def _metric_of(f: Column) -> Column:
     )
 
 
+@column_cache
+def _batch_exprs(ok: str) -> tuple[Column, Column, Column]:
+    """Expressions of the batch decode over the staged columns ``_v``,
+    ``_top`` and ``_elems`` (built once, see ``functions.cache``)."""
+    elems = _array_fields(F.try_variant_get("_v", "$", "array<variant>"))
+    is_null_doc = F.col("_top") == "VOID"
+    decode_ok = F.coalesce(is_null_doc | (F.col("_elems").isNotNull() & F.forall("_elems", _object_ok)),
+                           F.lit(False))
+    rows = (F.when(is_null_doc, F.array().cast(f"array<{METRIC.simpleString()}>"))
+            .when(F.col(ok), F.transform("_elems", _metric_of)))
+    return elems, decode_ok, rows
+
+
+@column_cache
+def _single_exprs() -> tuple[Column, Column, Column, Column, Column]:
+    kind, fold = _kind_and_fold(F.col("_v"))
+    fields = F.when(F.col("_v").isNotNull(), _fields_from(F.col("_v"), F.col("_k"), F.col("_fold")))
+    f = F.col("_f")
+    ok = F.coalesce(f.isNotNull() & _object_ok(f), F.lit(False))
+    m = F.when(F.col("decode_ok"), _metric_of(f))
+    return kind, fold, fields, ok, m
+
+
 def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok: str = "decode_ok") -> DataFrame:
     """Add ``rows`` (``array<METRIC>``; empty for a ``null`` body, null when
     decoding failed) and ``ok`` (decoded) for a batch body column.
@@ -135,16 +161,11 @@ def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok:
     repeat a non-trivial expression), keeping generated code small.
     """
     keep = [c for c in df.columns if c not in (rows, ok)]
+    elems, decode_ok, out = _batch_exprs(ok)
     whole = df.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
-    parsed = whole.select(*keep, _parse_first_value(F.col(body), F.col("_w")).alias("_v"))
-    shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"),
-                           _array_fields(F.try_variant_get("_v", "$", "array<variant>")).alias("_elems"))
-    is_null_doc = F.col("_top") == "VOID"
-    elems = F.col("_elems")
-    checked = shaped.select(*keep, "_top", "_elems", F.coalesce(
-        is_null_doc | (elems.isNotNull() & F.forall(elems, _object_ok)), F.lit(False)).alias(ok))
-    out = (F.when(F.col("_top") == "VOID", F.array().cast(f"array<{METRIC.simpleString()}>"))
-           .when(F.col(ok), F.transform("_elems", _metric_of)))
+    parsed = whole.select(*keep, _parse_first_value(body, "_w").alias("_v"))
+    shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"), elems.alias("_elems"))
+    checked = shaped.select(*keep, "_top", "_elems", decode_ok.alias(ok))
     return checked.select(*keep, out.alias(rows), ok)
 
 
@@ -168,15 +189,12 @@ def parse_single_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     an array or a badly typed field is a decode error.
     """
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
+    kind, fold, fields_expr, ok, m = _single_exprs()
     whole = bodies.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
-    parsed = whole.select(*keep, _parse_first_value(F.col(body), F.col("_w")).alias("_v"))
-    kind, fold = _kind_and_fold(F.col("_v"))
+    parsed = whole.select(*keep, _parse_first_value(body, "_w").alias("_v"))
     tagged = parsed.select(*keep, "_v", kind.alias("_k"), fold.alias("_fold"))
-    fields = tagged.select(*keep, F.when(F.col("_v").isNotNull(), _fields_from(
-        F.col("_v"), F.col("_k"), F.col("_fold"))).alias("_f"))
-    f = F.col("_f")
-    checked = fields.select(*keep, "_f", F.coalesce(f.isNotNull() & _object_ok(f), F.lit(False)).alias("decode_ok"))
-    m = F.when(F.col("decode_ok"), _metric_of(f))
+    fields = tagged.select(*keep, fields_expr.alias("_f"))
+    checked = fields.select(*keep, "_f", ok.alias("decode_ok"))
     # Emitted through a generator: later filters on these columns (for
     # instance on the row's outcome) stay above it instead of being pushed
     # down with the decode expressions copied into every branch.
