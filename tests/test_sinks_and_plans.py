@@ -129,3 +129,18 @@ def test_dedupe_resent_batches(spark):
     doubled = {r["id"]: r["delta"] for r in ingest(twice, SIGNING_KEY)["state"].filter("type = 'counter'").collect()}
     assert deduped == once
     assert all(doubled[r[1]] == 2 * r[2] for r in once if r[0] == "counter")
+
+
+def test_running_windows_never_partition_rows_by_key_alone(spark):
+    """The row-level windows of echoes and as-of lookups are partitioned by
+    (key, bucket); a window by key alone only runs over bucket summaries."""
+    import re
+    for name in ("counter_echo", "asof_lookup"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
+        row_level = [w for w in windows if "_ls_" in w or "_ll_" in w]
+        assert len(windows) == 2 and row_level, name
+        for w in row_level:
+            spec = w.split("windowspecdefinition(", 1)[1]
+            partition_part = spec.split(" ASC", 1)[0]  # partition keys come before the ordering
+            assert "_bkt" in partition_part, (name, w)
