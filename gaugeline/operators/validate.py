@@ -56,15 +56,22 @@ def classify(updates: DataFrame, decode_ok: str | None = None) -> DataFrame:
 
 
 def bad_batches(classified: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Ids of batches holding at least one bad row, one per bad row.
+    """Ids of batches holding at least one bad row, one row per batch, as
+    column ``_bad_batch``.  Only bad rows are shuffled (with a map-side
+    partial distinct), so the exchange is as small as the error rate and a
+    batch full of bad rows still yields one row."""
+    return (classified.filter(F.col("err_code") != CODE_OK)
+            .select(F.col(batch).alias("_bad_batch")).distinct())
 
-    Only bad rows are shuffled, so the exchange is as small as the error
-    rate.  Ids are not de-duplicated: the semi and anti joins that use them
-    do not need it, and leaving the side a plain exchange lets AQE split a
-    hot batch on the other side of the join (its skew-join rule applies only
-    between two plain shuffle stages).
-    """
-    return classified.filter(F.col("err_code") != CODE_OK).select(batch)
+
+def _failed(batch: str) -> Column:
+    # Join condition against ``bad_batches``.  The ids are compared through
+    # their text form (one to one for integers): a join key that is not the
+    # distinct's own partitioning column makes Spark add a plain exchange on
+    # both sides, the shape AQE needs to split a hot batch (a third of all
+    # rows) on the update side.  The de-duplicated side never holds more
+    # than one row per batch, so it cannot be skewed itself.
+    return F.col(batch).cast("string") == F.col("_bad_batch").cast("string")
 
 
 def gate_batches(updates: DataFrame, batch: str = "batch_id", decode_ok: str | None = None) -> DataFrame:
@@ -75,7 +82,7 @@ def gate_batches(updates: DataFrame, batch: str = "batch_id", decode_ok: str | N
     a shuffle join whose skewed partitions (a hot batch) it splits.
     """
     c = classify(updates, decode_ok=decode_ok)
-    return (c.join(bad_batches(c, batch), batch, "left_anti")
+    return (c.join(bad_batches(c, batch), _failed(batch), "left_anti")
             .drop("err_code", "err", "status"))
 
 
@@ -117,12 +124,11 @@ def batch_lanes(updates: DataFrame, batch: str = "batch_id", decode_ok: str | No
     ``quarantined`` (row invalid).  The three lanes partition the input.
 
     Built from an anti join (accepted) and a semi join (failed batches)
-    against the failing ids, both skew-splittable, rather than an outer
-    join that would need the ids de-duplicated first.
+    against the failing ids, both skew-splittable (see ``gate_batches``).
     """
     c = classify(updates, decode_ok=decode_ok)
     bad = bad_batches(c, batch)
-    ok = c.join(bad, batch, "left_anti").withColumn("lane", F.lit("accepted"))
-    failed = c.join(bad, batch, "left_semi").withColumn(
+    ok = c.join(bad, _failed(batch), "left_anti").withColumn("lane", F.lit("accepted"))
+    failed = c.join(bad, _failed(batch), "left_semi").withColumn(
         "lane", F.when(F.col("err_code") == CODE_OK, F.lit("salvaged")).otherwise(F.lit("quarantined")))
     return ok.unionByName(failed).drop("status")
