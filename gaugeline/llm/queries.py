@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm.common import table
+from gaugeline.llm.mixing import mixing_rates
 from gaugeline.llm.ngram_jaccard import jaccard_classes
 from gaugeline.llm.quality_rules import quality_rules
+from gaugeline.llm.sentencepiece_sampling import encode_samples
+from gaugeline.llm.substring_dedup import repeated_spans
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_samples(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules, op9_ngram_jaccard)}
+    f.__name__: f for f in (op2_sentencepiece, op6_quality_rules, op8_suffix_dedup, op9_ngram_jaccard, op10_mixing)}
 ORACLES: dict[str, str] = {}
