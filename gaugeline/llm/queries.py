@@ -7,21 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm.common import table
+from gaugeline.llm.html_extraction import extract_pages
+from gaugeline.llm.language_id import identify
 from gaugeline.llm.mixing import mixing_rates
 from gaugeline.llm.ngram_jaccard import jaccard_classes
 from gaugeline.llm.quality_rules import quality_rules
 from gaugeline.llm.sentencepiece_sampling import encode_samples
 from gaugeline.llm.substring_dedup import repeated_spans
+from gaugeline.llm.url_filters import judge_urls
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_samples(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -35,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op6_quality_rules, op8_suffix_dedup, op9_ngram_jaccard, op10_mixing)}
+    f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mixing)}
 ORACLES: dict[str, str] = {}
