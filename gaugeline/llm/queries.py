@@ -9,18 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugeline.llm.common import table
 from gaugeline.llm.html_extraction import extract_pages
 from gaugeline.llm.language_id import identify
+from gaugeline.llm.license_scan import license_scan
 from gaugeline.llm.mixing import mixing_rates
 from gaugeline.llm.ngram_jaccard import jaccard_classes
 from gaugeline.llm.quality_rules import quality_rules
 from gaugeline.llm.sentencepiece_sampling import encode_samples
 from gaugeline.llm.substring_dedup import repeated_spans
+from gaugeline.llm.topk_search import top_k
 from gaugeline.llm.url_filters import judge_urls
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_samples(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +61,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mixing)}
+    f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_topk_search, op4_url_filters, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mixing)}
 ORACLES: dict[str, str] = {}

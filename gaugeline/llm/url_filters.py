@@ -52,16 +52,15 @@ def listed(rules: tuple = RULES) -> tuple[Column, Column]:
 
 
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """(rule_id, tokens, confidence, support) concluding the blocked class;
-    a rule with a subset of its tokens at the same or more confidence is dropped
-    by support order when matching, as any rule that fires blocks."""
+    """(rule_id, tokens, confidence, support) concluding the blocked class."""
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled)
     return (model.associationRules.where(F.col("consequent")[0] == BLOCKED)
             .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
             .withColumn("rule_id", F.xxhash64("tokens")))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8,
+               min_pages: int = 10) -> DataFrame:
     """page_id, host, path, rule, verdict and the mined confidence."""
     host, path = parts(F.col("url"))
     p = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", tokens().alias("tokens"))
@@ -69,7 +68,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002,
     labelled = (p.join(bad, p.page_id == bad.doc_id)
                 .select(F.concat("tokens", F.when(F.col("bad") == 1, F.array(F.lit(BLOCKED))).otherwise(
                     F.expr("cast(array() as array<string>)"))).alias("items")))
-    rules = materialize(mine_rules(materialize(labelled, "url-items"), min_support, min_confidence), "url-rules")
+    labelled = materialize(labelled, "url-items")
+    # A rule also needs ``min_pages`` pages, or few labels would be learned by heart.
+    min_support = min(1.0, max(min_support, min_pages / max(labelled.count(), 1)))
+    rules = materialize(mine_rules(labelled, min_support, min_confidence), "url-rules")
     index = rules.select("rule_id", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
     # One row per distinct token set, so that repeated hosts match once.
     sets = p.select("tokens").distinct()
