@@ -37,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugeline.llm.common import DOCUMENT_COLUMNS, ascii_lower, connected, materialize, words
 
@@ -122,7 +122,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(own))], ["sig", "rep"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep and ``s`` of the documents in ``ids``; one row for each id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    return shingle_sets(texts).select(F.col("doc_id").alias("rep"), "s")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    pairs = materialize(pairs, "jaccard-pairs")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = materialize(_sets_of(docs, ids).dropDuplicates(["rep"]), "jaccard-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
@@ -136,24 +145,22 @@ def _fits(a: str, b: str):
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    sets = materialize(
-        shingle_sets(docs).select("doc_id", "s", F.size("s").cast("long").alias("n"),
-                                  F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256).alias("key")),
-        "jaccard-sets")
-    reps = (sets.where("n > 0").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep")))
-    member = sets.select("doc_id", "n", "key").join(reps, "key", "left").select("doc_id", "n", "rep")
-    rep_sets = materialize(
-        sets.join(reps, (sets.key == reps.key) & (sets.doc_id == reps.rep)).select("rep", "s", F.col("n").cast("int").alias("n"))
-        .dropDuplicates(["rep"]), "jaccard-reps")
-    sigs = materialize(
-        rep_sets.where("n >= 4").select("rep", "s").mapInArrow(_sign, "sig long, rep long"), "jaccard-signatures")
-    shared = sigs.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    hits = materialize(sigs.join(shared, "sig").select("sig", "rep", "low"), "jaccard-hits")
+    key = F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256)
+    keys = materialize(shingle_sets(docs).select("doc_id", F.size("s").cast("long").alias("n"), key.alias("key")), "jaccard-keys")
+    reps = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").cast("int").alias("n"))
+    reps = materialize(reps, "jaccard-reps")
+    member = keys.select("doc_id", "n", "key").join(reps.select("key", "rep"), "key", "left").select("doc_id", "n", "rep")
+    # Sets are made from the texts where they are needed; they are larger than the texts.
+    sigs = (_sets_of(docs, reps.where("n >= 4").select("rep"))
+            .mapInArrow(_sign, "sig long, rep long"))
+    group = Window.partitionBy("sig")
+    hits = materialize(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
+                       .where("low < high").select("sig", "rep", "low"), "jaccard-hits")
 
     star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
-    first = materialize(_verify(star, rep_sets.select("rep", "s")), "jaccard-first")
+    first = materialize(_verify(star, docs), "jaccard-first")
     label = connected(first, "jaccard-cc")
-    sized = rep_sets.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+    sized = reps.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "n", F.coalesce("label", "rep").alias("label"))
     open_ = hits.join(sized, "rep")
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
@@ -162,7 +169,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rest = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
                       & (F.col("l.rep") < F.col("r.rep")) & _fits("l.n", "r.n"))
             .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct())
-    second = materialize(_verify(rest, rep_sets.select("rep", "s")), "jaccard-second")
+    second = materialize(_verify(rest, docs), "jaccard-second")
     label = connected(first.union(second), "jaccard-cc")
     return (member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
