@@ -90,25 +90,49 @@ class Lattice:
             hit = self.cache[w] = (beta, arcs)
         return hit
 
-    def draw(self, w: str, rng, without: frozenset = frozenset()) -> tuple[tuple, float]:
+    def left(self, w: str, tried: frozenset, i: int = 0) -> float:
+        """Log mass, from place ``i`` on, of the segmentations not in ``tried``.
+        Sums only, so that a tiny remainder is exact."""
+        beta, arcs = self.word(w)
+        logp = 0.0
+        while tried and i < len(w) and len(arcs[i]) == 1:
+            i, ids, s = arcs[i][0]
+            tried, logp = _after(tried, ids), logp + s
+        if not tried:
+            return logp + beta[i]
+        if i == len(w):
+            return -math.inf
+        parts = [s + self.left(w, _after(tried, ids), j) for j, ids, s in arcs[i]]
+        top = max(parts)
+        return -math.inf if top == -math.inf else logp + top + math.log(sum(math.exp(x - top) for x in parts))
+
+    def draw(self, w: str, rng, tried: frozenset = frozenset()) -> tuple[tuple, float]:
         """(ids, log-probability within the word) of one segmentation, drawn in
-        proportion to its mass among those not in ``without``."""
+        proportion to its mass among those not in ``tried``."""
         beta, arcs = self.word(w)
-        while True:
-            i, ids, logp = 0, (), -beta[0]
-            while i < len(w):
-                own = arcs[i]
-                if len(own) == 1:
-                    pick = own[0]
-                else:
-                    u = rng.random()
-                    for pick in own:
-                        u -= math.exp(pick[2] + beta[pick[0]] - beta[i])
+        i, ids, logp = 0, (), -beta[0]
+        while i < len(w):
+            own = arcs[i]
+            pick = own[0]
+            if len(own) > 1:
+                mass = [s + (self.left(w, _after(tried, x), j) if tried else beta[j]) for j, x, s in own]
+                top = max(mass)
+                mass = [math.exp(x - top) for x in mass]
+                u = rng.random() * sum(mass)
+                for arc, x in zip(own, mass):
+                    if x > 0:
+                        pick = arc
+                        u -= x
                         if u < 0:
                             break
-                i, ids, logp = pick[0], ids + pick[1], logp + pick[2]
-            if ids not in without:
-                return ids, logp
+            tried = _after(tried, pick[1]) if tried else tried
+            i, ids, logp = pick[0], ids + pick[1], logp + pick[2]
+        return ids, logp
+
+
+def _after(tried: frozenset, ids: tuple) -> frozenset:
+    """What is left of the segmentations that go on with ``ids``."""
+    return frozenset(t[len(ids):] for t in tried if t[:len(ids)] == ids)
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -160,9 +184,12 @@ def sample(lat: Lattice, text: str, key: str, k: int) -> tuple[list[tuple], floa
         single = np.array([all(len(a) == 1 for a in lat.word(w)[1]) for w in words[at:]])
         rest[single] = -np.inf
         tried = without | {segs[at]} if at < n else without
-        if at < n and without:
-            gone = sum(math.exp(_logp(lat, words[at], s)) for s in tried)
-            rest[0] = math.log1p(-gone) if gone < 1 - 1e-12 else -np.inf
+        # A remainder next to nothing is summed, not subtracted.
+        for j in np.flatnonzero((lp[at:] > -1e-6) & ~single):
+            w = words[at + int(j)]
+            rest[j] = lat.left(w, frozenset([segs[at + int(j)]])) - lat.word(w)[0][0]
+        if without:
+            rest[0] = lat.left(words[at], tried) - lat.word(words[at])[0][0]
         loc = before[at:n] + rest
         g = _truncated(loc, top, rng)
         here = (segs, logs)
