@@ -29,6 +29,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|comments?|disqus|"
                    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|"
                    r"recommend\w*|newsletter|subscribe|popup|modal|toolbar|widget|login|search|pagination|pager|skip)(?:$|[\s_-])", re.I)
+_CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟।]")
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "tr": frozenset(("tr", "td", "th")),
@@ -101,7 +102,8 @@ def extract(html: str | None, keep_share: float = 0.0) -> str:
     if not html:
         return ""
     parser = PathText()
-    parser.feed(html)
+    # A tag that the page's end cuts off is no text.
+    parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     parser.flush()
     ratio: dict[tuple, float] = {}
