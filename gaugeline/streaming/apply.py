@@ -5,16 +5,16 @@ row-locally (signature, decode, all-or-nothing gate), folded, merged into
 the stored state and written as a new state version; audit events of the
 accepted requests go to every audit sink.
 
-Replays are idempotent: epoch ``e`` reads state version ``e`` and writes
-version ``e + 1`` (and audit partition ``epoch=e``) with overwrite, so a
-re-run of the same epoch after a failure produces the same files.
+An epoch builds on the newest published version and becomes the next one, so
+a store that already holds state keeps it, also under a fresh checkpoint.  The
+marker names the query and the epoch: a replayed epoch that was published is
+not applied again (its audit events are sent again).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,32 +23,27 @@ from gaugeline.operators.fold import fold_state
 from gaugeline.operators.merge import merge_state
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks.audit import fan_out
-from gaugeline.sources.state import current_version, read_state, write_state_version
+from gaugeline.sources.state import current_version, published_epoch, read_state, write_state_version
 
 
-def _state_at(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """State version ``version`` if it was written, else the latest one
-    before it (None for an empty store)."""
-    try:
-        return read_state(spark, root, version)
-    except AnalysisException:
-        cur = current_version(spark, root)
-        if cur is not None and cur < version:
-            return read_state(spark, root, cur)
-        return None
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming keeps in a checkpoint: the same after a
+    restart, another one under a fresh checkpoint."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
 def apply_epoch(requests: DataFrame, epoch_id: int, state_root: str, key: str | None,
-                audit_sinks: Iterable[Callable[[DataFrame], None]] = ()) -> DataFrame:
+                audit_sinks: Iterable[Callable[[DataFrame], None]] = (), writer: str = "batch_apply") -> DataFrame:
     """Apply one micro-batch of request rows; returns the request outcomes."""
     spark = requests.sparkSession
     ev = evaluate_requests(requests, key).persist()
     try:
-        rows = accepted_rows(ev)
-        base = _state_at(spark, state_root, epoch_id)
-        new_state = fold_state(rows) if base is None else merge_state(
-            base.select("type", "id", "delta", "value"), rows)
-        write_state_version(new_state.select("type", "id", "delta", "value"), state_root, version=epoch_id + 1)
+        if published_epoch(spark, state_root, writer, epoch_id) is None:
+            rows = accepted_rows(ev)
+            base = current_version(spark, state_root)
+            new_state = fold_state(rows) if base is None else merge_state(read_state(spark, state_root, base), rows)
+            write_state_version(new_state.select("type", "id", "delta", "value"), state_root,
+                                0 if base is None else base + 1, writer, epoch_id, base)
         audit = request_audit(ev).withColumn("epoch", F.lit(epoch_id))
         # Audit sinks are best effort, as in the service: a failing sink is
         # logged by fan_out and does not undo the committed state version.
@@ -64,10 +59,10 @@ def start_batch_apply(requests: DataFrame, state_root: str, key: str | None,
                       trigger: dict | None = None) -> StreamingQuery:
     """STR-2 + STR-5 over a stream of request rows (REQUEST schema)."""
     sinks = list(audit_sinks)
+    ck = checkpoint or f"{checkpoint_root(requests.sparkSession)}/streams/{query_name}"
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        apply_epoch(batch, epoch_id, state_root, key, sinks)
+        apply_epoch(batch, epoch_id, state_root, key, sinks, query_id(batch.sparkSession, ck))
 
-    ck = checkpoint or f"{checkpoint_root(requests.sparkSession)}/streams/{query_name}"
     return (requests.writeStream.foreachBatch(each).queryName(query_name)
             .option("checkpointLocation", ck).trigger(**(trigger or {"availableNow": True})).start())

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugeline.operators.merge import merge_state
 from gaugeline.operators.validate import lenient_filter
 from gaugeline.schema import COUNTER, GAUGE
 from gaugeline.session import checkpoint_root
-from gaugeline.sources.state import write_state_version
+from gaugeline.sources.state import current_version, first_mark, published_epoch, read_state, write_state_version
+from gaugeline.streaming.apply import query_id
 
 
 def continuous_fold(updates: DataFrame, seq: str = "seq") -> DataFrame:
@@ -45,12 +47,25 @@ def start_periodic_snapshot(updates: DataFrame, state_root: str, query_name: str
                             checkpoint: str | None = None, interval: str | None = "300 seconds") -> StreamingQuery:
     """STR-3: keep the folded state and write it as a state version every
     ``interval`` (``None`` = one run over what is available, the start-up
-    save).  Each micro-batch writes version ``epoch_id``, so a replayed
-    epoch rewrites the same version."""
+    save).  A store that held state before the query's first epoch is restored
+    first: every snapshot is that version with the stream's updates on top.
+    A replayed epoch that was published is not written again."""
+    ck = _checkpoint(updates, query_name, checkpoint)
+
     def save(batch: DataFrame, epoch_id: int) -> None:
-        write_state_version(batch.select("type", "id", "delta", "value"), state_root, version=epoch_id)
+        spark = batch.sparkSession
+        writer = query_id(spark, ck)
+        if published_epoch(spark, state_root, writer, epoch_id) is not None:
+            return
+        newest = current_version(spark, state_root)
+        began, base = first_mark(spark, state_root, writer)
+        base = base if began else newest
+        state = batch.select("type", "id", "delta", "value")
+        if base is not None:
+            state = merge_state(read_state(spark, state_root, base), state.withColumn("seq", F.lit(0).cast("bigint")))
+        write_state_version(state, state_root, 0 if newest is None else newest + 1, writer, epoch_id, base)
 
     trig = {"processingTime": interval} if interval else {"availableNow": True}
     return (continuous_fold(updates).writeStream.outputMode("complete").foreachBatch(save)
-            .queryName(query_name).option("checkpointLocation", _checkpoint(updates, query_name, checkpoint))
+            .queryName(query_name).option("checkpointLocation", ck)
             .trigger(**trig).start())

@@ -2,13 +2,15 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from gaugeline import operators as op
 from gaugeline.plans.ingest import ingest
 from gaugeline.sinks import write_audit
 from gaugeline.sources import batch_bodies, request_envelopes, update_log
-from gaugeline.sources.state import current_version, read_state
+from gaugeline.sources.state import current_version, read_state, write_state_version
 from gaugeline.sources.updates import SIGNING_KEY
-from gaugeline.streaming import (start_batch_apply, start_continuous_fold, start_periodic_snapshot,
+from gaugeline.streaming import (apply_epoch, start_batch_apply, start_continuous_fold, start_periodic_snapshot,
                                  start_poll_windows)
 from gaugeline.streaming.ticks import poll_windows
 from tests.conftest import SF_SMALL
@@ -95,6 +97,65 @@ def test_batch_apply_stream_with_restart(spark, scratch):
     assert failures  # the failing sink was called and did not stop the others
 
 
+def _stored(spark, root, versions=3):
+    """A store whose newest version is the third one."""
+    for n in range(versions):
+        write_state_version(spark.createDataFrame(
+            [("counter", "hits_view", 100 * (n + 1), None), ("counter", "only_stored", 7, None), ("gauge", "kept", None, 1.5)],
+            "type string, id string, delta bigint, value double"), root)
+    return read_state(spark, root).select(*COLS)
+
+
+def test_batch_apply_on_existing_store(spark, scratch):
+    req, path, files = _request_files(spark, scratch)
+    schema = spark.read.parquet(path).schema
+    root = f"{scratch}/state"
+    base = _stored(spark, root)
+    once = ingest(spark.read.parquet(path), SIGNING_KEY)["state"]
+
+    def run(ck):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(path)
+        start_batch_apply(s, root, SIGNING_KEY, checkpoint=f"{scratch}/{ck}").awaitTermination()
+        return _rows(read_state(spark, root).select(*COLS), COLS)
+
+    with_base = op.merge_state(base, once.withColumn("seq", F.lit(0)))
+    expected = _rows(with_base, COLS)
+    assert run("ck1") == expected
+    assert current_version(spark, root) == 4
+    assert run("ck1") == expected                      # restart: nothing new
+    assert run("ck2") == _rows(op.merge_state(with_base, once.withColumn("seq", F.lit(1))), COLS)  # fresh checkpoint
+    before = current_version(spark, root)
+    batch = spark.read.parquet(f"{path}/{files[0]}")
+    for _ in range(2):                                 # a replayed epoch is applied once
+        apply_epoch(batch, 9, root, SIGNING_KEY, writer="w")
+    assert current_version(spark, root) == before + 1
+
+
+def test_periodic_snapshot_on_existing_store(spark, scratch):
+    path, schema = _event_files(spark, scratch, n=2)
+    root = f"{scratch}/state"
+    base = _stored(spark, root)
+    once = op.fold_state(op.lenient_filter(update_log(_events(spark))))
+
+    def run(ck):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+        start_periodic_snapshot(update_log(stream), root, checkpoint=f"{scratch}/{ck}", interval=None).awaitTermination()
+        return _rows(read_state(spark, root).select(*COLS), COLS)
+
+    with_base = op.merge_state(base, once.withColumn("seq", F.lit(0)))
+    assert run("ck1") == _rows(with_base, COLS)
+    assert current_version(spark, root) == 4
+    assert run("ck1") == _rows(with_base, COLS)
+    assert run("ck2") == _rows(op.merge_state(with_base, once.withColumn("seq", F.lit(1))), COLS)
+
+
+def test_empty_version_and_unreadable_store(spark, scratch):
+    root = f"{scratch}/state"
+    write_state_version(_stored(spark, root).limit(0), root)
+    assert current_version(spark, root) == 3 and read_state(spark, root).count() == 0
+    assert current_version(spark, f"{scratch}/none") is None
+
+
 def test_poll_windows_stream(spark, scratch):
     path, schema = _event_files(spark, scratch, n=5)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
