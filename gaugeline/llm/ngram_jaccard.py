@@ -22,8 +22,14 @@ found as soon as one of its sets is covered by a partitioning that both used,
 so no link is lost.
 
 Verification: round one compares each representative only with the smallest
-representative that it shares a signature with (linear in the input); round
-two compares the remaining pairs whose components still differ.
+representative that it shares a signature with, linear in the input.  One that
+links joins that centre's ball, and others are balls of themselves.  Jaccard
+distance is a metric, so members of two balls can only link if the centres are
+within 0.2 plus both radii.  Round two therefore compares centres whose
+components differ, where a lower bound of the distance from counts of the
+features in ``CELLS`` cells allows it; round three compares members, only
+where the centres are near enough and the components still differ.  The bounds
+are exact, so no link is lost, and a large group meets others by its centre.
 
 Defined cases: null, empty or word-free texts have an empty set and link with
 nothing; texts with fewer than five words are one shingle; equal doc_ids keep
@@ -44,6 +50,8 @@ from gaugeline.llm.common import DOCUMENT_COLUMNS, ascii_lower, connected, mater
 N2 = 3          # second-level partitions
 K2 = 1          # differing second-level partitions that a signature tolerates
 SEEDS = 6       # domain partitionings before empty subsets are used
+CELLS = 64      # cells of the feature counts that bound a distance from below
+NEAR = 0.2 + 1e-9
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -128,19 +136,68 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return shingle_sets(texts).select(F.col("doc_id").alias("rep"), "s")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and feature counts per cell; a count held at 127 keeps the bound."""
+    for b in batches:
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in b.column("s")]
+        cells = [np.minimum(np.bincount(x & (CELLS - 1), minlength=CELLS), 127).astype(np.int8) for x in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("rep"), pa.array([len(x) for x in sets], pa.int32()), pa.array(cells, pa.list_(pa.int8()))], ["c", "n", "cells"])
+
+
+def _measure(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the Jaccard distance ``d`` and ``linked``."""
     pairs = materialize(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = materialize(_sets_of(docs, ids).dropDuplicates(["rep"]), "jaccard-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
-                       F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where("100 * n >= 80 * (na + nb - n)").select("a", "b")
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return both.select("a", "b", (1 - F.col("n") / (F.col("total") - F.col("n"))).alias("d"),
+                       (F.col("n") * 100 >= (F.col("total") - F.col("n")) * 80).alias("linked"))
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where("linked").select("a", "b")
+
+
+def _reach(l: str, r: str):
+    """The farthest that centres with linked members can be from each other."""
+    return F.col(f"{l}.r") + F.col(f"{r}.r") + NEAR
+
+
+def _possible(l: str, r: str):
+    """Whether sizes and feature counts allow a distance within reach."""
+    reach, n, m = _reach(l, r), F.col(f"{l}.n"), F.col(f"{r}.n")
+    apart = F.expr(f"aggregate(zip_with({l}.cells, {r}.cells, (x, y) -> abs(cast(x as int) - y)), 0, (t, x) -> t + x)")
+    return (F.least(n, m) >= (1 - reach) * F.greatest(n, m)) & (apart * (2 - reach) <= reach * (n + m))
+
+
+def _centre_pairs(open_: DataFrame, balls: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, r, label) of the open centres, and the pairs of them to compare."""
+    ids = open_.select(F.col("c").alias("rep")).distinct()
+    sketch = _sets_of(docs, ids).dropDuplicates(["rep"]).mapInArrow(_sketch, "c long, n int, cells array<tinyint>")
+    spots = open_.groupBy("c").agg(F.min("label").alias("label"))
+    info = materialize(sketch.join(spots, "c").join(balls, "c", "left").select(
+        "c", "n", "cells", "label", F.coalesce("radius", F.lit(0.0)).alias("r")), "jaccard-centres")
+    heads = materialize(open_.select("sig", "c").distinct().join(info, "c"), "jaccard-heads")
+    pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
+                                   & (F.col("l.c") < F.col("r.c")) & _possible("l", "r"))
+             .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
+    return info.select("c", "r"), pairs
 
 
-def _fits(a: str, b: str):
-    return F.expr(f"least({a}, {b}) * 5 >= greatest({a}, {b}) * 4")
+def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of members that can still link, from the measured centres."""
+    side = radius.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "r", F.coalesce("label", "c").alias("label"))
+    near = (second.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.c")).join(side.alias("y"), F.col("p.b") == F.col("y.c"))
+            .where((F.col("x.label") != F.col("y.label")) & (F.col("x.r") + F.col("y.r") > 0) & (F.col("p.d") <= _reach("x", "y")))
+            .select("p.a", "p.b", "p.d"))
+    near = materialize(near, "jaccard-near")
+    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", F.col("rep").alias("x"), F.col("r").alias("rx"))
+    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", F.col("rep").alias("y"), F.col("r").alias("ry"))
+    both = one.join(two, ["sig", "a", "b"]).where(F.col("d") <= F.col("rx") + F.col("ry") + NEAR)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -157,20 +214,22 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     hits = materialize(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
                        .where("low < high").select("sig", "rep", "low"), "jaccard-hits")
 
-    star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
-    first = materialize(_verify(star, docs), "jaccard-first")
-    label = connected(first, "jaccard-cc")
-    sized = reps.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "n", F.coalesce("label", "rep").alias("label"))
-    open_ = hits.join(sized, "rep")
+    star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
+    first = materialize(_measure(star, docs), "jaccard-first")
+    label = connected(_links(first), "jaccard-cc")
+    ball = first.where("linked").select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("d").alias("r"))
+    placed = (reps.select("rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(ball, "rep", "left")
+              .select("rep", F.coalesce("label", "rep").alias("label"), F.coalesce("c", "rep").alias("c"),
+                      F.coalesce("r", F.lit(0.0)).alias("r")))
+    open_ = hits.select("sig", "rep").join(placed, "rep")
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    open_ = materialize(open_.join(mixed, "sig").select("sig", "rep", "n", "label"), "jaccard-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    rest = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
-                      & (F.col("l.rep") < F.col("r.rep")) & _fits("l.n", "r.n"))
-            .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct())
-    second = materialize(_verify(rest, docs), "jaccard-second")
-    label = connected(first.union(second), "jaccard-cc")
+    open_ = materialize(open_.join(mixed, "sig").select("sig", "rep", "label", "c", "r"), "jaccard-open")
+    radius, pairs = _centre_pairs(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), docs)
+    second = materialize(_measure(pairs, docs), "jaccard-second")
+    links = _links(first).union(_links(second))
+    label = connected(links, "jaccard-cc")
+    third = materialize(_measure(_member_pairs(open_, second, radius, label), docs), "jaccard-third")
+    label = connected(links.union(_links(third)), "jaccard-cc")
     return (member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("label", "rep", F.col("doc_id").cast("long")).alias("component_id")))
