@@ -18,11 +18,11 @@ GAUGE_TEXT_RE = (
     r"(?i)^(?:[+-]?inf(?:inity)?"
     r"|nan"
     r"|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"
-    r"|[+-]?0x(?:[0-9a-f]+\.?[0-9a-f]*|\.[0-9a-f]+)p[+-]?[0-9]+)$"
+    r"|[+-]?0x(?:[0-9a-f]+\.?[0-9a-f]*|\.[0-9a-f]+)p[+-]?[0-9]+)\z"
 )
 # Fixed syntax of accepted counter text: optional sign, base-10 digits.
-COUNTER_TEXT_RE = r"^[+-]?[0-9]+$"
-_INF_TEXT_RE = r"(?i)^[+-]?inf(?:inity)?$"
+COUNTER_TEXT_RE = r"^[+-]?[0-9]+\z"
+_INF_TEXT_RE = r"(?i)^[+-]?inf(?:inity)?\z"
 
 
 def _col(c) -> Column:

@@ -79,10 +79,11 @@ def gate_batches(updates: DataFrame, batch: str = "batch_id", decode_ok: str | N
 
     An anti join against the failing batch ids: AQE turns it into a
     broadcast join when that set is small at run time and otherwise keeps
-    a shuffle join whose skewed partitions (a hot batch) it splits.
+    a shuffle join whose skewed partitions (a hot batch) it splits.  A row
+    without a batch id is a batch of its own.
     """
     c = classify(updates, decode_ok=decode_ok)
-    return (c.join(bad_batches(c, batch), _failed(batch), "left_anti")
+    return (c.filter(F.col("err_code") == CODE_OK).join(bad_batches(c, batch), _failed(batch), "left_anti")
             .drop("err_code", "err", "status"))
 
 
@@ -123,12 +124,10 @@ def batch_lanes(updates: DataFrame, batch: str = "batch_id", decode_ok: str | No
     (batch failed, row valid: the producer re-sends it alone) or
     ``quarantined`` (row invalid).  The three lanes partition the input.
 
-    Built from an anti join (accepted) and a semi join (failed batches)
-    against the failing ids, both skew-splittable (see ``gate_batches``).
+    One left join to the failing ids, skew-splittable (see ``gate_batches``).
+    A row without a batch id is a batch of its own.
     """
     c = classify(updates, decode_ok=decode_ok)
-    bad = bad_batches(c, batch)
-    ok = c.join(bad, _failed(batch), "left_anti").withColumn("lane", F.lit("accepted"))
-    failed = c.join(bad, _failed(batch), "left_semi").withColumn(
-        "lane", F.when(F.col("err_code") == CODE_OK, F.lit("salvaged")).otherwise(F.lit("quarantined")))
-    return ok.unionByName(failed).drop("status")
+    lane = (F.when(F.col("err_code") != CODE_OK, F.lit("quarantined"))
+            .when(F.col("_bad_batch").isNotNull(), F.lit("salvaged")).otherwise(F.lit("accepted")))
+    return c.join(bad_batches(c, batch), _failed(batch), "left").withColumn("lane", lane).drop("status", "_bad_batch")

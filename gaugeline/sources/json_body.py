@@ -12,9 +12,8 @@ Key names match case-insensitively, as in a Go decoder: ``"ID"`` fills
 ``id``.  An exact key wins; the case-folded lookup runs only for objects
 whose key list shows a non-lower-case variant of a field name.
 Like a Go decoder reading one value from the body, text after the first
-JSON value is ignored: bodies whose whole-text parse fails go through a
-small Arrow-batched helper that finds where the first value ends (every
-other row passes a null), and that prefix is parsed natively.
+JSON value is ignored.  A body nested deeper than the native parser allows
+(1000 levels) is rejected like any other broken one.
 Documented difference: when one object holds several case variants of a
 name, Go keeps the last in document order, which a VARIANT does not record
 (here: the exact key, else the greatest variant).
@@ -28,37 +27,13 @@ from gaugeline.functions.cache import column_cache
 from gaugeline.schema import METRIC
 
 
-def _first_value_batch(s):
-    import json
-
-    import pandas as pd
-    out = pd.Series(None, index=s.index, dtype=object)
-    need = s.notna()  # only bodies whose whole-text parse failed arrive non-null
-    if need.any():
-        dec = json.JSONDecoder()
-
-        def first(t):
-            u = t.lstrip(" \t\n\r")
-            try:
-                return u[:dec.raw_decode(u)[1]]
-            except ValueError:
-                return None
-        out[need] = [first(t) for t in s[need]]
-    return out
-
-
-_UDFS: dict = {}
-
-
 @column_cache
-def _parse_first_value(body: str, whole: str) -> Column:
-    """VARIANT of the body's first JSON value: column ``whole`` (the
-    whole-text parse) when it succeeded, else the parse of the leading value."""
-    if "first" not in _UDFS:  # built on first use: a pandas UDF needs a session
-        _UDFS["first"] = F.pandas_udf(_first_value_batch, "string")
-    body, whole = F.col(body), F.col(whole)
-    prefix = _UDFS["first"](F.when(whole.isNull(), body))
-    return F.coalesce(whole, F.try_parse_json(prefix))
+def _first_value(body: str, whole: str) -> Column:
+    """VARIANT of the body's first JSON value.  ``whole`` (the native parse)
+    already ignores text after an array, object or string; only a ``null`` with
+    text glued to it is left, and is a null as well."""
+    null = F.regexp_like(F.col(body), F.lit(r"^[ \t\n\r]*null"))
+    return F.coalesce(F.col(whole), F.when(null, F.parse_json(F.lit("null"))))
 
 
 FIELDS = ("id", "type", "delta", "value")
@@ -163,7 +138,7 @@ def with_batch_array(df: DataFrame, body: str = "body", rows: str = "rows", ok:
     keep = [c for c in df.columns if c not in (rows, ok)]
     elems, decode_ok, out = _batch_exprs(ok)
     whole = df.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
-    parsed = whole.select(*keep, _parse_first_value(body, "_w").alias("_v"))
+    parsed = whole.select(*keep, _first_value(body, "_w").alias("_v"))
     shaped = parsed.select(*keep, F.schema_of_variant("_v").alias("_top"), elems.alias("_elems"))
     checked = shaped.select(*keep, "_top", "_elems", decode_ok.alias(ok))
     return checked.select(*keep, out.alias(rows), ok)
@@ -191,7 +166,7 @@ def parse_single_bodies(bodies: DataFrame, body: str = "body", keep: list[str] |
     keep = keep if keep is not None else [c for c in bodies.columns if c != body]
     kind, fold, fields_expr, ok, m = _single_exprs()
     whole = bodies.select(*keep, body, F.try_parse_json(F.col(body)).alias("_w"))
-    parsed = whole.select(*keep, _parse_first_value(body, "_w").alias("_v"))
+    parsed = whole.select(*keep, _first_value(body, "_w").alias("_v"))
     tagged = parsed.select(*keep, "_v", kind.alias("_k"), fold.alias("_fold"))
     fields = tagged.select(*keep, fields_expr.alias("_f"))
     checked = fields.select(*keep, "_f", ok.alias("decode_ok"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeline.functions.numbers import parse_counter_text, parse_gauge_text
 from gaugeline.schema import CODE_BAD_VALUE, CODE_INVALID_TYPE, CODE_OK, COUNTER, GAUGE
 
-_ROUTE = r"^/update/([^/]+)/([^/]+)/([^/]+)$"
+_ROUTE = r"^/update/([^/]+)/([^/]+)/([^/]+)\z"
 
 
 def parse_update_paths(requests: DataFrame, path: str = "path") -> DataFrame:

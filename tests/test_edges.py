@@ -228,3 +228,27 @@ def test_merge_overflow_policies(spark):
     assert op.merge_state(state, u, overflow="null").first()["delta"] is None
     with pytest.raises(Exception):
         op.merge_state(state, u).collect()
+
+
+def test_line_ends_are_not_numbers(spark):
+    rows = spark.createDataFrame([("5",), ("5\n",), ("1.5\n",), ("inf\n",)], "t string").select(
+        fn.parse_gauge_text("t").alias("g"), fn.parse_counter_text("t").alias("c")).collect()
+    assert [tuple(r) for r in rows] == [(5.0, 5), (None, None), (None, None), (None, None)]
+
+
+def test_rows_without_a_batch_id_are_judged_alone(spark):
+    d = spark.createDataFrame([(None, "ok", "counter", 1, None), (None, "x", "bogus", 1, None), (None, "y", "counter", None, None),
+                               (1, "a", "counter", 1, None), (1, "b", "gauge", None, None)],
+                              "batch_id long, id string, type string, delta long, value double")
+    assert [r.id for r in op.gate_batches(d).collect()] == ["ok"]
+    assert {r.id: r.lane for r in op.batch_lanes(d).collect()} == {
+        "ok": "accepted", "x": "quarantined", "y": "quarantined", "a": "salvaged", "b": "quarantined"}
+
+
+def test_broken_bodies_are_rejected_alone(spark):
+    good = '[{"id":"a","type":"counter","delta":1}]'
+    bodies = [(1, "[" * 200_000), (2, good + " tail"), (3, "null0"), (4, "[{"), (5, "")]
+    out = parse_batch_bodies(spark.createDataFrame(bodies, "n int, body string"), keep=["n"])
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    assert {r.n: (r.decode_ok, r.id) for r in out.collect()} == {
+        1: (False, None), 2: (True, "a"), 3: (True, None), 4: (False, None), 5: (False, None)}
