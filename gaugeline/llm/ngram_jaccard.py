@@ -28,7 +28,8 @@ distance is a metric, so members of two balls can only link if the centres are
 within 0.2 plus both radii.  Round two therefore compares centres whose
 components differ, where a lower bound of the distance from counts of the
 features in ``CELLS`` cells allows it; round three compares members, only
-where the centres are near enough and the components still differ.  The bounds
+where the centres are near enough, the components still differ and the members'
+counts allow a link.  The bounds
 are exact, so no link is lost, and a large group meets others by its centre.
 
 Defined cases: null, empty or word-free texts have an empty set and link with
@@ -166,9 +167,9 @@ def _reach(l: str, r: str):
     return F.col(f"{l}.r") + F.col(f"{r}.r") + NEAR
 
 
-def _possible(l: str, r: str):
-    """Whether sizes and feature counts allow a distance within reach."""
-    reach, n, m = _reach(l, r), F.col(f"{l}.n"), F.col(f"{r}.n")
+def _possible(l: str, r: str, reach):
+    """Whether sizes and feature counts allow a distance within ``reach``."""
+    n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
     apart = F.expr(f"aggregate(zip_with({l}.cells, {r}.cells, (x, y) -> abs(cast(x as int) - y)), 0, (t, x) -> t + x)")
     return (F.least(n, m) >= (1 - reach) * F.greatest(n, m)) & (apart * (2 - reach) <= reach * (n + m))
 
@@ -182,22 +183,27 @@ def _centre_pairs(open_: DataFrame, balls: DataFrame, docs: DataFrame) -> tuple[
         "c", "n", "cells", "label", F.coalesce("radius", F.lit(0.0)).alias("r")), "jaccard-centres")
     heads = materialize(open_.select("sig", "c").distinct().join(info, "c"), "jaccard-heads")
     pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
-                                   & (F.col("l.c") < F.col("r.c")) & _possible("l", "r"))
+                                   & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
              .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
     return info.select("c", "r"), pairs
 
 
-def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame) -> DataFrame:
+def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of members that can still link, from the measured centres."""
     side = radius.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "r", F.coalesce("label", "c").alias("label"))
     near = (second.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.c")).join(side.alias("y"), F.col("p.b") == F.col("y.c"))
             .where((F.col("x.label") != F.col("y.label")) & (F.col("x.r") + F.col("y.r") > 0) & (F.col("p.d") <= _reach("x", "y")))
             .select("p.a", "p.b", "p.d"))
     near = materialize(near, "jaccard-near")
-    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", F.col("rep").alias("x"), F.col("r").alias("rx"))
-    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", F.col("rep").alias("y"), F.col("r").alias("ry"))
-    both = one.join(two, ["sig", "a", "b"]).where(F.col("d") <= F.col("rx") + F.col("ry") + NEAR)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", "rep", "r")
+    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", "rep", "r")
+    ids = one.select("rep").union(two.select("rep")).distinct()
+    sketch = materialize(_sets_of(docs, ids).dropDuplicates(["rep"]).mapInArrow(_sketch, "c long, n int, cells array<tinyint>")
+                         .withColumnRenamed("c", "rep"), "jaccard-members")
+    one, two = one.join(sketch, "rep").alias("l"), two.join(sketch, "rep").alias("r")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("sig", "a", "b")]
+    both = one.join(two, [*same, F.col("l.d") <= _reach("l", "r"), _possible("l", "r", F.lit(NEAR))])
+    return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -228,7 +234,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     second = materialize(_measure(pairs, docs), "jaccard-second")
     links = _links(first).union(_links(second))
     label = connected(links, "jaccard-cc")
-    third = materialize(_measure(_member_pairs(open_, second, radius, label), docs), "jaccard-third")
+    third = materialize(_measure(_member_pairs(open_, second, radius, label, docs), docs), "jaccard-third")
     label = connected(links.union(_links(third)), "jaccard-cc")
     return (member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
