@@ -125,6 +125,22 @@ def test_mixing_rates(spark, docs):
     assert mixing.mixing_rates(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_meets_its_targets(spark):
+    # Toxic labels say nothing about the text; rare domains start far from their targets.
+    say = lambda q, i: " ".join(("good fine" if q else "bad poor").split() * 10 + [f"w{i % 7}"])
+    rows = [(i, int(i % 5 > 0), int(i % 9 == 0)) for i in range(600)]
+    d = spark.createDataFrame([(i, say(q, i), "en", "s", 0, "x") for i, q, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([r for r in rows if r[0] % 5 != 3], "doc_id long, quality int, toxic int")
+    out = mixing.mixing_rates(d, labels).collect()
+    n = sum(r.n_tokens for r in out)
+    for i, t in enumerate(mixing.TARGETS):
+        assert abs(sum(r.rate * r.n_tokens * r[f"p{i}"] for r in out) / n - t) < 1e-3
+    # Unreachable targets do not leave a handful of documents.
+    with pytest.warns(UserWarning, match="out of reach"):
+        far = mixing.mixing_rates(d, labels.where("toxic = 1")).collect()
+    assert sum(r.rate > 0 for r in far) > 300
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["MIT"]
     d = spark.createDataFrame([(1, f"x y {mit} z. {mit}"), (2, None), (3, "the license"), (4, "released under mit license")],
