@@ -9,13 +9,21 @@ A text that quotes a template twice has no unique words, so the alignment
 runs on each region where the template's words gather; long regions are read in
 half-overlapping windows of two template lengths.  Every region is scanned.
 
+The registered templates (``license_texts``) are notices, headers, SPDX and
+Creative Commons lines and whole texts.  Their short ones must match their
+telling words and numbers and stay together.  Where matches overlap, the one
+with the most aligned words times squared coverage is kept, so that a license
+is not reported as its sibling.  A template is only aligned where one of its
+rarest words, of which a match cannot miss all, is in the text.
+
 Defined cases: null, empty or word-free texts match nothing; ties go to the
-first template by name; repeated rows get equal results; other columns are
+longest alignment, then to the first template by name; repeated rows get equal results; other columns are
 ignored; templates without words never match.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -24,9 +32,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gaugeline.llm.license_texts import TELLING, library
+
 _WORD = re.compile(r"[a-z0-9]+")
 
-# License notices (fixed values); pass others, whole licenses too, as a parameter.
+SHORT = 40
+
+# One-line notices (fixed values), registered beside ``library()``.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -74,51 +86,84 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: str | None, templates: dict[str, list[str]], least: float) -> list[tuple]:
-    """(license, coverage, first word, last word) of each found region."""
+class Template:
+    """Words of one template, and what a text must hold for it."""
+
+    def __init__(self, name: str, words: list[str], least: float, common: Counter, told: bool):
+        self.name, self.words, self.vocabulary = name, words, frozenset(words)
+        self.short = told and len(words) <= SHORT
+        self.telling = frozenset(w for w in self.vocabulary if w in TELLING or w.isdigit()) if self.short else frozenset()
+        self.need = least * len(self.vocabulary)
+        rare = sorted(self.vocabulary, key=lambda w: (common[w], w))
+        self.rare = frozenset(rare[:len(rare) - math.ceil(self.need) + 1])
+
+    def possible(self, seen) -> bool:
+        return (not self.rare.isdisjoint(seen) and self.telling <= seen
+                and sum(w in seen for w in self.vocabulary) >= self.need)
+
+
+def prepare(texts: list[tuple[str, str]], least: float, told: bool) -> list[Template]:
+    known = sorted({(name, tuple(_WORD.findall(t.lower()))) for name, t in texts})
+    common = Counter(w for _, t in known for w in set(t))
+    return [Template(name, list(t), least, common, told) for name, t in known if t]
+
+
+def scan(text: str | None, templates: list[Template], least: float) -> list[tuple]:
+    """(license, coverage, first word, last word, aligned words) of each found region."""
     words = _WORD.findall((text or "").lower())
+    seen = set(words)
+    near = [t for t in templates if t.possible(seen)]
+    if not near:
+        return []
+    known = frozenset().union(*(t.vocabulary for t in near))
     places: dict[str, list[int]] = {}
-    known = set().union(*templates.values()) if templates else set()
     for n, w in enumerate(words):
         if w in known:
             places.setdefault(w, []).append(n)
     found = []
-    for name, t in sorted(templates.items()):
-        vocabulary = set(t)
-        if not t or sum(w in places for w in vocabulary) < least * len(vocabulary):
-            continue
-        hits = sorted(n for w in vocabulary for n in places.get(w, ()))
+    for t in near:
+        hits = sorted(n for w in t.vocabulary for n in places.get(w, ()))
         regions, start = [], 0
         for n in range(1, len(hits) + 1):
-            if n == len(hits) or hits[n] - hits[n - 1] > len(t):
+            if n == len(hits) or hits[n] - hits[n - 1] > len(t.words):
                 regions.append((hits[start], hits[n - 1] + 1))
                 start = n
-        size, last = 2 * len(t), -1
+        size, last = 2 * len(t.words), -1
         for lo, hi in regions:
-            for at in range(lo, max(lo + 1, hi - len(t)), len(t)):
+            for at in range(lo, max(lo + 1, hi - len(t.words)), len(t.words)):
                 part = words[at:min(hi, at + size)]
-                if len(vocabulary.intersection(part)) < least * len(vocabulary):
+                if len(t.vocabulary.intersection(part)) < t.need:
+                    continue
+                pairs = align(t.words, part)
+                if len(pairs) < least * len(t.words):
+                    continue
+                first, end = at + pairs[0][1], at + pairs[-1][1]
+                if t.short and (end - first >= len(t.words) + 3 or not t.telling <= {part[j] for _, j in pairs}):
                     continue
-                pairs = align(t, part)
-                if len(pairs) >= least * len(t):
-                    first, end = at + pairs[0][1], at + pairs[-1][1]
-                    if first > last:
-                        found.append((name, len(pairs) / len(t), first, end))
-                        last = end
-    return found
+                if first > last:
+                    found.append((t.name, len(pairs) / len(t.words), first, end, len(pairs)))
+                    last = end
+    kept, starts = [], []
+    for m in sorted(found, key=lambda m: (-m[4] * m[1] ** 2, m[0], m[2])):
+        at = bisect_left(starts, m[2])
+        if (at == 0 or kept[at - 1][3] < m[2]) and (at == len(kept) or kept[at][2] > m[3]):
+            kept.insert(at, m)
+            starts.insert(at, m[2])
+    return kept
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, license (best coverage, else null), coverage, n_matches and
     the matches themselves."""
-    known = {k: _WORD.findall(v.lower()) for k, v in (TEMPLATES if templates is None else templates).items()}
+    texts = [*TEMPLATES.items(), *library()] if templates is None else list(templates.items())
+    known = docs.sparkSession.sparkContext.broadcast(prepare(texts, least, templates is None))
     key = docs.schema["doc_id"].dataType.simpleString()
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_ = [scan(t, known, least) for t in b.column("text").to_pylist()]
-            best = [max(f, key=lambda m: m[1]) if f else (None, 0.0) for f in all_]
+            all_ = [scan(t, known.value, least) for t in b.column("text").to_pylist()]
+            best = [min(f, key=lambda m: (-m[1], -m[4], m[0])) if f else (None, 0.0) for f in all_]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([m[0] for m in best], pa.string()), pa.array([m[1] for m in best], pa.float64()),
                  pa.array([len(f) for f in all_], pa.int64()),

@@ -149,6 +149,28 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", 2), 2: (None, 0), 3: (None, 0), 4: ("MIT", 1)}
 
 
+def test_every_license_line_of_the_tables_is_found(spark):
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: {v for k, v in lines.items() if k in r.text} for r in d.where("lower(text) rlike 'licen[sc]e'").collect()}
+    assert set().union(*want.values()) == set(lines.values())
+    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.license_scan(d).collect()}
+    assert all(want.get(i, set()) == found for i, found in got.items())
+
+
+def test_licenses_and_their_siblings():
+    known = license_scan.prepare([*license_scan.TEMPLATES.items(), *license_scan.library()], 0.8, True)
+    found = lambda text: {m[0] for m in license_scan.scan(text, known, 0.8)}
+    whole = dict(license_scan.library())
+    for name, text in license_scan.library():
+        assert found("some words before " + text + " and after") == {name}, text[:80]
+    assert found("Licensed under CC BY-NC-SA 3.0.") == {"CC-BY-NC-SA-3.0"} and found("CC BY 4.0") == {"CC-BY-4.0"}
+    assert found("terms of the GNU Lesser General Public License, version 2.1") <= {"LGPL-2.1"}
+    assert found("a cc of the letter by 4 of 0") == set() and "GPL-3.0" in whole
+
+
 def test_search_is_exact(docs, texts):
     low = [WORD.findall((t or "").lower()) for t in texts]
     full = [i for i, w in enumerate(low) if w]
