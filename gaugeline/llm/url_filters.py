@@ -6,8 +6,11 @@ with enough confidence and support are kept.  An inverted index from token to
 rule matches all pages: a rule fires where all of its tokens were found.
 Listed host and path rules go before mined ones, the longest first.
 
+The label of a page is that of its document, whose number is the last part of
+the url path (``/en/7817``, ``/en/7817.html``); page_id is no doc_id.
+
 Defined cases: null urls or urls without ``://`` have an empty host and path
-and no tokens, so they are allowed; without labels no rule is mined; repeated
+and no tokens, so they are allowed; pages without a document number have no label; without labels no rule is mined; repeated
 rows get the same verdict; other columns are ignored.
 """
 
@@ -42,6 +45,11 @@ def tokens() -> Column:
         transform(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)', 1), x -> concat('q:', x))))""")
 
 
+def document() -> Column:
+    """Number of the page's document, null if the path ends in none."""
+    return F.expr(r"try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.][A-Za-z0-9]+)?/*$', 1), '') as bigint)")
+
+
 def listed(rules: tuple = RULES) -> tuple[Column, Column]:
     """Rule text and verdict of the longest fitting listed rule."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -65,7 +73,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005,
     host, path = parts(F.col("url"))
     p = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", tokens().alias("tokens"))
     bad = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    labelled = (p.join(bad, p.page_id == bad.doc_id)
+    labelled = (p.withColumn("doc_id", document()).join(bad, "doc_id")
                 .select(F.concat("tokens", F.when(F.col("bad") == 1, F.array(F.lit(BLOCKED))).otherwise(
                     F.expr("cast(array() as array<string>)"))).alias("items")))
     labelled = materialize(labelled, "url-items")

@@ -200,6 +200,19 @@ def test_url_rules(spark):
     assert got[4] == got[5] == ("", "", None, "allow") and got[6] == ("c.net", "", None, "allow")
 
 
+def test_url_rules_are_mined(spark):
+    # Bad: the word spam in the host, and casino hosts with /win/; page ids are other documents' numbers.
+    kinds = ["http://a{}.spam-x.info/{}", "http://casino-{}.info/win/{}.html", "http://casino-{}.info/lose/{}/", "http://b{}.info/win/{}?p=1#t"]
+    pages = [(1000 + 4 * i + k, u.format(i, 4 * i + k)) for i in range(15) for k, u in enumerate(kinds)]
+    labels = [(4 * i + k, int(k > 1), 0) for i in range(15) for k in range(4)] + [(p, 1, 0) for p, _ in pages]
+    new = ["http://z.spam-y.info/", "http://casino.info/win/", "http://casino.info/", "http://c.info/win/"]
+    p = spark.createDataFrame(pages + [(9000 + i, u) for i, u in enumerate(new)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.confidence) for r in
+           url_filters.judge_urls(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[9000 + i][0] for i in range(4)] == ["block", "block", "allow", "allow"]
+    assert all(got[n] == (("block", 1.0) if k < 2 else ("allow", None)) for n, k in ((1000 + i, i % 4) for i in range(60)))
+
+
 def test_html():
     page = ("<html><head><title>t</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1>"
             "<p>One\n two.<br>three<p><b>four</b></article><div class='comments'><p>hey</p></div><footer>f</footer></body></html>")
