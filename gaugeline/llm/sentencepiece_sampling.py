@@ -42,6 +42,7 @@ MARK = "\u2581"
 LITERAL = "\udfff"
 _CHUNK = re.compile("\n|\u2581*[^\u2581\n]+|\u2581+")
 CACHE_WORDS = 100_000
+CACHE_CHARS = 1_000_000
 
 
 class Lattice:
@@ -65,6 +66,7 @@ class Lattice:
         self.byte_score = -math.log(len(plain) + 256 + offset) - total
         self.longest = max(map(len, plain), default=1)
         self.cache: dict[str, tuple] = {}
+        self.held = 0
 
     def word(self, w: str) -> tuple:
         """(log mass from each place, arcs of each place: (end, ids, logp))."""
@@ -85,37 +87,58 @@ class Lattice:
                 top = max(s + beta[j] for j, _, s in own)
                 beta[i] = top + math.log(sum(math.exp(s + beta[j] - top) for j, _, s in own))
                 arcs[i] = own
-            if len(self.cache) >= CACHE_WORDS:
+            self.held += n
+            if len(self.cache) >= CACHE_WORDS or self.held > CACHE_CHARS:
                 self.cache.clear()
+                self.held = n
             hit = self.cache[w] = (beta, arcs)
         return hit
 
-    def left(self, w: str, tried: frozenset, i: int = 0) -> float:
-        """Log mass, from place ``i`` on, of the segmentations not in ``tried``.
-        Sums only, so that a tiny remainder is exact."""
+    def left(self, w: str, tried: frozenset) -> float:
+        """Log mass of the segmentations not in ``tried``."""
+        return self.excluded(w, tried)[1][0] if tried else self.word(w)[0][0]
+
+    def excluded(self, w: str, tried: frozenset) -> tuple[list[dict], list[float]]:
+        """A trie of the tried segmentations: per node the child of each arc's
+        end, and the log mass, from its place on, of the segmentations not in
+        ``tried``.  Sums only, so that a tiny remainder is exact."""
         beta, arcs = self.word(w)
-        logp = 0.0
-        while tried and i < len(w) and len(arcs[i]) == 1:
-            i, ids, s = arcs[i][0]
-            tried, logp = _after(tried, ids), logp + s
-        if not tried:
-            return logp + beta[i]
-        if i == len(w):
-            return -math.inf
-        parts = [s + self.left(w, _after(tried, ids), j) for j, ids, s in arcs[i]]
-        top = max(parts)
-        return -math.inf if top == -math.inf else logp + top + math.log(sum(math.exp(x - top) for x in parts))
+        kids, place = [{}], [0]
+        for t in tried:
+            node = i = at = 0
+            while i < len(w):
+                i, ids, _ = next(a for a in arcs[i] if t[at:at + len(a[1])] == a[1])
+                at += len(ids)
+                nxt = kids[node].get(i)
+                if nxt is None:
+                    nxt = kids[node][i] = len(kids)
+                    kids.append({})
+                    place.append(i)
+                node = nxt
+        mass = [-math.inf] * len(kids)
+        # Children come after their parents.
+        for node in range(len(kids) - 1, -1, -1):
+            if place[node] < len(w):
+                own = kids[node]
+                parts = [s + (mass[own[j]] if j in own else beta[j]) for j, _, s in arcs[place[node]]]
+                top = max(parts)
+                if top > -math.inf:
+                    mass[node] = top + math.log(sum(math.exp(x - top) for x in parts))
+        return kids, mass
 
     def draw(self, w: str, rng, tried: frozenset = frozenset()) -> tuple[tuple, float]:
         """(ids, log-probability within the word) of one segmentation, drawn in
         proportion to its mass among those not in ``tried``."""
         beta, arcs = self.word(w)
-        i, ids, logp = 0, (), -beta[0]
+        kids, left = self.excluded(w, tried) if tried else ([], [])
+        node = 0 if tried else None
+        i, ids, logp = 0, [], -beta[0]
         while i < len(w):
             own = arcs[i]
             pick = own[0]
+            gone = kids[node] if node is not None else {}
             if len(own) > 1:
-                mass = [s + (self.left(w, _after(tried, x), j) if tried else beta[j]) for j, x, s in own]
+                mass = [s + (left[gone[j]] if j in gone else beta[j]) for j, x, s in own]
                 top = max(mass)
                 mass = [math.exp(x - top) for x in mass]
                 u = rng.random() * sum(mass)
@@ -125,14 +148,10 @@ class Lattice:
                         u -= x
                         if u < 0:
                             break
-            tried = _after(tried, pick[1]) if tried else tried
-            i, ids, logp = pick[0], ids + pick[1], logp + pick[2]
-        return ids, logp
-
-
-def _after(tried: frozenset, ids: tuple) -> frozenset:
-    """What is left of the segmentations that go on with ``ids``."""
-    return frozenset(t[len(ids):] for t in tried if t[:len(ids)] == ids)
+            i, logp = pick[0], logp + pick[2]
+            ids += pick[1]
+            node = gone.get(i)
+        return tuple(ids), logp
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:

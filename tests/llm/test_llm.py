@@ -114,6 +114,27 @@ def test_sentencepiece_round_trip_and_law(docs, texts):
         assert abs(n / 3000 - p) < 0.04
 
 
+def test_sentencepiece_long_words():
+    lat = sps._lattice(None)
+    rng = np.random.default_rng(3)
+    for text in ("ab" * 10_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), 20_000))):
+        found, kappa = sps.sample(lat, text, "1", 4)
+        assert len({segs[0] for segs, _, _ in found}) == 4 and kappa < found[3][2]
+        assert all(sps.decode(lat, [x for s in segs for x in s]) == text for segs, _, _ in found)
+    # The remainder after excluded segmentations, against the listed ones.
+    w = sps.chunks("there")[0]
+    every, todo = {}, [(0, (), 0.0)]
+    while todo:
+        i, ids, lp = todo.pop()
+        if i == len(w):
+            every[ids] = lp
+        else:
+            todo += [(j, ids + x, lp + s) for j, x, s in lat.word(w)[1][i]]
+    tried = frozenset(sorted(every)[:3])
+    assert abs(lat.left(w, tried) - math.log(sum(math.exp(v) for t, v in every.items() if t not in tried))) < 1e-9
+    assert lat.left(w, frozenset(every)) == -math.inf
+
+
 def test_mixing_rates(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5, 30)], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(docs, labels).collect()
