@@ -241,6 +241,22 @@ def test_html():
     assert html_extraction.extract(None) == html_extraction.extract("") == html_extraction.extract("<p") == ""
 
 
+def test_html_keeps_every_container():
+    say = lambda w, n: " ".join([w] * n) + "."
+    page = lambda inner: f"<html><body><nav>menu</nav>{inner}<div><a href=x>Home</a> <a href=y>About us</a></div></body></html>"
+    a, b, c, d = (say(w, n) for w, n in (("alpha", 60), ("beta", 25), ("gamma", 50), ("delta", 15)))
+    get = lambda inner: html_extraction.extract(page(inner)).split("\n")
+    assert get(f"<div id=c><section><p>{a}</p></section><section><p>{b}</p></section></div>") == [a, b]
+    assert get(f"<div id=c><div>{a}</div><div>{b}</div><div>{c}</div><div>{d}</div></div>") == [a, b, c, d]
+    assert get(f"<article><h2>One</h2><p>{a}</p></article><article><h2>Two</h2><p>{b}</p></article>") == ["One", a, "Two", b]
+    assert get(f"<div><h1>Head</h1><section><h2>One</h2><p>{a}</p></section><section><h2>List</h2><ul><li>x one<li>y two</ul></section>"
+               f"<section><p>{c}</p><ul><li>{d}</ul></section></div>") == ["Head", "One", a, "List", "x one", "y two", c, d]
+    assert get(f"<p>{a}</p><h2>Part</h2><p>{b}</p><p>{c}</p>") == [a, "Part", b, c]
+    # Shorter texts elsewhere and link lists are no content.
+    assert get(f"<table><tr><td>Imprint</td></tr></table><div><p>{a}</p><p>{b}</p></div><ul><li><a href=z>{d}</a></ul>") == [a, b]
+    assert get(f"<article><p>{a}</p></article><div><p>{b}</p></div>") == [a]
+
+
 def test_language(spark):
     d = spark.createDataFrame([(i, ("the of and that " if i % 2 else "der und nicht ein ") * 5, "en" if i % 2 else "de") for i in range(40)]
                               + [(90, None, "en"), (91, "123 !", None)], "doc_id long, text string, lang string")
