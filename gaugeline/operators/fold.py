@@ -72,14 +72,14 @@ def gauge_latest(updates: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def batch_names(updates: DataFrame, batch: str = "batch_id", pos: str = "pos",
-                chunk_rows: int = 10_000) -> DataFrame:
+                chunk_rows: int | None = None) -> DataFrame:
     """AGG-4: ordered names of each batch, duplicates kept.
 
-    Output ``(batch, chunk, names)``; names are listed in chunks of at most
-    ``chunk_rows`` positions so that one enormous batch never becomes one
-    unbounded array (ordinary batches are a single chunk 0).
+    Output ``(batch, chunk, names)``: one list per batch (chunk 0), as in the
+    reference.  Only a caller who gives ``chunk_rows`` gets chunks of at most
+    that many positions.
     """
-    chunk = F.floor(F.col(pos) / chunk_rows).cast("bigint")
+    chunk = F.lit(0).cast("bigint") if chunk_rows is None else F.floor(F.col(pos) / chunk_rows).cast("bigint")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col("id")))),
                           lambda x: x["id"])
     return updates.groupBy(batch, chunk.alias("chunk")).agg(ordered.alias("names"))

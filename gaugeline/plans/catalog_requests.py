@@ -220,7 +220,7 @@ def _scratch(spark, name, sf_dir):
 
 @register("src_snapshot", q.with_(q.U, q.C, q.ACC, q.STATE) + " SELECT id, type, delta, value FROM st")
 def src_snapshot(spark, sf_dir):
-    """SRC-4: the folded state written as a one-array snapshot file (the
+    """SRC-4: the folded state written as files of one JSON array each (the
     interchange form) and scanned back with array positions."""
     path = _scratch(spark, "snapshot_array", sf_dir)
     write_snapshot_array(state(spark, sf_dir), path)
@@ -231,8 +231,9 @@ def src_snapshot(spark, sf_dir):
  SELECT type, id, delta, value FROM st WHERE NOT (type = 'counter' AND delta = 0)""")
 def snapshot_roundtrip(spark, sf_dir):
     """SNK-1 → SRC-4 → MRG-4: state saved as JSON Lines by all tasks, then
-    restored into an empty store (a zero counter is not re-created)."""
+    restored into an empty store (a zero counter is not re-created).
+    Non-finite gauges are written as strings, so that they come back too."""
     path = _scratch(spark, "snapshot_lines", sf_dir)
-    write_snapshot(state(spark, sf_dir), path)
+    write_snapshot(state(spark, sf_dir), path, nonfinite="string")
     empty = spark.createDataFrame([], "type string, id string, delta bigint, value double")
     return op.restore_merge(empty, read_snapshot(spark, path)).select("type", "id", "delta", "value")

@@ -20,8 +20,8 @@ def audit_events(accepted_requests: DataFrame, names: DataFrame) -> DataFrame:
     body order (an empty list for an accepted empty batch).
 
     ``accepted_requests``: ``(request_id, arrival_ts, headers, remote_addr)``;
-    ``names``: ``(request_id, chunk, names)`` from ``batch_names``.  A very
-    large batch yields one event per chunk of names.
+    ``names``: ``(request_id, chunk, names)`` from ``batch_names``: one
+    event per request, or one per chunk where the caller asked for chunks.
     """
     ip = client_ip(header("headers", H_REAL_IP), header("headers", H_FORWARDED_FOR), "remote_addr")
     ts = epoch_seconds("arrival_ts", dict(accepted_requests.dtypes)["arrival_ts"])

@@ -9,15 +9,15 @@ from gaugeline.sources.gzip import deflate
 
 
 def signed_batches(updates: DataFrame, key: str | None, batch: str = "batch_id", pos: str = "pos",
-                   max_rows: int = 10_000) -> DataFrame:
+                   max_rows: int | None = None) -> DataFrame:
     """Per batch: the JSON array body, its byte length and HMAC over the
     uncompressed JSON (null when no key is set):
     ``(batch, part, body, json_bytes, hash)``.
 
-    A batch longer than ``max_rows`` is sent as several requests (``part``
-    = ``pos div max_rows``), so no body, and no group, grows without bound.
+    A batch is one request (part 0), as in the reference.  Only with
+    ``max_rows`` is a longer one sent as several (``part`` = ``pos div max_rows``).
     """
-    part = F.floor(F.col(pos) / max_rows).cast("bigint").alias("part")
+    part = (F.lit(0) if max_rows is None else F.floor(F.col(pos) / max_rows)).cast("bigint").alias("part")
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(pos), F.struct("id", "type", "delta", "value").alias("m")))),
         lambda x: x["m"])

@@ -35,25 +35,26 @@ def write_snapshot(state: DataFrame, path: str, nonfinite: str = "reject",
     failed write never destroys the previous snapshot.  Returns ``n``.
 
     JSON has no NaN or Infinity.  ``nonfinite``: ``reject`` (default) leaves
-    such gauges out of the snapshot and, with ``reject_path``, writes them
-    there; ``error`` fails the write; ``string`` writes them as strings
+    such gauges out of the snapshot and writes them to a lane, ``reject_path``
+    or else ``<path>/_rejects/v=<n>``; ``error`` fails the write; ``string`` writes them as strings
     (readable back by Spark, not by strict JSON readers).
     """
     spark = state.sparkSession
     cur = current_version(spark, path)
     version = 0 if cur is None else cur + 1
-    if nonfinite == "reject" and reject_path:
+    if nonfinite == "reject":
+        reject_path = reject_path or f"{path}/_rejects/v={version}"
         state = state.persist()
     try:
         rows = _snapshot_rows(state, nonfinite)
         (rows.sortWithinPartitions(F.col("type") != COUNTER, "id")
          .write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/v={version}"))
-        if nonfinite == "reject" and reject_path:
+        if nonfinite == "reject":
             (state.select("id", "type", "delta", F.col("value").cast("string").alias("value"))
              .filter(F.col("type") == "gauge").filter(_nonfinite_text())
              .write.mode("overwrite").json(reject_path))
     finally:
-        if nonfinite == "reject" and reject_path:
+        if nonfinite == "reject":
             state.unpersist()
     publish_version(spark, path, version)
     return version
@@ -63,18 +64,22 @@ def _nonfinite_text() -> F.Column:
     return F.col("value").isin("NaN", "Infinity", "-Infinity")
 
 
-def write_snapshot_array(state: DataFrame, path: str, max_rows: int = 1_000_000,
+def write_snapshot_array(state: DataFrame, path: str, max_rows: int = 100_000,
                          nonfinite: str = "error") -> None:
-    """Interchange form: one file holding one JSON array (``null`` when the
-    state is empty).  The array is built in one task, so the state size is
-    checked first against ``max_rows``; larger states use ``write_snapshot``."""
+    """Interchange form: files that each hold one JSON array, counters first
+    and then by name (a single ``null`` when the state is empty).  A state of
+    about ``max_rows`` rows or fewer is one file; a larger one is cut by ranges
+    of (kind, name) into arrays of about that many rows, built and written by
+    separate tasks.  Positions count within a file."""
     rows = _snapshot_rows(state, nonfinite)
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError(f"state has {n} rows > {max_rows}; use write_snapshot (JSON Lines)")
+    files = max(1, -(-rows.count() // max_rows))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(
         (F.col("type") != COUNTER).alias("k"), F.col("id"), F.struct("id", "type", "delta", "value").alias("m")))),
         lambda x: x["m"])
-    doc = rows.agg(ordered.alias("a")).select(
-        F.when(F.size("a") > 0, F.to_json("a")).otherwise(F.lit("null")).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    text = F.when(F.size("a") > 0, F.to_json("a")).otherwise(F.lit("null")).alias("value")
+    if files == 1:
+        rows.agg(ordered.alias("a")).select(text).coalesce(1).write.mode("overwrite").text(path)
+        return
+    parts = rows.repartitionByRange(files, F.col("type") != COUNTER, "id").withColumn("part", F.spark_partition_id())
+    (parts.groupBy("part").agg(ordered.alias("a")).repartitionByRange(files, "part").select(text)
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))

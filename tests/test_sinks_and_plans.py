@@ -144,3 +144,28 @@ def test_running_windows_never_partition_rows_by_key_alone(spark):
             spec = w.split("windowspecdefinition(", 1)[1]
             partition_part = spec.split(" ASC", 1)[0]  # partition keys come before the ordering
             assert "_bkt" in partition_part, (name, w)
+
+
+def test_large_batches_and_states_are_whole(spark, scratch):
+    from gaugeline.operators import batch_names
+    from gaugeline.sinks import signed_batches, write_snapshot, write_snapshot_array
+    from gaugeline.sources import read_snapshot
+    n = 10_500
+    u = spark.range(n).selectExpr("1L AS batch_id", "CAST(id AS INT) AS pos", "CONCAT('m', id) AS id", "'counter' AS type",
+                                  "id AS delta", "CAST(NULL AS DOUBLE) AS value")
+    names = batch_names(u).collect()
+    assert [(r["chunk"], len(r["names"]), r["names"][-1]) for r in names] == [(0, n, f"m{n - 1}")]
+    sent = signed_batches(u, "k").collect()
+    assert len(sent) == 1 and sent[0]["part"] == 0 and sent[0]["body"].count('"id"') == n
+    state = u.select("type", "id", "delta", "value").unionByName(
+        u.where("pos < 300").selectExpr("'gauge' AS type", "id", "CAST(NULL AS BIGINT) AS delta", "1.5D AS value"))
+    write_snapshot_array(state, f"{scratch}/many", max_rows=1000)
+    back = read_snapshot(spark, f"{scratch}/many", whole_array=True)
+    files = back.groupBy("file").count().collect()
+    assert len(files) > 5 and max(r["count"] for r in files) < 4000
+    assert back.select(*state.columns).exceptAll(state).isEmpty() and back.count() == state.count()
+    odd = spark.createDataFrame([("gauge", "g", None, float("nan")), ("counter", "c", 3, None)],
+                                "type string, id string, delta bigint, value double")
+    write_snapshot(odd, f"{scratch}/lane")
+    assert [r["id"] for r in spark.read.json(f"{scratch}/lane/_rejects/v=0").collect()] == ["g"]
+    assert [r["id"] for r in read_snapshot(spark, f"{scratch}/lane").collect()] == ["c"]
