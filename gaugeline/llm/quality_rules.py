@@ -79,9 +79,10 @@ def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _distance(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
-    """Squared Mahalanobis distance ``d2`` by forward substitution."""
+    """Squared Mahalanobis distance ``d2`` by forward substitution; null
+    without an estimate, when no row of the table passed the base rules."""
     cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    out = rows.alias("r").join(est.drop("rows").alias("e"), cond, "inner").select("r.*", *[
+    out = rows.alias("r").join(est.drop("rows").alias("e"), cond, "left").select("r.*", *[
         F.col(f"e.{c}") for c in est.columns if c not in (*keys, "rows")])
     for i, f in enumerate(FEATURES):
         acc = F.col(f) - F.col(f"m{i}")

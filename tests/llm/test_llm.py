@@ -50,6 +50,12 @@ def test_quality_base_counts(docs, texts):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_when_every_document_fails(spark):
+    d = spark.createDataFrame([(i, "too few words", "en", "s", 0, "x") for i in range(5)] + [(5, None, None, None, 0, "x")], SCHEMA)
+    rows = quality_rules.quality_rules(d).collect()
+    assert sorted((r.doc_id, r.base_failed, r.kept, r.robust_d2) for r in rows) == [(i, True, False, None) for i in range(6)]
+
+
 def test_jaccard_components(docs, texts):
     sets = []
     for t in texts:
