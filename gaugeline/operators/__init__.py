@@ -9,7 +9,7 @@ from gaugeline.operators.fold import (counter_totals, gauge_latest, fold_state,
                                       documents_to_rows)
 from gaugeline.operators.merge import merge_gauges, merge_counters, merge_state, restore_merge
 from gaugeline.operators.lookup import point_lookup, bulk_lookup, asof_lookup, list_all
-from gaugeline.operators.echo import (running_sum, running_last, counter_echo, gauge_echo,
+from gaugeline.operators.echo import (running_sum, running_last, counter_echo, gauge_echo, update_responses,
                                       counter_increments)
 from gaugeline.operators.setops import union_kinds, split_kinds
 
@@ -19,6 +19,6 @@ __all__ = [
     "verify_signatures", "counter_totals", "gauge_latest", "fold_state", "batch_names",
     "batch_summary", "state_documents", "sized_state_documents", "documents_to_rows", "merge_gauges", "merge_counters",
     "merge_state", "restore_merge", "point_lookup", "bulk_lookup", "asof_lookup", "list_all",
-    "running_sum", "running_last", "counter_echo", "gauge_echo", "counter_increments",
+    "running_sum", "running_last", "counter_echo", "gauge_echo", "update_responses", "counter_increments",
     "union_kinds", "split_kinds",
 ]

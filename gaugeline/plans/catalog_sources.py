@@ -173,11 +173,4 @@ def single_update_echo(spark, sf_dir):
     400 with the error otherwise."""
     rows = op.classify(parse_single_bodies(single_bodies(updates(spark, sf_dir)), keep=["seq"]),
                        decode_ok="decode_ok")
-    ok = rows.filter(F.col("err_code") == 0)
-    totals = op.counter_echo(ok).select("seq", F.col("total").alias("_total"))
-    return rows.join(totals, "seq", "left").select(
-        "seq", "status", "err",
-        F.when(F.col("status") == 200, F.col("id")).alias("id"),
-        F.when(F.col("status") == 200, F.col("type")).alias("type"),
-        F.col("_total").alias("delta"),
-        F.when((F.col("status") == 200) & (F.col("type") == "gauge"), F.col("value")).alias("value"))
+    return op.update_responses(rows).select("seq", "status", "err", "id", "type", "delta", "value")
