@@ -28,9 +28,9 @@ def merge_counters(counters: DataFrame, updates: DataFrame, overflow: str = "err
             .select("id", add_totals(F.col("_old"), F.col("_new"), overflow).alias("value")))
 
 
-def merge_state(state: DataFrame, updates: DataFrame, overflow: str = "error") -> DataFrame:
+def merge_state(state: DataFrame, updates: DataFrame, overflow: str = "error", seq: str = "seq") -> DataFrame:
     """MRG-3: apply a validated update log to METRIC state as one unit."""
-    new = fold_state(updates, overflow).select(
+    new = fold_state(updates, overflow, seq).select(
         "type", "id", F.col("delta").alias("_nd"), F.col("value").alias("_nv"))
     old = state.select("type", "id", F.col("delta").alias("_od"), F.col("value").alias("_ov"))
     j = old.join(new, ["type", "id"], "full_outer")

@@ -9,14 +9,15 @@ from gaugeline.functions.signing import hmac_sha256_hex
 
 
 @column_cache
-def signature_state(body, presented, key: str | None) -> Column:
+def signature_state(body, presented, key: str | None, binary: bool = False) -> Column:
     """'unsigned' when no key is configured or no hash is presented, else
-    'valid' / 'invalid' by exact comparison with the lower-case hex HMAC."""
+    'valid' / 'invalid' by exact comparison with the lower-case hex HMAC.
+    ``body`` is text, or bytes with ``binary``."""
     p = F.col(presented) if isinstance(presented, str) else presented
     if not key:
         return F.lit("unsigned")
     return (F.when(p.isNull() | (p == ""), F.lit("unsigned"))
-            .when(p == hmac_sha256_hex(body, key), F.lit("valid"))
+            .when(p == hmac_sha256_hex(body, key, binary), F.lit("valid"))
             .otherwise(F.lit("invalid")))
 
 

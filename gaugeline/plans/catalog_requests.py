@@ -14,7 +14,7 @@ from gaugeline.schema import H_FORWARDED_FOR, H_HASH, H_REAL_IP
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks import (listing_lines, request_log, signed_batches as sign_batches, single_update_audit,
                              write_snapshot, write_snapshot_array)
-from gaugeline.sources import (batch_bodies, load_table, parse_update_paths, path_requests, read_snapshot,
+from gaugeline.sources import (batch_bodies, load_table, mixed_requests, parse_update_paths, path_requests, read_snapshot,
                                request_envelopes)
 from gaugeline.sources.gzip import deflate, inflate
 from gaugeline.sources.updates import SIGNING_KEY
@@ -71,6 +71,45 @@ def ingest_state(spark, sf_dir):
     return ingest(envelopes(spark, sf_dir), SIGNING_KEY)["state"].select("type", "id", "delta", "value")
 
 
+# Accepted rows of the mixed requests: a batch whole or not at all, single
+# objects and paths one by one.
+_MIXED = _ACC_REQ + """
+ , ms AS (SELECT c.*, seq % 17 = 16 AS undecodable, seq % 10 = 0 AS wrong_sig FROM c WHERE batch_id % 3 = 1)
+ , mp AS (SELECT c.*, (value IS NOT NULL OR delta IS NOT NULL) OR seq % 14 IN (0, 7) AS routed,
+                 seq % 14 IN (0, 7) AS suffixed FROM c WHERE batch_id % 3 = 2)
+ , mixed AS (
+  SELECT seq, type, id, delta, value, batch_id * 10 AS request_id FROM c
+  WHERE batch_id % 3 = 0 AND batch_id IN (SELECT batch_id FROM okb)
+  UNION ALL SELECT seq, type, id, delta, value, seq FROM ms WHERE err_code = 0 AND NOT undecodable AND NOT wrong_sig
+  UNION ALL SELECT seq, type, id, delta, value, seq FROM mp WHERE err_code = 0 AND routed AND NOT suffixed)"""
+
+
+@register("ingest_mixed_state", q.with_(q.U, q.C, q.BODIES, REQ) + _MIXED + """
+ SELECT type, id, CAST(SUM(CASE WHEN type = 'counter' THEN delta END) AS BIGINT) AS delta,
+        ARG_MAX(CASE WHEN type = 'gauge' THEN value END, seq) AS value FROM mixed GROUP BY type, id""")
+def ingest_mixed_state(spark, sf_dir):
+    """SRC-1/2/3 in one write path: batch, single and path requests in order
+    of arrival, signatures over bytes, folded by request."""
+    requests = mixed_requests(updates(spark, sf_dir))
+    return ingest(requests, SIGNING_KEY, all_routes=True)["state"].select("type", "id", "delta", "value")
+
+
+@register("ingest_mixed_outcomes", q.with_(q.U, q.C, q.BODIES, REQ) + _MIXED + """
+ SELECT batch_id * 10 AS request_id, 'batch' AS route,
+        CASE WHEN batch_id IN (SELECT batch_id FROM okb) THEN 200 ELSE 400 END AS status,
+        CASE WHEN hash IS NULL THEN 'unsigned' WHEN hash = right_hash THEN 'valid' ELSE 'invalid' END AS signature_state
+ FROM req WHERE batch_id % 3 = 0
+ UNION ALL
+ SELECT seq, 'single', CASE WHEN err_code = 0 AND NOT undecodable AND NOT wrong_sig THEN 200 ELSE 400 END,
+        CASE WHEN wrong_sig THEN 'invalid' WHEN seq % 5 <> 0 THEN 'valid' ELSE 'unsigned' END FROM ms
+ UNION ALL
+ SELECT seq, 'path', CASE WHEN NOT routed THEN 404 WHEN err_code = 0 AND NOT suffixed THEN 200 ELSE 400 END, 'unsigned' FROM mp""")
+def ingest_mixed_outcomes(spark, sf_dir):
+    """VAL-4 + VAL-8 on every route: the answer to each mixed request."""
+    requests = mixed_requests(updates(spark, sf_dir))
+    return ingest(requests, SIGNING_KEY, all_routes=True)["outcomes"].select("request_id", "route", "status", "signature_state")
+
+
 @register("audit_events", q.with_(q.U, q.C, q.BODIES, REQ) + _ACC_REQ + f"""
  SELECT req.batch_id AS request_id, CAST(epoch_us(req.arrival_ts) // 1000000 AS BIGINT) AS ts,
         to_json(l.names) AS metrics_json, {q.client_ip_sql('real_ip', 'xff', 'remote_addr')} AS ip_address

@@ -140,6 +140,32 @@ def request_envelopes(bodies: DataFrame, key: str = SIGNING_KEY) -> DataFrame:
         headers.alias("headers"), remote.alias("remote_addr"), "body")
 
 
+def mixed_requests(updates: DataFrame, key: str = SIGNING_KEY) -> DataFrame:
+    """The update log as requests of all three routes, in arrival order.
+
+    Batches with ``batch_id % 3 = 0`` are sent whole (as ``request_envelopes``
+    signs them), the rows of ``% 3 = 1`` as single objects (signed rightly
+    where ``seq % 5 <> 0``, wrongly where ``% 10 = 0``, else not) and the rows
+    of ``% 3 = 2`` in paths.  ``request_id`` is the seq of a request's first row
+    or, for a batch, that of its first place.
+    """
+    kind = F.col("batch_id") % 3
+    cols = ("request_id", "arrival_ts", "method", "path", "headers", "remote_addr", "body")
+    whole = request_envelopes(batch_bodies(updates.where(kind == 0)), key).withColumns(
+        {"request_id": F.col("batch_id") * BATCH_ROWS, "body": F.col("body").cast("binary")})
+    one = single_bodies(updates.where(kind == 1))
+    seq = F.col("seq")
+    sig = F.when(seq % 5 != 0, hmac_sha256_hex("body", key)).when(seq % 10 == 0, hmac_sha256_hex(F.concat("body", F.lit(" ")), key))
+    remote = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1:80"))
+    single = one.select(
+        seq.alias("request_id"), F.col("ts").alias("arrival_ts"), F.lit("POST").alias("method"),
+        F.when(seq % 2 == 0, F.lit("/update/")).otherwise(F.lit("/update")).alias("path"),
+        F.when(sig.isNotNull(), F.create_map(F.lit(H_HASH), sig)).otherwise(F.create_map().cast("map<string,string>")).alias("headers"),
+        remote.alias("remote_addr"), F.col("body").cast("binary").alias("body"))
+    path = path_requests(updates.where(kind == 2)).withColumns({"method": F.lit("POST"), "body": F.lit(b"")})
+    return whole.select(*cols).unionByName(single).unionByName(path.select(*cols))
+
+
 def read_requests(events: DataFrame) -> DataFrame:
     """One read request per event: ``(request_id, seq, type, id)``.
 

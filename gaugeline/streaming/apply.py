@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeline.plans.ingest import accepted_rows, evaluate_requests, request_audit
+from gaugeline.plans.ingest import evaluate_requests, folded_rows, request_audit
 from gaugeline.operators.fold import fold_state
 from gaugeline.operators.merge import merge_state
 from gaugeline.session import checkpoint_root
@@ -39,9 +39,10 @@ def apply_epoch(requests: DataFrame, epoch_id: int, state_root: str, key: str |
     ev = evaluate_requests(requests, key).persist()
     try:
         if published_epoch(spark, state_root, writer, epoch_id) is None:
-            rows = accepted_rows(ev)
+            rows = folded_rows(ev)
             base = current_version(spark, state_root)
-            new_state = fold_state(rows) if base is None else merge_state(read_state(spark, state_root, base), rows)
+            new_state = (fold_state(rows, seq="request_id") if base is None
+                         else merge_state(read_state(spark, state_root, base), rows, seq="request_id"))
             write_state_version(new_state.select("type", "id", "delta", "value"), state_root,
                                 0 if base is None else base + 1, writer, epoch_id, base)
         audit = request_audit(ev).withColumn("epoch", F.lit(epoch_id))

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeline.plans.ingest import accepted_rows, evaluate_requests, request_audit
+from gaugeline.plans.ingest import evaluate_requests, folded_rows, request_audit
 from gaugeline.schema import COUNTER, GAUGE
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks.audit import fan_out
@@ -32,11 +32,11 @@ from gaugeline.sinks.audit import fan_out
 
 def running_state(requests: DataFrame, key: str | None) -> DataFrame:
     """Streaming fold of the accepted rows of a request stream."""
-    rows = accepted_rows(evaluate_requests(requests, key))
+    rows = folded_rows(evaluate_requests(requests, key))
     t = F.col("type")
     return rows.groupBy("type", "id").agg(
         F.sum(F.when(t == COUNTER, F.col("delta"))).alias("delta"),
-        F.max_by(F.when(t == GAUGE, F.col("value")), F.col("seq")).alias("value"))
+        F.max_by(F.when(t == GAUGE, F.col("value")), F.col("request_id")).alias("value"))
 
 
 def _ck(df: DataFrame, name: str, checkpoint: str | None) -> str:
