@@ -108,7 +108,7 @@ def format_metric_value(kind, delta, value) -> Column:
 @column_cache
 def byte_prefix_hex(c, n: int) -> Column:
     """Hex of the first ``n`` UTF-8 bytes of a string (exact byte cut)."""
-    return F.substring(F.hex(F.encode(_col(c), "UTF-8")), 1, 2 * n)
+    return F.hex(F.substring(F.encode(_col(c), "UTF-8"), 1, n))
 
 
 @column_cache

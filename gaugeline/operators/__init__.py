@@ -6,9 +6,9 @@ from gaugeline.operators.validate import (row_error_code, classify, batch_outcom
 from gaugeline.operators.signature import signature_state, verify_signatures
 from gaugeline.operators.fold import (counter_totals, gauge_latest, fold_state, batch_names,
                                       batch_summary, state_documents, sized_state_documents,
-                                      documents_to_rows)
+                                      documents_to_rows, salvage_fold)
 from gaugeline.operators.merge import merge_gauges, merge_counters, merge_state, restore_merge
-from gaugeline.operators.lookup import point_lookup, bulk_lookup, asof_lookup, list_all
+from gaugeline.operators.lookup import point_lookup, bulk_lookup, asof_lookup, list_all, read_responses, stored_lookup, stored_point
 from gaugeline.operators.echo import (running_sum, running_last, counter_echo, gauge_echo, update_responses,
                                       counter_increments)
 from gaugeline.operators.setops import union_kinds, split_kinds
@@ -18,7 +18,7 @@ __all__ = [
     "lenient_filter", "rejects", "batch_lanes", "error_label", "signature_state",
     "verify_signatures", "counter_totals", "gauge_latest", "fold_state", "batch_names",
     "batch_summary", "state_documents", "sized_state_documents", "documents_to_rows", "merge_gauges", "merge_counters",
-    "merge_state", "restore_merge", "point_lookup", "bulk_lookup", "asof_lookup", "list_all",
+    "merge_state", "restore_merge", "point_lookup", "bulk_lookup", "asof_lookup", "list_all", "read_responses", "stored_lookup", "stored_point", "salvage_fold",
     "running_sum", "running_last", "counter_echo", "gauge_echo", "update_responses", "counter_increments",
     "union_kinds", "split_kinds",
 ]

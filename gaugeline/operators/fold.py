@@ -59,6 +59,21 @@ def fold_state(updates: DataFrame, overflow: str = "error", seq: str = "seq") ->
     )
 
 
+def salvage_fold(lanes: DataFrame, batch: str = "batch_id", pos: str = "pos", overflow: str = "error") -> DataFrame:
+    """VAL-7 applied to state: ``lanes`` (from ``batch_lanes``) without the
+    quarantined rows, in the order in which they land: batch by batch, and
+    the salvaged rows of a batch, sent again one by one, after it and before
+    the next.  Each batch is folded by position first, so the order of the
+    state is one number, twice the batch and the phase."""
+    t = F.col("type")
+    rows = lanes.where(F.col("lane") != "quarantined")
+    phase = F.when(F.col("lane") == "salvaged", F.lit(1)).otherwise(F.lit(0))
+    each = rows.groupBy((F.col(batch) * 2 + phase).alias("_landed"), "type", "id").agg(
+        sum_deltas(F.when(t == COUNTER, F.col("delta")), overflow).alias("delta"),
+        F.max_by(F.when(t == GAUGE, F.col("value")), F.col(pos)).alias("value"))
+    return fold_state(each, overflow, seq="_landed")
+
+
 def counter_totals(updates: DataFrame, overflow: str = "error") -> DataFrame:
     """AGG-1: ``(id, value)`` total per counter; a zero delta creates the id."""
     return (updates.filter(F.col("type") == COUNTER).groupBy("id")

@@ -138,6 +138,15 @@ def batch_lanes(spark, sf_dir):
     return op.batch_lanes(updates(spark, sf_dir)).select("seq", "batch_id", "pos", "type", "id", "lane", "err")
 
 
+@register("salvage_state", q.with_(q.U, q.C) + """
+ SELECT type, id, CAST(SUM(CASE WHEN type = 'counter' THEN delta END) AS BIGINT) AS delta,
+        ARG_MAX(CASE WHEN type = 'gauge' THEN value END, seq) AS value
+ FROM c WHERE err_code = 0 GROUP BY type, id""")
+def salvage_state(spark, sf_dir):
+    """VAL-7 on state: accepted batches, and after each the salvaged rows of failed ones."""
+    return op.salvage_fold(op.batch_lanes(updates(spark, sf_dir))).select("type", "id", "delta", "value")
+
+
 # --------------------------------------------------------------- merges --
 
 _SPLIT = """

@@ -14,7 +14,7 @@ from gaugeline.schema import H_FORWARDED_FOR, H_HASH, H_REAL_IP
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks import (listing_lines, request_log, signed_batches as sign_batches, single_update_audit,
                              write_snapshot, write_snapshot_array)
-from gaugeline.sources import (batch_bodies, load_table, mixed_requests, parse_update_paths, path_requests, read_snapshot,
+from gaugeline.sources import (batch_bodies, load_table, mixed_requests, parse_update_paths, path_requests, read_requests, read_snapshot,
                                request_envelopes)
 from gaugeline.sources.gzip import deflate, inflate
 from gaugeline.sources.updates import SIGNING_KEY
@@ -222,14 +222,53 @@ def poll_windows(spark, sf_dir):
                     "poll_count", "last_value")
 
 
+def _read_requests(spark, sf_dir, by_path: bool):
+    """Every read of ``read_requests`` as a request: in its path, or as a body
+    of which every 13th is cut short and every 29th is of the wrong method."""
+    rid = F.col("request_id")
+    r = read_requests(load_table(spark, sf_dir, "events"))
+    body = F.to_json(F.struct("id", "type"))
+    path = F.concat(F.lit("/value/"), F.col("type"), F.lit("/"), F.col("id")) if by_path else F.lit("/value/")
+    sent = F.lit("") if by_path else F.when(rid % 13 == 12, F.expr("substring(to_json(struct(id, type)), 2)")).otherwise(body)
+    right, other = ("GET", "POST") if by_path else ("POST", "GET")
+    return r.select("request_id", F.when(rid % 29 == 28, F.lit(other)).otherwise(F.lit(right)).alias("method"), path.alias("path"),
+                    sent.cast("binary").alias("body"))
+
+
+def _reads_sql(by_path: bool) -> str:
+    bad = "FALSE" if by_path else "rq.request_id % 13 = 12"
+    number = f"CASE WHEN st.type = 'gauge' THEN ',\"value\":' || CAST(st.value AS VARCHAR) ELSE ',\"delta\":' || CAST(st.delta AS VARCHAR) END"
+    answer = q.metric_text("st.type", "st.delta", "st.value") if by_path else \
+        f"'{{\"id\":\"' || st.id || '\",\"type\":\"' || st.type || '\"' || {number} || '}}'"
+    return q.with_(q.U, q.C, q.ACC, q.STATE, q.READS) + f"""
+ , x AS (SELECT rq.request_id, CASE WHEN rq.request_id % 29 = 28 THEN 405 WHEN {bad} THEN 400 WHEN rq.type NOT IN ('gauge', 'counter') THEN 400
+                WHEN st.id IS NULL THEN 404 ELSE 200 END AS status, {bad} AS bad, {answer} AS answer
+         FROM rq LEFT JOIN st ON rq.type = st.type AND rq.id = st.id)
+ SELECT request_id, status, CASE WHEN status = 405 OR status = 200 THEN NULL WHEN bad THEN 'decode error'
+        WHEN status = 400 THEN 'invalid metric type' ELSE 'metric not found' END AS err,
+        CASE WHEN status = 200 THEN answer END AS response FROM x"""
+
+
+@register("read_path", _reads_sql(True))
+def read_path(spark, sf_dir):
+    """LKP-2 over ``GET /value/{type}/{name}`` requests."""
+    return op.read_responses(_read_requests(spark, sf_dir, True), state(spark, sf_dir)).select("request_id", "status", "err", "response")
+
+
+@register("read_json", _reads_sql(False))
+def read_json(spark, sf_dir):
+    """LKP-2 over ``POST /value/`` requests with a metric object as body."""
+    return op.read_responses(_read_requests(spark, sf_dir, False), state(spark, sf_dir)).select("request_id", "status", "err", "response")
+
+
 # ------------------------------------------------ encodings round trips --
 
 @register("state_map", q.with_(q.U, q.C, q.ACC, q.STATE) + " SELECT type, id, delta, value FROM st")
 def state_map(spark, sf_dir):
-    """AGG-6: state encoded as JSON map documents (hash buckets of bounded
-    size) and decoded back into rows."""
+    """AGG-6: state encoded as JSON map documents (a given number of hash
+    buckets) and decoded back into rows."""
     s = state(spark, sf_dir)
-    return op.documents_to_rows(op.sized_state_documents(s)).select("type", "id", "delta", "value")
+    return op.documents_to_rows(op.state_documents(s, buckets=16)).select("type", "id", "delta", "value")
 
 
 @register("signed_batches", q.with_(q.U, q.BODIES) + f"""

@@ -18,7 +18,7 @@ from gaugeline.plans.catalog import _after, _before, accepted, register
 from gaugeline.plans.catalog_requests import _ACC_REQ, REQ, envelopes
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks import write_state_tables
-from gaugeline.sources import load_table, update_log
+from gaugeline.sources import load_table, read_requests, update_log
 from gaugeline.sources.buckets import ordered_fold, state_table
 from gaugeline.sources.updates import SIGNING_KEY
 from gaugeline.streaming.keyed import (json_sink, start_audit_delivery, start_state_apply, start_state_fold, start_window_table,
@@ -124,3 +124,16 @@ def state_tables(spark, sf_dir):
     gauges = op.merge_gauges(spark.table(f"{prefix}gauge"), _after(acc))
     counters = op.merge_counters(spark.table(f"{prefix}counter"), _after(acc))
     return op.union_kinds(counters, gauges).select(*STATE_COLS)
+
+
+@register("stored_lookup", q.with_(q.U, q.C, q.ACC, q.STATE, q.READS) + f"""
+ SELECT rq.request_id, rq.type, rq.id,
+        CASE WHEN rq.type NOT IN ('gauge', 'counter') THEN 400 WHEN st.id IS NULL THEN 404 ELSE 200 END AS status,
+        CASE WHEN st.id IS NOT NULL THEN {q.metric_text('st.type', 'st.delta', 'st.value')} END AS text
+ FROM rq LEFT JOIN st ON rq.type = st.type AND rq.id = st.id""")
+def stored_lookup(spark, sf_dir):
+    """LKP-2 on the stored state table: only buckets with requested keys are read."""
+    table = state_table(fresh_folder(spark, "stored_lookup"))
+    table.commit(ordered_fold(accepted(spark, sf_dir)))
+    reads = read_requests(load_table(spark, sf_dir, "events"))
+    return op.stored_lookup(reads, table).select("request_id", "type", "id", "status", "text")

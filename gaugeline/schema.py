@@ -64,6 +64,7 @@ REQUEST = T.StructType([
 # Header names the service reads (fixed values).
 H_CONTENT_ENCODING = "Content-Encoding"
 H_CONTENT_TYPE = "Content-Type"
+H_CONTENT_LENGTH = "Content-Length"
 H_ACCEPT_ENCODING = "Accept-Encoding"
 H_HASH = "HashSHA256"
 H_REAL_IP = "X-Real-IP"

@@ -36,6 +36,7 @@ class KeyedTable:
     schema: str
     merge: Callable[[DataFrame, DataFrame], DataFrame]
     buckets: int = 64
+    row_group_bytes: int = 16 << 20     # small groups: point reads skip most of a bucket
 
     def version(self, spark: SparkSession) -> int | None:
         return current_version(spark, self.root)
@@ -57,6 +58,13 @@ class KeyedTable:
         """The rows of the newest (or a given) version; none before the first commit."""
         return self._rows(spark, self.manifest(spark, self.version(spark) if version is None else version))
 
+    def read_for(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """``read`` of the buckets that hold any of ``keys`` (columns ``self.keys``)."""
+        spark = keys.sparkSession
+        places = self.manifest(spark, self.version(spark) if version is None else version)
+        wanted = {r.bucket for r in keys.select(self.bucket().alias("bucket")).distinct().collect()}
+        return self._rows(spark, {b: v for b, v in places.items() if b in wanted})
+
     def bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
@@ -75,10 +83,10 @@ class KeyedTable:
             if touched:
                 old = self._rows(spark, {b: places[b] for b in touched if b in places})
                 merged = self.merge(old, new.drop("bucket")).withColumn("bucket", self.bucket())
-                writer_ = merged.repartition(len(touched), "bucket").sortWithinPartitions("bucket", *self.keys).write
-                for k in self.keys:
-                    writer_ = writer_.option(f"parquet.bloom.filter.enabled#{k}", "true")
-                writer_.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={version}")
+                options = {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}
+                (merged.repartition(len(touched), "bucket").sortWithinPartitions("bucket", *self.keys)
+                 .write.options(**options, **{"parquet.block.size": str(self.row_group_bytes)})
+                 .mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={version}"))
         finally:
             new.unpersist()
         places.update((b, version) for b in touched)
@@ -154,6 +162,6 @@ def _merge_ordered(old: DataFrame, new: DataFrame) -> DataFrame:
         F.greatest("_oseq", "_nseq").alias("seq"))
 
 
-def state_table(root: str, buckets: int = 64) -> KeyedTable:
+def state_table(root: str, buckets: int = 64, row_group_bytes: int = 16 << 20) -> KeyedTable:
     """MRG-3 on stored state."""
-    return KeyedTable(root, ("type", "id"), ORDERED_STATE, _merge_ordered, buckets)
+    return KeyedTable(root, ("type", "id"), ORDERED_STATE, _merge_ordered, buckets, row_group_bytes)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeline.plans.ingest import evaluate_requests, folded_rows, request_audit
@@ -23,13 +23,7 @@ from gaugeline.operators.fold import fold_state
 from gaugeline.operators.merge import merge_state
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks.audit import fan_out
-from gaugeline.sources.state import current_version, published_epoch, read_state, write_state_version
-
-
-def query_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id that Structured Streaming keeps in a checkpoint: the same after a
-    restart, another one under a fresh checkpoint."""
-    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+from gaugeline.sources.state import current_version, published_epoch, query_id, read_state, write_state_version
 
 
 def apply_epoch(requests: DataFrame, epoch_id: int, state_root: str, key: str | None,

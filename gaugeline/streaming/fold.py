@@ -15,8 +15,7 @@ from gaugeline.operators.merge import merge_state
 from gaugeline.operators.validate import lenient_filter
 from gaugeline.schema import COUNTER, GAUGE
 from gaugeline.session import checkpoint_root
-from gaugeline.sources.state import current_version, first_mark, published_epoch, read_state, write_state_version
-from gaugeline.streaming.apply import query_id
+from gaugeline.sources.state import current_version, first_mark, published_epoch, query_id, read_state, write_state_version
 
 
 def continuous_fold(updates: DataFrame, seq: str = "seq") -> DataFrame:

@@ -18,8 +18,7 @@ from gaugeline.operators.validate import lenient_filter
 from gaugeline.plans.ingest import evaluate_requests, evaluate_routes, folded_rows, request_audit
 from gaugeline.session import checkpoint_root
 from gaugeline.sources.buckets import Files, KeyedTable, ordered_fold, state_table
-from gaugeline.sources.state import current_version, publish_version
-from gaugeline.streaming.apply import query_id
+from gaugeline.sources.state import current_version, publish_version, query_id
 
 log = logging.getLogger(__name__)
 

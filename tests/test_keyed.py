@@ -164,3 +164,46 @@ def test_merges_do_not_exchange_bucketed_tables(spark, scratch):
             todo += [(kids.apply(i), above) for i in range(kids.size())]
         assert len(paths) == 1 and "SortMergeJoin" in paths[0] and "Exchange" not in paths[0]
         assert merged.agg(F.sum("value")).first()[0] == 1010
+
+
+def _scanned(df):
+    """Files and rows read by the parquet scan of an executed plan."""
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan parquet"):
+            return int(node.metrics().apply("numFiles").value()), int(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+
+
+def test_lookups_read_few_buckets_and_row_groups(spark, scratch):
+    table = state_table(f"{scratch}/s", buckets=8, row_group_bytes=64 << 10)
+    n = 200_000
+    table.commit(ordered_fold(_many(spark, n).coalesce(1)))
+    hit = op.stored_point(spark, table, "counter", "c777")
+    assert [(r.status, r.delta, r.text) for r in hit.collect()] == [(200, 1, "1")]
+    files, rows = _scanned(hit)
+    assert files == 1 and rows < n / 8 / 2
+    # Inside the range of many groups' statistics, in no group's Bloom filter.
+    miss = op.stored_point(spark, table, "counter", "c500x")
+    assert [r.status for r in miss.collect()] == [404] and (_scanned(miss) or (0, 0))[1] == 0
+    requests = spark.createDataFrame([(1, "counter", "c5"), (2, "counter", "c5"), (3, "bogus", "c5"), (4, "gauge", None)], "r long, type string, id string")
+    bulk = op.stored_lookup(requests, table)
+    assert sorted((r.r, r.status, r.text) for r in bulk.collect()) == [(1, 200, "1"), (2, 200, "1"), (3, 400, None), (4, 404, None)]
+    assert _scanned(bulk)[0] == 1
+
+
+def test_salvaged_rows_land_after_their_batch(spark):
+    log = spark.createDataFrame(
+        [(1, 0, "gauge", "g", None, 1.0), (1, 1, "counter", "c", 1, None), (2, 0, "gauge", "g", None, 2.0), (2, 1, "bogus", "x", 1, None),
+         (2, 2, "gauge", "g", None, 2.5), (2, 3, "counter", "c", 10, None), (2, 4, "gauge", "g", None, None), (3, 0, "gauge", "h", None, 3.0)],
+        "batch_id long, pos int, type string, id string, delta long, value double")
+    got = op.salvage_fold(op.batch_lanes(log))
+    assert _rows(got) == _rows(spark.createDataFrame([("gauge", "g", None, 2.5), ("counter", "c", 11, None), ("gauge", "h", None, 3.0)],
+                                                     "type string, id string, delta long, value double"))

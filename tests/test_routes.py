@@ -8,7 +8,9 @@ import sys
 
 from pyspark.sql import functions as F
 
+from gaugeline import operators as op
 from gaugeline.plans.ingest import evaluate_requests, ingest
+from gaugeline.sinks import request_log
 
 KEY = "k1"
 SCHEMA = "request_id long, arrival_ts timestamp, method string, path string, headers map<string,string>, remote_addr string, body binary"
@@ -54,6 +56,25 @@ def test_signature_over_bytes_on_the_batch_route(spark):
     assert [r.status for r in ev.orderBy("request_id").collect()] == [200, 400]
 
 
+def test_read_requests(spark):
+    state = spark.createDataFrame([("gauge", "t", None, 23.5), ("counter", "hits", 10, None), ("gauge", "n", None, float("inf"))],
+                                  "type string, id string, delta long, value double")
+    rows = [("GET", "/value/gauge/t", {}, b""), ("GET", "/value/counter/hits", {}, None), ("GET", "/value/gauge/no", {}, b""),
+            ("GET", "/value/bogus/t", {}, b""), ("POST", "/value", {}, b'{"id":"t","type":"gauge","value":1}'), ("POST", "/value/", {}, b'{"ID":"hits","type":"counter"}'),
+            ("POST", "/value", {}, b'{"id":"t"'), ("POST", "/value", {}, b"[]"), ("POST", "/value", {}, b"null"), ("GET", "/value", {}, b"{}"),
+            ("POST", "/value/gauge/t", {}, b""), ("GET", "/value/gauge", {}, b""), ("GET", None, {}, None), ("GET", "/value/gauge/n", {}, b"")]
+    got = {r.request_id: (r.status, r.response) for r in op.read_responses(_requests(spark, rows), state).collect()}
+    assert [got[i] for i in range(len(rows))] == [
+        (200, "23.5"), (200, "10"), (404, None), (400, None), (200, '{"id":"t","type":"gauge","value":23.5}'), (200, '{"id":"hits","type":"counter","delta":10}'),
+        (400, None), (400, None), (400, None), (405, None), (405, None), (404, None), (404, None), (200, "+Inf")]
+
+
+def test_logged_content_length_is_the_header(spark):
+    rows = [("POST", "/updates", {"content-length": "17"}, b"[]"), ("POST", "/updates", {"Content-Length": "x"}, b"[]"), ("POST", "/updates", {}, b"[]")]
+    log = request_log(evaluate_requests(_requests(spark, rows), None)).orderBy("request_id").collect()
+    assert [(r.content_length, r.body_bytes) for r in log] == [(17, 2), (2, 2), (2, 2)]
+
+
 # One body of 40 MB decodes into an array of about 1 GB, more than the heap of
 # the test session, so it gets a session of its own.
 _BIG = """
