@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugeline import functions as fn
@@ -13,7 +15,7 @@ from gaugeline.plans.ingest import evaluate_requests, ingest, request_audit
 from gaugeline.schema import H_FORWARDED_FOR, H_HASH, H_REAL_IP
 from gaugeline.session import checkpoint_root
 from gaugeline.sinks import (listing_lines, request_log, signed_batches as sign_batches, single_update_audit,
-                             write_snapshot, write_snapshot_array)
+                             write_snapshot, write_snapshot_array, write_update_array)
 from gaugeline.sources import (batch_bodies, load_table, mixed_requests, parse_update_paths, path_requests, read_requests, read_snapshot,
                                request_envelopes)
 from gaugeline.sources.gzip import deflate, inflate
@@ -200,6 +202,32 @@ def restore_merge(spark, sf_dir):
     return op.restore_merge(cur, snapshot).select("type", "id", "delta", "value")
 
 
+@register("restore_array", q.with_(q.U, q.C, q.ACC) + """
+ , cur AS (SELECT type, id, CAST(SUM(CASE WHEN type = 'counter' THEN delta END) AS BIGINT) AS delta,
+                  ARG_MAX(CASE WHEN type = 'gauge' THEN value END, seq) AS value
+           FROM acc WHERE ts >= {mid} GROUP BY type, id)
+ , us AS (SELECT * FROM u WHERE (type = 'gauge' AND value IS NOT NULL) OR (type = 'counter' AND delta IS NOT NULL))
+ , sn AS (SELECT type, id, ARG_MAX(delta, seq) AS delta, ARG_MAX(value, seq) AS value, bool_or(delta <> 0) AS nonzero FROM us GROUP BY type, id)
+ SELECT COALESCE(cur.type, sn.type) AS type, COALESCE(cur.id, sn.id) AS id,
+        CASE WHEN COALESCE(cur.type, sn.type) = 'counter' THEN
+             CASE WHEN sn.delta IS NOT NULL AND (cur.id IS NOT NULL OR sn.nonzero) THEN sn.delta ELSE cur.delta END END AS delta,
+        CASE WHEN COALESCE(cur.type, sn.type) = 'gauge' THEN COALESCE(sn.value, cur.value) END AS value
+ FROM cur FULL OUTER JOIN sn ON cur.type = sn.type AND cur.id = sn.id
+ WHERE cur.id IS NOT NULL OR sn.value IS NOT NULL OR sn.nonzero""".format(mid=q.MID))
+def restore_array(spark, sf_dir):
+    """SRC-4 + MRG-4: the whole update log as JSON array files (names repeat,
+    values are absent, kinds unknown), read by byte ranges and restored over the
+    state of the second half."""
+    path = f"{checkpoint_root(spark)}/restore_array-{uuid.uuid4().hex}"
+    log = updates(spark, sf_dir)
+    write_update_array(log, path)
+    rows = read_snapshot(spark, path, whole_array=True)
+    # Files are ranges of the log in the order of their numbers.
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    snapshot = rows.withColumn("pos", part * (1 << 32) + F.col("pos"))
+    return op.restore_merge(op.fold_state(_after(accepted(spark, sf_dir))), snapshot).select("type", "id", "delta", "value")
+
+
 @register("listing_report", q.with_(q.U, q.C, q.ACC, q.STATE) + f"""
  SELECT 0 AS section, NULL::VARCHAR AS id, 'Gauges' AS line
  UNION ALL SELECT 1, NULL, 'Counters'

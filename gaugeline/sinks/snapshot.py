@@ -83,3 +83,14 @@ def write_snapshot_array(state: DataFrame, path: str, max_rows: int = 100_000,
     parts = rows.repartitionByRange(files, F.col("type") != COUNTER, "id").withColumn("part", F.spark_partition_id())
     (parts.groupBy("part").agg(ordered.alias("a")).repartitionByRange(files, "part").select(text)
      .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
+
+
+def write_update_array(updates: DataFrame, path: str, max_rows: int = 100_000, seq: str = "seq") -> None:
+    """An update log as files of one JSON array each, in log order: ranges of
+    about ``max_rows`` rows, the ranges in the order of the files' numbers."""
+    files = max(1, -(-updates.count() // max_rows))
+    parts = updates.repartitionByRange(files, seq).withColumn("part", F.spark_partition_id())
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.struct("id", "type", "delta", "value").alias("m")))),
+                          lambda x: x["m"])
+    (parts.groupBy("part").agg(F.to_json(ordered).alias("value")).repartitionByRange(files, "part").sortWithinPartitions("part").select("value")
+     .write.option("maxRecordsPerFile", 1).mode("overwrite").text(path))

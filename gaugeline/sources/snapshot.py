@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.schema import METRIC
-from gaugeline.sources.json_body import with_batch_array
+from gaugeline.sources.array_scan import scan_array
 from gaugeline.sources.state import current_version
 
 
@@ -15,7 +15,7 @@ def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) ->
     Default: JSON Lines written by ``sinks.write_snapshot`` (many part files,
     read in parallel; ``pos`` is null as the writer never repeats a key).
     ``whole_array=True`` reads the interchange form, one JSON array per file
-    (a file holding ``null`` is an empty snapshot); each file is one task and
+    (a file holding ``null`` is an empty snapshot), by byte ranges in many tasks;
     ``pos`` is the array position, used for last-wins on repeated ids.
     """
     if not whole_array:
@@ -26,11 +26,4 @@ def read_snapshot(spark: SparkSession, path: str, whole_array: bool = False) ->
         return (df.filter(~(F.col("id").isNull() & F.col("type").isNull()
                             & F.col("delta").isNull() & F.col("value").isNull()))
                 .withColumns({"file": F.col("_metadata.file_path"), "pos": F.lit(None).cast("bigint")}))
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
-    decoded = with_batch_array(raw, "doc")
-    # A snapshot that does not decode is an error, not an empty state.
-    checked = decoded.select("file", F.when(F.col("decode_ok"), F.col("rows")).otherwise(
-        F.raise_error(F.concat(F.lit("snapshot does not decode: "), F.col("file")))).alias("rows"))
-    return checked.select("file", F.posexplode("rows").alias("pos", "m")).select(
-        "m.id", "m.type", "m.delta", "m.value", "file", F.col("pos").cast("bigint").alias("pos"))
+    return scan_array(spark, path).select("id", "type", "delta", "value", "file", "pos")
