@@ -5,9 +5,9 @@ the file into ranges at the byte ``}``.  What a ``}`` means depends on all that
 stands before it (inside a string, inside a nested object), so the scan is a
 prefix scan over the ranges:
 
-1. every range gives its effect: whether it flips "inside a string", how it changes
-   the depth of objects, either way it may begin, and how many elements it has if
-   it begins between elements;
+1. every range gives its effect: whether it ends inside a string and how it changes
+   the depth of objects (if any ends inside a string, also for beginning inside one),
+   and how many elements it has if it begins between elements;
 2. the driver adds up these few numbers, one row for each range of
    ``spark.sql.files.maxPartitionBytes``, to the state and the position at which each range begins;
 3. every range is read again with its beginning known and gives its elements with
@@ -33,6 +33,7 @@ from gaugeline.sources.json_body import parse_single_bodies
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _CLOSE = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 _OPEN = re.compile(r'"(?:[^"\\]|\\.)*$', re.S)
+_FLAT = re.compile(r"\s*,\s*\{[^{}\\]*")
 _NULL = re.compile(r"\bnull\b")
 _LEAD = re.compile(r"\s*(?P<sep>[\[,]?)\s*(?P<nulls>(?:null\s*,\s*)*)$")
 _END = re.compile(r"\s*(?P<sep>[\[,]?)\s*(?P<nulls>(?:null\s*(?:,\s*null\s*)*)?)\]\s*$")
@@ -59,10 +60,17 @@ class Scanner:
 
     def piece(self, text: str, closed: bool) -> Iterator[tuple[int, str]]:
         """Elements that end with ``text`` and the ``}`` after it (if ``closed``)."""
+        top = self.depth == 0 and not self.begun and not self.inside
+        if top and closed and self.elements and _FLAT.fullmatch(text) and text.count('"') % 2 == 0:
+            # One flat object without escapes: nearly every piece.
+            yield self.elements, text[text.index("{"):] + "}"
+            self.elements += 1
+            return
         plain, self.inside = outside(text, self.inside)
-        at_top = self.depth == 0 and not self.begun
-        if at_top and "{" in plain:
-            lead, _, _ = text.partition("{")
+        # The state is right after this even if what follows raises.
+        self.depth += plain.count("{") - (closed and not self.inside)
+        if top and "{" in plain:
+            lead = text.partition("{")[0]
             m = _LEAD.match(lead)
             if not m or (m["sep"] == "") or (m["sep"] == "[") != (self.elements == 0):
                 raise ValueError("no JSON array of objects")
@@ -70,11 +78,8 @@ class Scanner:
                 yield self.elements, "null"
                 self.elements += 1
             text, self.begun = text[len(lead):], True
-        self.depth += plain.count("{")
-        if closed and not self.inside:
-            self.depth -= 1
-            if self.depth < 0:
-                raise ValueError("no JSON array of objects")
+        if self.depth < 0:
+            raise ValueError("no JSON array of objects")
         if self.begun:
             self.text += text + ("}" if closed else "")
             if closed and not self.inside and self.depth == 0:
@@ -137,34 +142,33 @@ def _elements_after(scan: Scanner, text: str, closed: bool) -> int | None:
     return scan.elements
 
 
-def _effects(pieces: DataFrame) -> DataFrame:
-    """One row a range, its last piece closed: whether it ends inside a string and
-    how the depth changes, beginning outside and inside; its elements if it begins
-    between elements, with its last piece closed and as the end of the file."""
+def _effects(pieces: DataFrame, inside: bool = False) -> DataFrame:
+    """One row a range that begins outside (or ``inside``) a string, its last
+    piece closed: whether it ends inside one and how the depth changes; and its
+    elements if it begins between elements, with its last piece closed and as the end of the file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, start), texts in _ranges(batches):
-            inside, depth, scan, ok = [False, True], [0, 0], Scanner(elements=int(start > 0)), True
-            n = [None, None]
+            scan, ok, n = Scanner(inside, elements=int(start > 0)), not inside, [None, None]
             for text, last in texts:
-                for i in (0, 1):
-                    plain, inside[i] = outside(text, inside[i])
-                    depth[i] += plain.count("{") - (not inside[i])
                 if last and ok:
                     n = [_elements_after(scan, text, True), _elements_after(scan, text, False)]
-                elif ok:
-                    try:
-                        for _ in scan.piece(text, True):
-                            pass
-                    except ValueError:
-                        ok = False          # it does not begin between elements, or the file is broken
+                try:
+                    for _ in scan.piece(text, True) if ok else ():
+                        pass
+                except ValueError:
+                    ok = False          # it does not begin between elements, or the file is broken
+                    continue
+                if not ok:
+                    plain, scan.inside = outside(text, scan.inside)
+                    scan.depth += plain.count("{") - (not scan.inside)
             n = [None if x is None else x - int(start > 0) for x in n]
-            yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "out_in": inside[0], "in_in": inside[1], "out_d": depth[0],
-                                               "in_d": depth[1], "n": n[0], "n_final": n[1]}], _EFFECT)
-    return pieces.mapInArrow(run, "file string, start long, out_in boolean, in_in boolean, out_d long, in_d long, n long, n_final long")
+            yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "inside": scan.inside, "depth": scan.depth, "n": n[0],
+                                               "n_final": n[1]}], _EFFECT)
+    return pieces.mapInArrow(run, "file string, start long, inside boolean, depth long, n long, n_final long")
 
 
-_EFFECT = pa.schema([("file", pa.string()), ("start", pa.int64()), ("out_in", pa.bool_()), ("in_in", pa.bool_()), ("out_d", pa.int64()),
-                     ("in_d", pa.int64()), ("n", pa.int64()), ("n_final", pa.int64())])
+_EFFECT = pa.schema([("file", pa.string()), ("start", pa.int64()), ("inside", pa.bool_()), ("depth", pa.int64()), ("n", pa.int64()),
+                     ("n_final", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -222,14 +226,16 @@ def scan_array(spark: SparkSession, path: str) -> DataFrame:
     """``(id, type, delta, value, file, pos)`` of the JSON array files at ``path``."""
     pieces = _pieces(spark, path)
     ranges = sorted(_effects(pieces).collect(), key=lambda r: (r.file, r.start))
+    # Only where a range ends inside a string may another begin there.
+    within = {(r.file, r.start): r for r in _effects(pieces, True).collect()} if any(r.inside for r in ranges) else {}
     begins: dict[tuple[str, int], Begin] = {}
     inside, depth = False, 0
     for i, r in enumerate(ranges):
         if i == 0 or ranges[i - 1].file != r.file:
             inside, depth = False, 0
         begins[r.file, r.start] = Begin(inside, depth, int(r.start > 0), i + 1 == len(ranges) or ranges[i + 1].file != r.file)
-        depth += r.in_d if inside else r.out_d
-        inside = r.in_in if inside else r.out_in
+        effect = within[r.file, r.start] if inside else r
+        depth, inside = depth + effect.depth, effect.inside
     cut = any(b.inside or b.depth for b in begins.values())
     counts = {(r.file, r.start): r.n_final if begins[r.file, r.start].final else r.n for r in ranges}
     if cut or None in counts.values():
