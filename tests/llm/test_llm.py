@@ -270,6 +270,12 @@ def test_language(spark):
     assert got[90] == got[91] == "und" and all(got[i] == ("en" if i % 2 else "de") for i in range(40))
 
 
+def test_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    rows = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
