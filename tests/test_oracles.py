@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB oracle on the sf0.001 tables."""
 
+import importlib
 import math
 import os
 
@@ -46,8 +47,16 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
+    """A query without SQL is a training-data operator with a named test
+    against brute force (tests/llm/brute_force.py)."""
     qs, orc = ent.queries(), ent.oracle_sql()
-    assert set(orc) == set(qs)
+    assert set(orc) <= set(qs) and set(qs) - set(ent.LLM_QUERIES) <= set(orc)
+    without = set(qs) - set(orc)
+    if without:
+        from tests.llm import brute_force
+        assert without == set(brute_force.TESTS)
+        for module, test in brute_force.TESTS.values():
+            assert callable(getattr(importlib.import_module(f"tests.llm.{module}"), test))
 
 
 @pytest.mark.parametrize("name", sorted(ent.queries()))
@@ -56,8 +65,10 @@ def test_query_matches_oracle(spark, duck, name):
     rows = [tuple(r) for r in df.collect()]
     sql = ent.oracle_sql().get(name)
     if sql is None:
+        # Its rows are tested by what tests/llm/brute_force.py names; here
+        # it has to run over the whole table.
         assert len(rows) > 0
-        return
+        pytest.skip("no SQL: rows are compared by its test in tests/llm")
     cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
