@@ -84,6 +84,13 @@ class PathText(HTMLParser):
         self.count += 1
         self.stack.append((tag, self.count, noise))
 
+    def parse_marked_section(self, i, report=1):
+        # A section that is none (``<![foo[x]]>``, ``<![ x>``) is a comment.
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()

@@ -247,6 +247,14 @@ def test_html():
     assert html_extraction.extract(None) == html_extraction.extract("") == html_extraction.extract("<p") == ""
 
 
+def test_html_marked_sections():
+    for odd in ("<![foo[x]]>", "<![ x>", "<![CDATA[x]]>", "<![if IE]>", "<![endif]>", "<!>", "<![", "<![x", "<!doctype", "</ >"):
+        text = html_extraction.extract(f"<html><body><article><p>One two three.</p>{odd}<p>Four five six.</p></article></body></html>")
+        assert text.startswith("One two three.")
+        if odd[-1] == ">":
+            assert text.endswith("Four five six."), odd
+
+
 def test_html_keeps_every_container():
     say = lambda w, n: " ".join([w] * n) + "."
     page = lambda inner: f"<html><body><nav>menu</nav>{inner}<div><a href=x>Home</a> <a href=y>About us</a></div></body></html>"
