@@ -6,13 +6,12 @@ log-probability matrix (learned languages x BUCKETS) has a fixed width and is
 broadcast.  A batch of texts is scored as sparse counts in numpy.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
-rows without lang teach nothing; ties go to the first language by name; with
+rows without lang teach nothing; a row without doc_id is not held out; ties go to the first language by name; with
 no learned language everything is ``und``; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -73,7 +71,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for b in batches:
             pred, score = [], []
             for text in b.column("text").to_pylist():
-                if not langs or text is None or not _LETTER.search(text):
+                if not langs or text is None or not any(map(str.isalpha, text)):
                     pred.append("und")
                     score.append(0.0)
                     continue
@@ -91,7 +89,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -152,6 +152,12 @@ def test_mixing_rates(spark, docs):
     assert mixing.mixing_rates(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_of_odd_labels(spark, docs):
+    labels = spark.createDataFrame([(i, i % 4 - 1, 0) for i in range(5, 30)] + [(40, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = mixing.mixing_rates(docs, labels).collect()
+    assert len(rows) == docs.count() and all(abs(r.p0 + r.p1 + r.p2 + r.p3 - 1) < 1e-9 for r in rows)
+
+
 def test_mixing_meets_its_targets(spark):
     # Toxic labels say nothing about the text; rare domains start far from their targets.
     say = lambda q, i: " ".join(("good fine" if q else "bad poor").split() * 10 + [f"w{i % 7}"])
@@ -273,8 +279,10 @@ def test_html_keeps_every_container():
 
 def test_language(spark):
     d = spark.createDataFrame([(i, ("the of and that " if i % 2 else "der und nicht ein ") * 5, "en" if i % 2 else "de") for i in range(40)]
-                              + [(90, None, "en"), (91, "123 !", None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}
+                              + [(90, None, "en"), (91, "123 !", None), (92, "½ ² Ⅷ ٣", "en"), (None, "the of and", "en")], "doc_id long, text string, lang string")
+    rows = language_id.identify(d).collect()
+    got = {r.doc_id: r.lang_pred for r in rows}
+    assert got[92] == "und" and [r.held_out for r in rows if r.doc_id is None] == [False] and got[None] == "en"
     assert got[90] == got[91] == "und" and all(got[i] == ("en" if i % 2 else "de") for i in range(40))
 
 
