@@ -53,8 +53,10 @@ def _dense(h) -> np.ndarray:
 
 
 def _domains(labels: DataFrame) -> DataFrame:
-    """One row per doc_id whose two labels are known."""
-    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).dropna()
+    """One row per doc_id whose two labels are known; values other than 0 and 1
+    say nothing."""
+    known = [F.max(F.when(F.col(c).isin(0, 1), F.col(c))).alias(c) for c in ("quality", "toxic")]
+    return labels.groupBy("doc_id").agg(*known).dropna()
 
 
 def fit_classifier(feats: DataFrame, labels: DataFrame, sample_rows: int, epochs: int = 60) -> np.ndarray:
