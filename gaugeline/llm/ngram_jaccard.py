@@ -22,31 +22,38 @@ found as soon as one of its sets is covered by a partitioning that both used,
 so no link is lost.
 
 Verification: round one compares each representative only with the smallest
-representative that it shares a signature with, linear in the input.  One that
+representative that it shares a signature with, linear in the input, and only
+where sizes and counts of the features in ``CELLS`` cells allow a link.  One that
 links joins that centre's ball, and others are balls of themselves.  Jaccard
 distance is a metric, so members of two balls can only link if the centres are
 within 0.2 plus both radii.  Round two therefore compares centres whose
-components differ, where a lower bound of the distance from counts of the
-features in ``CELLS`` cells allows it; round three compares members, only
+components differ, where the counts allow it; round three compares members, only
 where the centres are near enough, the components still differ and the members'
 counts allow a link.  The bounds
 are exact, so no link is lost, and a large group meets others by its centre.
 
+Classes have numbers of their own, and a representative's row is found by a
+hash of its id and text and confirmed by its set, so ids need not be distinct.
+
 Defined cases: null, empty or word-free texts have an empty set and link with
-nothing; texts with fewer than five words are one shingle; equal doc_ids keep
-one row each; other columns are ignored.
+nothing; texts with fewer than five words are one shingle; rows of one doc_id
+are rows of their own, each with the component of its text; rows whose
+component has no doc_id but null have a null component_id; ids that are not whole
+numbers count as null; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeline.llm.common import DOCUMENT_COLUMNS, ascii_lower, connected, materialize, words
+from gaugeline.llm.common import DOCUMENT_COLUMNS, connected, materialize
 
 N2 = 3          # second-level partitions
 K2 = 1          # differing second-level partitions that a signature tolerates
@@ -56,16 +63,6 @@ NEAR = 0.2 + 1e-9
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and ``s``: the sorted array of distinct 64-bit shingle hashes."""
-    d = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
-    many = F.expr("transform(sequence(1, size(w) - 4), i -> xxhash64(w[i-1], w[i], w[i+1], w[i+2], w[i+3]))")
-    few = F.array(F.xxhash64(F.concat_ws(" ", "w")))
-    s = (F.when(F.size("w") >= 5, many).when(F.size("w") > 0, few)
-         .otherwise(F.expr("cast(array() as array<bigint>)")))
-    return d.select("doc_id", F.sort_array(F.array_distinct(s)).alias("s"))
-
-
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     """splitmix64 of the feature hashes."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -74,6 +71,25 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct 64-bit shingle hashes of a UTF-8 text."""
+    # On bytes, lower() and split() know A-Z and [\x20\x09-\x0D] only.
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split()), np.uint64)
+    n = len(w)
+    if n == 0:
+        return w
+    size = min(n, 5)
+    h = np.full(n - size + 1, size, np.uint64)
+    for j in range(size):
+        h = _mix(h ^ w[j:n - size + 1 + j], j)
+    return np.unique(h)
+
+
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name the set."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
 def _bands(size: int, num: int, den: int) -> tuple[int, int, int]:
     """(band, upper size of the band, upper size of the next one).
 
@@ -119,38 +135,74 @@ def set_signatures(s: np.ndarray, num: int = 4, den: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's bytes, and ``rid``, equal only for repeated rows."""
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"),
+                       F.col("text").cast("binary").alias("text"))
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, key and feature counts per cell of every row's set; a count
+    held at 127 keeps the bound."""
+    for b in batches:
+        rows = []
+        for t in b.column("text"):
+            s = shingle_set(t.as_py() or b"")
+            cells = np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 127).astype(np.int8)
+            rows.append((len(s), *set_key(s), cells))
+        n, k1, k2, cells = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+             pa.array(cells, pa.list_(pa.int8()))], ["doc_id", "rid", "n", "k1", "k2", "cells"])
+
+
+def _wanted(b: pa.RecordBatch, done: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(rep, set) of the rows that hold their class's set, once in a task."""
+    for rep, k1, k2, t in zip(*(b.column(c) for c in ("rep", "k1", "k2", "text"))):
+        rep = rep.as_py()
+        if rep not in done:
+            s = shingle_set(t.as_py() or b"")
+            if set_key(s) == (k1.as_py(), k2.as_py()):
+                done.add(rep)
+                yield rep, s
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()
     for b in batches:
-        ids, sets = b.column("rep"), b.column("s")
         for at in range(0, b.num_rows, 64):
             own, sigs = [], []
-            for i in range(at, min(at + 64, b.num_rows)):
-                g = set_signatures(sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                own.append(np.full(len(g), ids[i].as_py(), np.int64))
+            for rep, s in _wanted(b.slice(at, 64), done):
+                g = set_signatures(s)
+                own.append(np.full(len(g), rep, np.int64))
                 sigs.append(g.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(own))], ["sig", "rep"])
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(own))], ["sig", "rep"])
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep and ``s`` of the documents in ``ids``; one row for each id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
-    return shingle_sets(texts).select(F.col("doc_id").alias("rep"), "s")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            found = list(_wanted(b.slice(at, 256), done))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()),
+                                                  pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["rep", "s"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and feature counts per cell; a count held at 127 keeps the bound."""
-    for b in batches:
-        sets = [x.values.to_numpy(zero_copy_only=False) for x in b.column("s")]
-        cells = [np.minimum(np.bincount(x & (CELLS - 1), minlength=CELLS), 127).astype(np.int8) for x in sets]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("rep"), pa.array([len(x) for x in sets], pa.int32()), pa.array(cells, pa.list_(pa.int8()))], ["c", "n", "cells"])
+def _of_reps(docs: DataFrame, reps: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over the texts of ``reps`` (rep, rid, k1, k2)."""
+    rows = _rows(docs).select("rid", "text").join(reps.select("rep", "rid", "k1", "k2"), "rid")
+    return rows.select("rep", "k1", "k2", "text").mapInArrow(run, schema)
 
 
-def _measure(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the Jaccard distance ``d`` and ``linked``."""
     pairs = materialize(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets_of(docs, ids).dropDuplicates(["rep"]), "jaccard-sets")
+    # Sets are made from the texts where they are needed; they are larger than the texts.
+    sets = materialize(_of_reps(docs, reps.join(ids, "rep", "left_semi"), _sets, "rep long, s array<long>").dropDuplicates(["rep"]),
+                       "jaccard-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
@@ -174,12 +226,19 @@ def _possible(l: str, r: str, reach):
     return (F.least(n, m) >= (1 - reach) * F.greatest(n, m)) & (apart * (2 - reach) <= reach * (n + m))
 
 
-def _centre_pairs(open_: DataFrame, balls: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(c, r, label) of the open centres, and the pairs of them to compare."""
-    ids = open_.select(F.col("c").alias("rep")).distinct()
-    sketch = _sets_of(docs, ids).dropDuplicates(["rep"]).mapInArrow(_sketch, "c long, n int, cells array<tinyint>")
+def _first_pairs(hits: DataFrame, reps: DataFrame) -> DataFrame:
+    """Each representative with the smallest one that it shares a signature
+    with, where both sets' counts allow a link."""
+    star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
+    info = reps.select("rep", "n", "cells")
+    both = star.join(info.alias("l"), F.col("a") == F.col("l.rep")).join(info.alias("r"), F.col("b") == F.col("r.rep"))
+    return both.where(_possible("l", "r", F.lit(NEAR))).select("a", "b")
+
+
+def _centre_pairs(open_: DataFrame, balls: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, r) of the open centres, and the pairs of them to compare."""
     spots = open_.groupBy("c").agg(F.min("label").alias("label"))
-    info = materialize(sketch.join(spots, "c").join(balls, "c", "left").select(
+    info = materialize(reps.select(F.col("rep").alias("c"), "n", "cells").join(spots, "c").join(balls, "c", "left").select(
         "c", "n", "cells", "label", F.coalesce("radius", F.lit(0.0)).alias("r")), "jaccard-centres")
     heads = materialize(open_.select("sig", "c").distinct().join(info, "c"), "jaccard-heads")
     pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
@@ -188,40 +247,36 @@ def _centre_pairs(open_: DataFrame, balls: DataFrame, docs: DataFrame) -> tuple[
     return info.select("c", "r"), pairs
 
 
-def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of members that can still link, from the measured centres."""
     side = radius.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "r", F.coalesce("label", "c").alias("label"))
     near = (second.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.c")).join(side.alias("y"), F.col("p.b") == F.col("y.c"))
             .where((F.col("x.label") != F.col("y.label")) & (F.col("x.r") + F.col("y.r") > 0) & (F.col("p.d") <= _reach("x", "y")))
             .select("p.a", "p.b", "p.d"))
     near = materialize(near, "jaccard-near")
-    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", "rep", "r")
-    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", "rep", "r")
-    ids = one.select("rep").union(two.select("rep")).distinct()
-    sketch = materialize(_sets_of(docs, ids).dropDuplicates(["rep"]).mapInArrow(_sketch, "c long, n int, cells array<tinyint>")
-                         .withColumnRenamed("c", "rep"), "jaccard-members")
-    one, two = one.join(sketch, "rep").alias("l"), two.join(sketch, "rep").alias("r")
+    info = reps.select("rep", "n", "cells")
+    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", "rep", "r").join(info, "rep").alias("l")
+    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", "rep", "r").join(info, "rep").alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("sig", "a", "b")]
     both = one.join(two, [*same, F.col("l.d") <= _reach("l", "r"), _possible("l", "r", F.lit(NEAR))])
     return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    key = F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256)
-    keys = materialize(shingle_sets(docs).select("doc_id", F.size("s").cast("long").alias("n"), key.alias("key")), "jaccard-keys")
-    reps = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").cast("int").alias("n"))
-    reps = materialize(reps, "jaccard-reps")
-    member = keys.select("doc_id", "n", "key").join(reps.select("key", "rep"), "key", "left").select("doc_id", "n", "rep")
-    # Sets are made from the texts where they are needed; they are larger than the texts.
-    sigs = (_sets_of(docs, reps.where("n >= 4").select("rep"))
-            .mapInArrow(_sign, "sig long, rep long"))
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, n, k1, k2, rep, label) of every row, and (label, low) of
+    every component: its smallest doc_id."""
+    keys = materialize(_rows(docs).mapInArrow(_profile, "doc_id long, rid long, n int, k1 long, k2 long, cells array<tinyint>"),
+                       "jaccard-keys")
+    reps = keys.where("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("low"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    # Written once, so that the numbers stay.
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-reps")
+    sigs = _of_reps(docs, reps.where("n >= 4"), _sign, "sig long, rep long")
     group = Window.partitionBy("sig")
     hits = materialize(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
                        .where("low < high").select("sig", "rep", "low"), "jaccard-hits")
 
-    star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
-    first = materialize(_measure(star, docs), "jaccard-first")
+    first = materialize(_measure(_first_pairs(hits, reps), docs, reps), "jaccard-first")
     label = connected(_links(first), "jaccard-cc")
     ball = first.where("linked").select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("d").alias("r"))
     placed = (reps.select("rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(ball, "rep", "left")
@@ -230,19 +285,32 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     open_ = hits.select("sig", "rep").join(placed, "rep")
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     open_ = materialize(open_.join(mixed, "sig").select("sig", "rep", "label", "c", "r"), "jaccard-open")
-    radius, pairs = _centre_pairs(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), docs)
-    second = materialize(_measure(pairs, docs), "jaccard-second")
+    radius, pairs = _centre_pairs(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), reps)
+    second = materialize(_measure(pairs, docs, reps), "jaccard-second")
     links = _links(first).union(_links(second))
     label = connected(links, "jaccard-cc")
-    third = materialize(_measure(_member_pairs(open_, second, radius, label, docs), docs), "jaccard-third")
+    third = materialize(_measure(_member_pairs(open_, second, radius, label, reps), docs, reps), "jaccard-third")
     label = connected(links.union(_links(third)), "jaccard-cc")
-    return (member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.coalesce("label", "rep", F.col("doc_id").cast("long")).alias("component_id")))
+    placed = materialize(reps.select("k1", "k2", "rep", "low").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+                         .select("k1", "k2", "rep", "low", F.coalesce("label", "rep").alias("label")), "jaccard-placed")
+    rows = keys.select("rid", "doc_id", "n", "k1", "k2").join(placed.select("k1", "k2", "rep", "label"), ["k1", "k2"], "left")
+    return rows, placed.groupBy("label").agg(F.min("low").alias("low"))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows, lows = _classes(docs)
+    return rows.join(lows, "label", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: the smallest doc_id."""
-    keep = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return (docs.select(*DOCUMENT_COLUMNS).join(keep, "doc_id", "left_semi")
-            .dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS))
+    """``docs`` with one row for each component: one with the smallest doc_id.
+    A text without words is a component of its own."""
+    rows, _ = _classes(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
+    kept = rows.groupBy(F.col("label"), F.when(F.col("label").isNull(), F.col("rid")).alias("alone")).agg(best).select("best.rid")
+    kept = materialize(kept, "jaccard-kept")
+    own = docs.select(*DOCUMENT_COLUMNS).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return own.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select(*DOCUMENT_COLUMNS)

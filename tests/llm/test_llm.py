@@ -77,6 +77,29 @@ def test_jaccard_components(docs, texts):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_ids_need_not_be_distinct(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (1, a), (None, near(near(c))), (None, c), (None, near(a)), (9, "Two  Words"),
+            (8, "two\twords"), (None, ""), (7, None), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, "rep") for i, t in rows], SCHEMA.replace("label", "rep"))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_classes(d).collect())
+    assert got == Counter([(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (1, 36, 1), (None, 38, None), (None, 36, None), (None, 37, 1),
+                           (9, 1, 8), (8, 1, 8), (None, 0, None), (7, 0, 7), (None, 0, None)])
+    kept = ngram_jaccard.keep_representatives(d).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 1), (False, 7), (False, 8), (True, 0), (True, 0), (True, 0)]
+    assert len({r.text for r in kept if r.doc_id == 1}) == 2
+
+
+def test_shingles_follow_the_word_rule():
+    size = lambda t: len(ngram_jaccard.shingle_set(t.encode()))
+    assert [size(t) for t in ("", " \x0b\x0c\r", "A b", "a b c d e", "a b c d e f", "x " * 30)] == [0, 0, 1, 1, 2, 1]
+    one, two = (ngram_jaccard.shingle_set(t.encode()) for t in ("A b\x0bC d E", "a B c\u0020D e"))
+    assert (one == two).all()
+    assert (ngram_jaccard.shingle_set("É a".encode()) != ngram_jaccard.shingle_set("é a".encode())).all()
+    assert size("a\x85b c\u00a0d\x1ce f g") == 1     # only [\x20\x09-\x0D] part words
+
+
 def test_signatures_never_lose_a_link():
     rng = np.random.default_rng(1)
     for _ in range(400):
