@@ -10,8 +10,8 @@ runs on each region where the template's words gather; long regions are read in
 half-overlapping windows of two template lengths.  Every region is scanned.
 
 The registered templates (``license_texts``) are notices, headers, SPDX and
-Creative Commons lines and whole texts.  Their short ones must match their
-telling words and numbers and stay together.  Where matches overlap, the one
+Creative Commons lines and whole texts.  Notices, the lines that only name a
+license, must match their telling words and numbers and stay together.  Where matches overlap, the one
 with the most aligned words times squared coverage is kept, so that a license
 is not reported as its sibling.  A template is only aligned where one of its
 rarest words, of which a match cannot miss all, is in the text.
@@ -23,7 +23,6 @@ ignored; templates without words never match.
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -32,12 +31,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gaugeline.llm.license_texts import TELLING, library
+from gaugeline.llm.license_texts import NOTICES, TELLING, library
 
 _WORD = re.compile(r"[a-z0-9]+")
 
-SHORT = 40
-
 # One-line notices (fixed values), registered beside ``library()``.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -89,23 +86,34 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Template:
     """Words of one template, and what a text must hold for it."""
 
-    def __init__(self, name: str, words: list[str], least: float, common: Counter, told: bool):
-        self.name, self.words, self.vocabulary = name, words, frozenset(words)
-        self.short = told and len(words) <= SHORT
-        self.telling = frozenset(w for w in self.vocabulary if w in TELLING or w.isdigit()) if self.short else frozenset()
-        self.need = least * len(self.vocabulary)
-        rare = sorted(self.vocabulary, key=lambda w: (common[w], w))
-        self.rare = frozenset(rare[:len(rare) - math.ceil(self.need) + 1])
+    def __init__(self, name: str, words: list[str], least: float, common: Counter, notice: bool):
+        self.name, self.words, self.times = name, words, Counter(words)
+        self.notice = notice
+        self.telling = frozenset(w for w in self.times if w in TELLING or w.isdigit()) if notice else frozenset()
+        self.need = least * len(words)
+        # The rarest words, until a text without them lacks too much.
+        rare, lacking = [], 0
+        for w in sorted(self.times, key=lambda w: (common[w], w)):
+            if len(words) - lacking < self.need:
+                break
+            rare.append(w)
+            lacking += self.times[w]
+        self.rare = frozenset(rare)
+
+    def enough(self, seen) -> bool:
+        """Whether the words in ``seen`` could cover the template."""
+        return sum(n for w, n in self.times.items() if w in seen) >= self.need
 
     def possible(self, seen) -> bool:
-        return (not self.rare.isdisjoint(seen) and self.telling <= seen
-                and sum(w in seen for w in self.vocabulary) >= self.need)
+        return not self.rare.isdisjoint(seen) and self.telling <= seen and self.enough(seen)
 
 
 def prepare(texts: list[tuple[str, str]], least: float, told: bool) -> list[Template]:
+    """The templates of (license, text); ``told`` knows the registered notices."""
+    notices = {tuple(_WORD.findall(t.lower())) for t in (*TEMPLATES.values(), *(t for _, t in NOTICES))} if told else set()
     known = sorted({(name, tuple(_WORD.findall(t.lower()))) for name, t in texts})
     common = Counter(w for _, t in known for w in set(t))
-    return [Template(name, list(t), least, common, told) for name, t in known if t]
+    return [Template(name, list(t), least, common, t in notices) for name, t in known if t]
 
 
 def scan(text: str | None, templates: list[Template], least: float) -> list[tuple]:
@@ -115,14 +123,14 @@ def scan(text: str | None, templates: list[Template], least: float) -> list[tupl
     near = [t for t in templates if t.possible(seen)]
     if not near:
         return []
-    known = frozenset().union(*(t.vocabulary for t in near))
+    known = frozenset().union(*(t.times for t in near))
     places: dict[str, list[int]] = {}
     for n, w in enumerate(words):
         if w in known:
             places.setdefault(w, []).append(n)
     found = []
     for t in near:
-        hits = sorted(n for w in t.vocabulary for n in places.get(w, ()))
+        hits = sorted(n for w in t.times for n in places.get(w, ()))
         regions, start = [], 0
         for n in range(1, len(hits) + 1):
             if n == len(hits) or hits[n] - hits[n - 1] > len(t.words):
@@ -132,13 +140,13 @@ def scan(text: str | None, templates: list[Template], least: float) -> list[tupl
         for lo, hi in regions:
             for at in range(lo, max(lo + 1, hi - len(t.words)), len(t.words)):
                 part = words[at:min(hi, at + size)]
-                if len(t.vocabulary.intersection(part)) < t.need:
+                if not t.enough(set(part)):
                     continue
                 pairs = align(t.words, part)
                 if len(pairs) < least * len(t.words):
                     continue
                 first, end = at + pairs[0][1], at + pairs[-1][1]
-                if t.short and (end - first >= len(t.words) + 3 or not t.telling <= {part[j] for _, j in pairs}):
+                if t.notice and (end - first >= len(t.words) + 3 or not t.telling <= {part[j] for _, j in pairs}):
                     continue
                 if first > last:
                     found.append((t.name, len(pairs) / len(t.words), first, end, len(pairs)))

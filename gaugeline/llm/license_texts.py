@@ -56,6 +56,10 @@ TEXTS: list[tuple[str, str]] = [
                    "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
                    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
                    "governing permissions and limitations under the License."),
+]
+
+# Lines that only name a license; ``TELLING`` applies to them.
+NOTICES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
@@ -72,26 +76,26 @@ for _id, _name, _v, _also in (("GPL", "General", "2", "2"), ("GPL", "General", "
                               ("LGPL", "Lesser General", "2.1", "2.1"), ("LGPL", "Lesser General", "3", "3"),
                               ("AGPL", "Affero General", "3", "3")):
     _key = f"{_id}-{_v}" if "." in _v else f"{_id}-{_v}.0"
-    TEXTS.append((_key, _GNU.format(name=_name, v=_v)))
+    NOTICES.append((_key, _GNU.format(name=_name, v=_v)))
     _NAMES[_key] = [f"GNU {_name} Public License, version {_v}", f"GNU {_name} Public License v{_v}"]
     _SPDX |= {_key}
-    TEXTS += [(_key, f"SPDX-License-Identifier: {_key}{end}") for end in ("-only", "-or-later")]
+    NOTICES += [(_key, f"SPDX-License-Identifier: {_key}{end}") for end in ("-only", "-or-later")]
 for _id, _all in _NAMES.items():
     for _n in _all:
-        TEXTS += [(_id, f"{lead} the {_n}") for lead in ("Licensed under", "Released under", "Distributed under the terms of")]
-        TEXTS.append((_id, f"This work is licensed under the {_n}."))
-TEXTS += [(_id, f"SPDX-License-Identifier: {_id}") for _id in sorted(_SPDX)]
+        NOTICES += [(_id, f"{lead} the {_n}") for lead in ("Licensed under", "Released under", "Distributed under the terms of")]
+        NOTICES.append((_id, f"This work is licensed under the {_n}."))
+NOTICES += [(_id, f"SPDX-License-Identifier: {_id}") for _id in sorted(_SPDX)]
 
 _LONG = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
 for _code in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
     for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
         _key, _long = f"CC-{_code.upper()}-{_v}", "-".join(_LONG[x] for x in _code.split("-"))
-        TEXTS += [(_key, t) for t in (f"Licensed under CC {_code} {_v}.", f"CC {_code} {_v}", f"Creative Commons {_long} {_v}",
+        NOTICES += [(_key, t) for t in (f"Licensed under CC {_code} {_v}.", f"CC {_code} {_v}", f"Creative Commons {_long} {_v}",
                                       f"creativecommons.org/licenses/{_code}/{_v}", f"SPDX-License-Identifier: {_key}")]
         if "nd" in _code:
-            TEXTS.append((_key, f"Creative Commons {_long.replace('NoDerivatives', 'NoDerivs')} {_v}"))
+            NOTICES.append((_key, f"Creative Commons {_long.replace('NoDerivatives', 'NoDerivs')} {_v}"))
 
-# Short templates must match these words and every number; without them a
+# Notices must match these words and every number; without them a
 # sibling (another version, another Creative Commons variant) would fit too.
 TELLING = frozenset("cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives noderivs creativecommons mit apache bsd isc "
                     "zlib mozilla eclipse boost artistic unlicense universal gnu general lesser library affero mpl epl bsl lgpl gpl agpl gfdl "
@@ -101,4 +105,4 @@ TELLING = frozenset("cc cc0 by nc sa nd attribution noncommercial sharealike nod
 def library() -> list[tuple[str, str]]:
     """(license, text) of every registered template."""
     whole = [(f.name[:-4], f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
-    return TEXTS + whole
+    return TEXTS + NOTICES + whole

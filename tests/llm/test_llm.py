@@ -227,6 +227,24 @@ def test_licenses_and_their_siblings():
     assert found("a cc of the letter by 4 of 0") == set() and "GPL-3.0" in whole
 
 
+def test_scan_finds_whatever_alignment_covers():
+    """A whole text without some of its once-only words is found wherever
+    its alignment covers 0.8."""
+    known = license_scan.prepare([*license_scan.TEMPLATES.items(), *license_scan.library()], 0.8, True)
+    checked = 0
+    for t in known:
+        if len(t.words) < 400:
+            continue
+        once = sorted(w for w, n in t.times.items() if n == 1)
+        for share in (0.5, 1.0):
+            gone = set(once[:int(len(once) * share)])
+            text = [w for w in t.words if w not in gone]
+            if len(license_scan.align(t.words, text)) >= 0.8 * len(t.words):
+                checked += 1
+                assert t.name in {m[0] for m in license_scan.scan(" ".join(text), [t], 0.8)}
+    assert checked >= 20
+
+
 def test_search_is_exact(docs, texts):
     low = [WORD.findall((t or "").lower()) for t in texts]
     full = [i for i, w in enumerate(low) if w]
