@@ -263,6 +263,44 @@ def test_search_is_exact(docs, texts):
         want = sorted(scores, reverse=True)[:5]
         assert np.allclose([s for _, s in sorted(got[q])], want, atol=2e-6)
 
+@pytest.mark.parametrize("shard_rows,block", [(7, 2), (20, 3)])
+def test_search_over_many_shards_and_blocks(spark, docs, texts, shard_rows, block):
+    whole = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in topk_search.top_k(docs, docs, k=5).collect()}
+    parts = {(r.query_id, r["rank"]): (r.doc_id, r.score)
+             for r in topk_search.top_k(docs, docs, k=5, shard_rows=shard_rows, block=block).collect()}
+    assert parts.keys() == whole.keys()
+    for key, (i, s) in whole.items():
+        assert parts[key][0] == i and abs(parts[key][1] - s) < 2e-9
+
+
+def test_search_reads_few_postings():
+    """Blocks whose stored maxima stay below the k-th score are not read, and
+    nothing found is lost."""
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"doc_id": range(4000), "h": [rng.choice(3000, 12).tolist() + ([9000 + i % 3] * 5 if i % 400 < 8 else []) for i in range(4000)]})
+    every = list(topk_search._postings(rows, 13.0, 8))
+    shard = topk_search.Shard(every[0]["ids"], 8)
+    for r in every[1:]:
+        shard.add(r["key"], r["docs"], r["impacts"], r["blocks"], r["starts"], r["tops"])
+    terms, weights = [9000, 9001, 5, 6, 7, 8], [4.0, 4.0, 0.5, 0.5, 0.4, 0.3]
+    scores = np.zeros(4000)
+    for t, w in zip(terms, weights):
+        scores[shard.terms[t][0]] += shard.terms[t][1] * w
+    scores = np.round(scores, 9)
+    want = np.lexsort((np.arange(4000), -scores))[:10]
+    got = shard.search(terms, weights, 10)
+    assert [i for i, _ in got] == want.tolist() and np.allclose([s for _, s in got], scores[want])
+    assert shard.read < 0.7 * sum(len(shard.terms[t][0]) for t in terms)
+
+
+def test_search_without_ids(spark):
+    d = spark.createDataFrame([(None, "red fox", "x"), (4, "red fox", "y"), (4, "Red fox den", "z"), (6, None, ""), (8, " ", "")],
+                              "doc_id long, text string, terms string")
+    rows = topk_search.top_k(d, d, k=3).collect()
+    assert [(r.query_id, r.doc_id is None) for r in sorted(rows, key=lambda r: r["rank"])] == [(4, False), (4, True), (4, False)]
+
+
 
 def test_url_rules(spark):
     urls = ["http://A.example.NET/en/x", "http://b.net/q", "http://x.org/fr/1?a", "https://example.com/de/", None, "nothing", "http://c.net"]
