@@ -164,6 +164,66 @@ def test_sentencepiece_long_words():
     assert lat.left(w, frozenset(every)) == -math.inf
 
 
+def _segmentations(lat, w):
+    """{ids: log-probability} of every segmentation of a word, by enumeration."""
+    beta, arcs = lat.word(w)
+    every, todo = {}, [(0, (), -beta[0])]
+    while todo:
+        i, ids, lp = todo.pop()
+        if i == len(w):
+            every[ids] = lp
+        else:
+            todo += [(j, ids + x, lp + s) for j, x, s in arcs[i]]
+    return every
+
+
+def test_sentencepiece_tables_and_walks():
+    lat = sps._lattice(None)
+    words = [w for t in ("there is a \n\n cat", "\U0001f600\u00e9\u25812x", "zz\u4e2d\U00010348q 0", "    a") for w in sps.chunks(t)]
+    lat.forget()
+    lat.hold(words[:3])
+    lat.hold(words)
+    numbers = lat.numbers(words)
+    assert np.allclose(lat.mass.data[numbers], [lat.word(w)[0][0] for w in words], rtol=1e-12)
+    for seed in range(40):
+        counts, ids, logs, rest = lat.walk(numbers, np.random.default_rng(seed))
+        for w, own, lp, r in zip(words, np.split(ids, np.cumsum(counts)[:-1]), logs, rest):
+            own = tuple(own.tolist())
+            every = _segmentations(lat, w)
+            assert abs(lp - min(every[own], 0.0)) < 1e-9
+            others = sum(math.exp(v) for t, v in every.items() if t != own)
+            assert math.isclose(math.exp(r), others, rel_tol=1e-9) if others else r == -math.inf
+
+
+def test_sentencepiece_pairs_and_inclusion():
+    lat = sps._lattice(None)
+    w = sps.chunks("the")[0]
+    p = {t: math.exp(v) for t, v in _segmentations(lat, w).items()}
+    n, pairs, estimate = 4000, Counter(), Counter()
+    for i in range(n):
+        found, kappa = sps.sample(lat, "the", str(i), 2)
+        (a,), (b,) = found[0][0], found[1][0]
+        pairs[a, b] += 1
+        for (t,), lp, _ in found:
+            estimate[t] += p[t] / -math.expm1(-math.exp(lp - kappa)) / n
+    # Drawn without replacement in proportion to p, and 1 / inclusion unbiased.
+    for (a, b), c in pairs.most_common(4):
+        want = p[a] * p[b] / (1 - p[a])
+        assert abs(c / n - want) < 4.5 * math.sqrt(want / n)
+    assert abs(sum(estimate.values()) - 1) < 0.03
+    for t in sorted(p, key=p.get)[-2:]:
+        assert abs(estimate[t] - p[t]) < 0.05
+
+
+def test_sentencepiece_rows(spark):
+    rows = sps.encode_samples(spark.createDataFrame(
+        [("a", "x y", 1), ("a", "x y", 2), ("b", None, 3), (None, "", 4), ("c", "long " * 50_000, 5)],
+        "doc_id string, text string, ids int"), k=2).collect()
+    assert all(r.decoded_ok for r in rows) and all(r.n_pieces == len(r.ids) for r in rows)
+    of = lambda key: [(r["sample"], tuple(r.ids)) for r in rows if r.doc_id == key]
+    assert of("b") == of(None) == [(0, ())] and len(set(of("a"))) == 2 and len(of("a")) == 4 and len(of("c")) == 2
+
+
 def test_mixing_rates(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5, 30)], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(docs, labels).collect()
