@@ -7,16 +7,24 @@ anchors and not by one global round for each symbol.
 1. Equal texts collapse; a class of at least 400 bytes with two or more
    documents is removed whole, and its text is searched once.
 2. Every 400-byte string is keyed by its 64-byte gram of the smallest hash
-   (its anchor).  Equal strings have equal anchors.  A maximal run of starts
-   with one anchor place is an occurrence, and its whole extent is hashed.
-3. Occurrences with an equal extent are one class, repeated as a whole.  Where
-   an anchor has several classes, one occurrence of each class emits its
-   400-byte strings (96-bit hashes), and those found twice are repeated.
-
-Grouping is by aggregates with partial sums only; nothing is collected but the
-spans of one document.  Defined cases: null and empty texts have no bytes;
-texts below 400 bytes keep everything; a doc_id names one text; repeated rows
-are copies of each other; other columns are ignored.
+   (its anchor).  Equal strings have equal anchors, at the same offset.  A
+   maximal run of starts with one anchor place is an occurrence; its anchor is
+   the part common to its strings, its whole extent the part they cover.
+3. Occurrences with an equal extent are repeated as a whole.  Where an anchor
+   has several extents, one occurrence of each is cut into blocks of 16 starts
+   at fixed offsets from the anchor, and the same is done again: a block's
+   core is common to its strings, its hull is what they cover.
+4. Where a core has several hulls, one block of each emits its 400-byte strings
+   (96-bit hashes), and those found twice are repeated.
+
+So only strings at the edges of repeated passages are ever written out.  Tables
+are removed when a later one holds what is needed of them.  Grouping is by
+aggregates with partial sums only; nothing is collected but the spans of one
+document.  Defined cases: rows are told apart by numbers of their own, so null
+and repeated doc_ids are rows like others, and rows with equal text are copies
+whatever their ids; null and empty texts have no bytes; texts below 400 bytes
+keep everything; other columns are ignored.  ``kept_text`` leaves out the bytes
+of a character that a removal cut in two (the hash has them).
 """
 
 from __future__ import annotations
@@ -28,10 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeline.llm.common import DOCUMENT_COLUMNS, materialize
+from gaugeline.llm.common import DOCUMENT_COLUMNS, Scratch
 
 LENGTH = 400
 GRAM = 64
+BLOCK = 16
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BYTES = np.random.default_rng(20).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -75,7 +84,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def occurrences(data: bytes) -> tuple[np.ndarray, ...]:
-    """anchor, extent hash, first and last start of each occurrence."""
+    """anchor, extent hash, first and last start and anchor place of each occurrence."""
     roll = Rolling(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = roll.of(at, at + GRAM)
@@ -83,101 +92,155 @@ def occurrences(data: bytes) -> tuple[np.ndarray, ...]:
     m = _sliding_min((grams >> _U(32) << _U(32)) | at.astype(_U), LENGTH - GRAM + 1)
     lo = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     hi = np.concatenate([lo[1:] - 1, [len(m) - 1]])
-    return grams[(m[lo] & _U(0xFFFFFFFF)).astype(np.int64)].view(np.int64), roll.of(lo, hi + LENGTH).view(np.int64), lo, hi
+    place = (m[lo] & _U(0xFFFFFFFF)).astype(np.int64)
+    return grams[place].view(np.int64), roll.of(lo, hi + LENGTH).view(np.int64), lo, hi, place
 
 
-def _table(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+def blocks(data: bytes, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, ...]:
+    """core hash, hull hash, first and last start and ``single`` of each block of the occurrences."""
+    roll = Rolling(data)
+    low = (lo - place) // BLOCK
+    count = (hi - place) // BLOCK - low + 1
+    which = np.repeat(np.arange(len(lo)), count)
+    block = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+    at = place[which] + block * BLOCK
+    a, b = np.maximum(lo[which], at), np.minimum(hi[which], at + BLOCK - 1)
+    return (roll.of(at + BLOCK - 1, at + LENGTH).view(np.int64), roll.of(a, b + LENGTH).view(np.int64), a, b, single[which])
+
+
+ROWS = "outer long, inner long, row long, lo int, hi int, place int, single boolean"
+
+
+def _rows(row: int, outer, inner, lo, hi, place, single) -> pa.RecordBatch:
+    n = len(lo)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(outer), pa.array(inner), pa.array(np.full(n, row, np.int64)), *[pa.array(x.astype(np.int32)) for x in (lo, hi, place)],
+         pa.array(single)], ["outer", "inner", "row", "lo", "hi", "place", "single"])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column("rep"), b.column("text")
+        for row, text in zip(b.column("row"), b.column("text")):
+            found = occurrences(text.as_py().encode())
+            yield _rows(row.as_py(), *found, np.ones(len(found[0]), bool))
+
+
+def _spans(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    spans = b.column("spans")[i].values
+    return tuple(np.asarray(spans.field(x).to_numpy(zero_copy_only=False)) for x in ("lo", "hi", "place", "single"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
         for i in range(b.num_rows):
-            v, e, lo, hi = occurrences(texts[i].as_py().encode())
-            yield _table([[v], [e], [np.full(len(v), ids[i].as_py(), np.int64)], [lo.astype(np.int32)],
-                          [hi.astype(np.int32)]], ["anchor", "extent", "rep", "lo", "hi"])
+            lo, hi, place, single = _spans(b, i)
+            core, hull, lo, hi, single = blocks(b.column("text")[i].as_py().encode(), lo.astype(np.int64), hi.astype(np.int64),
+                                                place.astype(np.int64), single)
+            yield _rows(b.column("row")[i].as_py(), core, hull, lo, hi, lo, single)
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             data = b.column("text")[i].as_py().encode()
-            rep = b.column("rep")[i].as_py()
-            a, c = Rolling(data), Rolling(data, 1)
-            spans = b.column("spans")[i].as_py()
-            for j in range(0, len(spans), 256):
-                at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans[j:j + 256]])
-                keep = np.concatenate([np.full(s["hi"] - s["lo"] + 1, s["single"]) for s in spans[j:j + 256]])
-                second = (c.of(at, at + LENGTH) >> _U(33)).astype(np.int32)
+            row = b.column("row")[i].as_py()
+            one, two = Rolling(data), Rolling(data, 1)
+            lo, hi, _, single = _spans(b, i)
+            for j in range(0, len(lo), 4096):
+                count = (hi - lo + 1)[j:j + 4096].astype(np.int64)
+                at = np.arange(count.sum()) + np.repeat(lo[j:j + 4096] - (np.cumsum(count) - count), count)
+                second = (two.of(at, at + LENGTH) >> _U(33)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.of(at, at + LENGTH).view(np.int64)), pa.array(second),
-                     pa.array(np.full(len(at), rep, np.int64)), pa.array(at.astype(np.int32)), pa.array(keep)],
-                    ["h1", "h2", "rep", "pos", "single"])
+                    [pa.array(one.of(at, at + LENGTH).view(np.int64)), pa.array(second), pa.array(np.full(len(at), row, np.int64)),
+                     pa.array(at.astype(np.int32)), pa.array(np.repeat(single[j:j + 4096], count))], ["h1", "h2", "row", "lo", "single"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rep", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     for b in batches:
         rows = []
         for i in range(b.num_rows):
-            data = (b.column("text")[i].as_py() or "").encode()
+            data = b.column("text")[i].as_py().encode()
             n = len(data)
             step = np.zeros(n + 1, np.int64)
             if b.column("copies")[i].as_py() > 1 and n >= LENGTH:
                 step[0] += 1
                 step[n] -= 1
-            for s in b.column("whole")[i].as_py() or ():
-                step[s["lo"]] += 1
-                step[s["hi"] + LENGTH] -= 1
-            at = np.asarray(b.column("starts")[i].as_py() or [], np.int64)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + LENGTH, -1)
+            spans = b.column("marks")[i].values
+            if spans is not None:
+                np.add.at(step, spans.field("lo").to_numpy(), 1)
+                np.add.at(step, spans.field("hi").to_numpy() + LENGTH, -1)
             gone = np.cumsum(step[:n]) > 0
             edges = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            rows.append((b.column("rep")[i].as_py(), n, int(gone.sum()), int((edges == 1).sum()),
+            rows.append((b.column("key")[i].as_py(), n, int(gone.sum()), int((edges == 1).sum()),
                          hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text."""
-    keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    classes = keyed.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "repeat-classes")
-    texts = (docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-             .join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"]))
-    texts = materialize(texts, "repeat-texts")
-    long_ = texts.where(F.octet_length("text") >= LENGTH).select("rep", "text")
-
-    occ = materialize(long_.mapInArrow(_find, "anchor long, extent long, rep long, lo int, hi int"), "repeat-anchors")
-    kinds = materialize(occ.groupBy("anchor", "extent").agg(
-        F.count("*").alias("times"), F.min(F.struct("rep", "lo")).alias("first")), "repeat-kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1")
-    kinds = kinds.join(several.drop("all"), "anchor").where("times > 1 or kinds > 1")
-    occ = materialize(occ.join(kinds, ["anchor", "extent"]).select(
-        "rep", "lo", "hi", (F.col("times") == 1).alias("single"),
-        ((F.col("kinds") > 1) & ((F.col("first.rep") == F.col("rep")) & (F.col("first.lo") == F.col("lo")))).alias("emits")),
-        "repeat-occurrences")
-    whole = occ.where("not single").groupBy("rep").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
-    asked = occ.where("emits").groupBy("rep").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("spans"))
-    strings = materialize(
-        long_.join(asked, "rep").mapInArrow(_strings, "h1 long, h2 int, rep long, pos int, single boolean"), "repeat-strings")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    starts = (strings.where("single").join(twice, ["h1", "h2"], "left_semi")
-              .groupBy("rep").agg(F.collect_list("pos").alias("starts")))
-    cut = texts.join(whole, "rep", "left").join(starts, "rep", "left").mapInArrow(
-        _cut, "rep long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    cut = materialize(cut, "repeat-cut")
-    return (keyed.join(classes.select("key", "rep"), "key").join(cut, "rep")
-            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"))
+def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose outer part is found twice: ``whole`` if the inner part is
+    found twice too, ``emits`` if the row stands for its inner part among others
+    of the same outer part, ``single`` if the row's strings may still be single."""
+    twice = scratch.write(rows.groupBy("outer").count().where("count > 1").select("outer"), f"{name}-twice")
+    kinds = scratch.write(rows.join(twice, "outer", "left_semi").groupBy("outer", "inner").agg(
+        F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("first"), F.bool_or("single").alias("open")), f"{name}-kinds")
+    several = kinds.groupBy("outer").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("times = 1 and open")).alias("left"))
+    kinds = scratch.write(kinds.join(several, "outer").where("times > 1 or (kinds > 1 and left)"), f"{name}-asked")
+    out = scratch.write(rows.join(kinds, ["outer", "inner"]).select(
+        "row", "lo", "hi", "place", F.expr("single and times > 1").alias("whole"), F.expr("single and times = 1").alias("single"),
+        F.expr("kinds > 1 and left and first.row = row and first.lo = lo").alias("emits")).where("whole or emits"), f"{name}-shared")
+    scratch.drop(f"{name}-twice", f"{name}-kinds", f"{name}-asked")
+    return out
+
+
+def _spans_by_row(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.write(rows.where("emits").groupBy("row").agg(
+        F.collect_list(F.struct("lo", "hi", "place", "single")).alias("spans")), name)
+
+
+def _with_cuts(docs: DataFrame, text: bool) -> DataFrame:
+    """The columns of ``docs`` but the text, and the results of its search."""
+    scratch = Scratch(docs.sparkSession, "repeats")
+    docs = scratch.write(docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("row", F.monotonically_increasing_id())
+                         .withColumn("key", F.unhex(F.sha2("text", 256))), "rows")
+    classes = scratch.write(docs.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
+    texts = docs.select("row", "key", "text")
+    long_ = texts.where(F.octet_length("text") >= LENGTH)
+
+    found = scratch.write(long_.join(classes.select("row"), "row").select("row", "text").mapInArrow(_find, ROWS), "anchors")
+    runs = _shared(found, scratch, "runs")
+    scratch.drop("anchors")
+    asked = _spans_by_row(runs, scratch, "runs-asked")
+    cores = scratch.write(long_.join(asked, "row").select("row", "text", "spans").mapInArrow(_blocks, ROWS), "cores")
+    parts = _shared(cores, scratch, "parts")
+    scratch.drop("cores")
+    asked = _spans_by_row(parts, scratch, "parts-asked")
+    strings = scratch.write(long_.join(asked, "row").select("row", "text", "spans").mapInArrow(
+        _strings, "h1 long, h2 int, row long, lo int, single boolean"), "strings")
+    twice = scratch.write(strings.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.bool_or("single").alias("open"))
+                          .where("c > 1 and open").select("h1", "h2"), "strings-twice")
+    starts = strings.where("single").join(twice, ["h1", "h2"], "left_semi").select("row", "lo", F.col("lo").alias("hi"))
+    marks = scratch.write(runs.where("whole").select("row", "lo", "hi").union(parts.where("whole").select("row", "lo", "hi")).union(starts)
+                          .groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
+    scratch.drop("strings", "strings-twice", "runs-shared", "runs-asked", "parts-shared", "parts-asked")
+
+    cut = texts.join(classes.select("row", "copies"), "row").join(marks, "row", "left").select("key", "text", "copies", "marks").mapInArrow(
+        _cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    cut = scratch.write(cut if text else cut.drop("kept_text"), "cut")
+    out = scratch.write(docs.drop("text", "row").join(cut, "key").drop("key"), "result")
+    scratch.drop("rows", "classes", "marks", "cut")
+    return out
+
+
+def repeated_spans(docs: DataFrame, text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``text``, kept_text."""
+    return _with_cuts(docs.select("doc_id", "text"), text)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining text; texts left without a word are dropped."""
-    cut = repeated_spans(docs).select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    out = docs.select(*DOCUMENT_COLUMNS).join(cut, "doc_id").where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = _with_cuts(docs.select(*DOCUMENT_COLUMNS), True).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
                       F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))

@@ -125,6 +125,33 @@ def test_repeated_spans(docs, texts):
             len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeated_spans_of_edited_copies(spark):
+    """Shifted, edited and periodic copies with null and repeated ids, against brute force."""
+    rng = np.random.default_rng(8)
+    say = lambda n: "".join(rng.choice(list("abcdefgh \u00e9"), n))
+    base = [say(1500) for _ in range(3)]
+    texts = [None, "", "x" * 399, "x" * 400, "x" * 1000, "ab" * 600, *base]
+    for b in base:
+        for _ in range(6):
+            i, j = sorted(rng.integers(0, len(b), 2).tolist())
+            texts += [say(int(rng.integers(0, 40))) + b[i:j], b[:i] + say(3) + b[i + int(rng.integers(0, 4)):]]
+    texts += [base[0], say(700) + base[1][200:600] + say(100), base[2][:400 - 1] + say(50)]
+    ids = [None if i % 7 == 3 else i // 2 for i in range(len(texts))]
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i:i + 400] for b in data for i in range(len(b) - 399))
+    want = Counter()
+    for i, b in zip(ids, data):
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k:k + 400]] > 1:
+                gone[k:k + 400] = b"\1" * 400
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
+    d = spark.createDataFrame(list(zip(ids, texts, ids, ids)), "doc_id long, text string, row long, key long")
+    rows = substring_dedup.repeated_spans(d, text=False).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in rows) == want
+
+
 def test_sentencepiece_round_trip_and_law(docs, texts):
     rows = sps.encode_samples(docs, k=3).collect()
     assert all(r.decoded_ok for r in rows)
