@@ -23,14 +23,19 @@ so no link is lost.
 
 Verification: round one compares each representative only with the smallest
 representative that it shares a signature with, linear in the input, and only
-where sizes and counts of the features in ``CELLS`` cells allow a link.  One that
+where sizes and sketches allow a link: ``64 * MARKS`` bits that say of which
+cells a set has an odd number of features, so that differing bits are differing
+elements.  One that
 links joins that centre's ball, and others are balls of themselves.  Jaccard
 distance is a metric, so members of two balls can only link if the centres are
 within 0.2 plus both radii.  Round two therefore compares centres whose
-components differ, where the counts allow it; round three compares members, only
-where the centres are near enough, the components still differ and the members'
-counts allow a link.  The bounds
-are exact, so no link is lost, and a large group meets others by its centre.
+components differ, where the sketches allow it; round three compares members, only
+where the centres are near enough, the components still differ, each member's
+sketch allows it to be near the other's centre, and their sketches allow a link.
+Members are judged against the other centre before their signatures are fetched.
+The bounds are exact, so no link is lost, and a large group meets others by its centre.
+
+Tables are removed when a later one holds what is needed of them.
 
 Classes have numbers of their own, and a representative's row is found by a
 hash of its id and text and confirmed by its set, so ids need not be distinct.
@@ -53,13 +58,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeline.llm.common import DOCUMENT_COLUMNS, connected, materialize
+from gaugeline.llm.common import DOCUMENT_COLUMNS, Scratch, connected
 
 N2 = 3          # second-level partitions
 K2 = 1          # differing second-level partitions that a signature tolerates
 SEEDS = 6       # domain partitionings before empty subsets are used
-CELLS = 64      # cells of the feature counts that bound a distance from below
+MARKS = 8       # words of 64 cells of the sketch that bounds a distance from below
 NEAR = 0.2 + 1e-9
+SKETCH = [f"m{i}" for i in range(MARKS)]
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -90,6 +96,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def set_marks(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of features in each of ``64 * MARKS`` cells."""
+    odd = np.bincount((s % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bands(size: int, num: int, den: int) -> tuple[int, int, int]:
     """(band, upper size of the band, upper size of the next one).
 
@@ -142,18 +154,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, key and feature counts per cell of every row's set; a count
-    held at 127 keeps the bound."""
+    """Size, key and sketch of every row's set."""
     for b in batches:
-        rows = []
-        for t in b.column("text"):
+        n, keys, marks = [], [], np.zeros((b.num_rows, MARKS), np.int64)
+        for i, t in enumerate(b.column("text")):
             s = shingle_set(t.as_py() or b"")
-            cells = np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 127).astype(np.int8)
-            rows.append((len(s), *set_key(s), cells))
-        n, k1, k2, cells = zip(*rows) if rows else ((),) * 4
+            n.append(len(s))
+            keys.append(set_key(s))
+            marks[i] = set_marks(s)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-             pa.array(cells, pa.list_(pa.int8()))], ["doc_id", "rid", "n", "k1", "k2", "cells"])
+            [b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)],
+             *[pa.array(marks[:, j]) for j in range(MARKS)]], ["doc_id", "rid", "n", "k1", "k2", *SKETCH])
 
 
 def _wanted(b: pa.RecordBatch, done: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -196,18 +207,20 @@ def _of_reps(docs: DataFrame, reps: DataFrame, run: Callable, schema: str) -> Da
     return rows.select("rep", "k1", "k2", "text").mapInArrow(run, schema)
 
 
-def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``pairs`` (a, b) with the Jaccard distance ``d`` and ``linked``."""
-    pairs = materialize(pairs, "jaccard-pairs")
+    pairs = scratch.write(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     # Sets are made from the texts where they are needed; they are larger than the texts.
-    sets = materialize(_of_reps(docs, reps.join(ids, "rep", "left_semi"), _sets, "rep long, s array<long>").dropDuplicates(["rep"]),
-                       "jaccard-sets")
+    sets = scratch.write(_of_reps(docs, reps.join(ids, "rep", "left_semi"), _sets, "rep long, s array<long>").dropDuplicates(["rep"]),
+                         f"{name}-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.select("a", "b", (1 - F.col("n") / (F.col("total") - F.col("n"))).alias("d"),
-                       (F.col("n") * 100 >= (F.col("total") - F.col("n")) * 80).alias("linked"))
+    out = scratch.write(both.select("a", "b", (1 - F.col("n") / (F.col("total") - F.col("n"))).alias("d"),
+                                    (F.col("n") * 100 >= (F.col("total") - F.col("n")) * 80).alias("linked")), name)
+    scratch.drop(f"{name}-pairs", f"{name}-sets")
+    return out
 
 
 def _links(measured: DataFrame) -> DataFrame:
@@ -220,86 +233,105 @@ def _reach(l: str, r: str):
 
 
 def _possible(l: str, r: str, reach):
-    """Whether sizes and feature counts allow a distance within ``reach``."""
+    """Whether sizes and sketches allow a distance within ``reach``."""
     n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
-    apart = F.expr(f"aggregate(zip_with({l}.cells, {r}.cells, (x, y) -> abs(cast(x as int) - y)), 0, (t, x) -> t + x)")
+    apart = sum((F.bit_count(F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}"))) for c in SKETCH[1:]),
+                F.bit_count(F.col(f"{l}.{SKETCH[0]}").bitwiseXOR(F.col(f"{r}.{SKETCH[0]}"))))
     return (F.least(n, m) >= (1 - reach) * F.greatest(n, m)) & (apart * (2 - reach) <= reach * (n + m))
 
 
 def _first_pairs(hits: DataFrame, reps: DataFrame) -> DataFrame:
     """Each representative with the smallest one that it shares a signature
-    with, where both sets' counts allow a link."""
+    with, where both sets' sketches allow a link."""
     star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
-    info = reps.select("rep", "n", "cells")
+    info = reps.select("rep", "n", *SKETCH)
     both = star.join(info.alias("l"), F.col("a") == F.col("l.rep")).join(info.alias("r"), F.col("b") == F.col("r.rep"))
     return both.where(_possible("l", "r", F.lit(NEAR))).select("a", "b")
 
 
-def _centre_pairs(open_: DataFrame, balls: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(c, r) of the open centres, and the pairs of them to compare."""
+def _centres(open_: DataFrame, balls: DataFrame, reps: DataFrame) -> DataFrame:
+    """The open centres with their component and the radius of their ball."""
     spots = open_.groupBy("c").agg(F.min("label").alias("label"))
-    info = materialize(reps.select(F.col("rep").alias("c"), "n", "cells").join(spots, "c").join(balls, "c", "left").select(
-        "c", "n", "cells", "label", F.coalesce("radius", F.lit(0.0)).alias("r")), "jaccard-centres")
-    heads = materialize(open_.select("sig", "c").distinct().join(info, "c"), "jaccard-heads")
-    pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
-                                   & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
-             .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
-    return info.select("c", "r"), pairs
+    return reps.select(F.col("rep").alias("c"), "n", *SKETCH).join(spots, "c").join(balls, "c", "left").select(
+        "c", "n", *SKETCH, "label", F.coalesce("radius", F.lit(0.0)).alias("r"))
+
+
+def _centre_pairs(open_: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs of open centres to compare."""
+    heads = scratch.write(open_.select("sig", "c").distinct().join(centres, "c"), "heads")
+    return (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
+                                  & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
+            .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
 
 
-def _member_pairs(open_: DataFrame, second: DataFrame, radius: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
+def _member_pairs(open_: DataFrame, second: DataFrame, centres: DataFrame, label: DataFrame, reps: DataFrame,
+                  scratch: Scratch) -> DataFrame:
     """Pairs of members that can still link, from the measured centres."""
-    side = radius.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "r", F.coalesce("label", "c").alias("label"))
+    side = centres.drop("label").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     near = (second.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.c")).join(side.alias("y"), F.col("p.b") == F.col("y.c"))
             .where((F.col("x.label") != F.col("y.label")) & (F.col("x.r") + F.col("y.r") > 0) & (F.col("p.d") <= _reach("x", "y")))
             .select("p.a", "p.b", "p.d"))
-    near = materialize(near, "jaccard-near")
-    info = reps.select("rep", "n", "cells")
-    one = open_.join(near, open_.c == near.a).select("sig", "a", "b", "d", "rep", "r").join(info, "rep").alias("l")
-    two = open_.join(near, open_.c == near.b).select("sig", "a", "b", "rep", "r").join(info, "rep").alias("r")
+    near = scratch.write(near, "near")
+    members = scratch.write(open_.select("rep", "c", "r").distinct().join(reps.select("rep", "n", *SKETCH), "rep"), "members")
+
+    def close(own: str, other: str) -> DataFrame:
+        """Members of the centres ``own`` that can link with one of the ball of ``other``."""
+        far = near.join(centres.select(F.col("c").alias(other), "n", *SKETCH, "r"), other)
+        found = members.alias("m").join(far.alias("o"), (F.col("m.c") == F.col(f"o.{own}")) & (F.col("o.d") <= _reach("m", "o"))
+                                        & _possible("m", "o", F.col("o.r") + NEAR))
+        return scratch.write(found.select("m.*", "o.a", "o.b", "o.d").drop("c"), f"close-{own}")
+
+    sigs = open_.select("sig", "rep")
+    one, two = sigs.join(close("a", "b"), "rep").alias("l"), sigs.join(close("b", "a"), "rep").alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("sig", "a", "b")]
     both = one.join(two, [*same, F.col("l.d") <= _reach("l", "r"), _possible("l", "r", F.lit(NEAR))])
     return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id, n, k1, k2, rep, label) of every row, and (label, low) of
     every component: its smallest doc_id."""
-    keys = materialize(_rows(docs).mapInArrow(_profile, "doc_id long, rid long, n int, k1 long, k2 long, cells array<tinyint>"),
-                       "jaccard-keys")
+    profile = f"doc_id long, rid long, n int, k1 long, k2 long, {', '.join(f'{c} long' for c in SKETCH)}"
+    keys = scratch.write(_rows(docs).mapInArrow(_profile, profile), "profiles")
     reps = keys.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("low"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+        F.min("doc_id").alias("low"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
     # Written once, so that the numbers stay.
-    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-reps")
+    reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    keys = scratch.write(keys.drop(*SKETCH), "keys")
+    scratch.drop("profiles")
     sigs = _of_reps(docs, reps.where("n >= 4"), _sign, "sig long, rep long")
     group = Window.partitionBy("sig")
-    hits = materialize(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
-                       .where("low < high").select("sig", "rep", "low"), "jaccard-hits")
+    hits = scratch.write(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
+                         .where("low < high").select("sig", "rep", "low"), "hits")
 
-    first = materialize(_measure(_first_pairs(hits, reps), docs, reps), "jaccard-first")
-    label = connected(_links(first), "jaccard-cc")
+    first = _measure(_first_pairs(hits, reps), docs, reps, scratch, "first")
+    label = connected(_links(first), scratch, "parts-1")
     ball = first.where("linked").select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("d").alias("r"))
     placed = (reps.select("rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(ball, "rep", "left")
               .select("rep", F.coalesce("label", "rep").alias("label"), F.coalesce("c", "rep").alias("c"),
                       F.coalesce("r", F.lit(0.0)).alias("r")))
     open_ = hits.select("sig", "rep").join(placed, "rep")
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    open_ = materialize(open_.join(mixed, "sig").select("sig", "rep", "label", "c", "r"), "jaccard-open")
-    radius, pairs = _centre_pairs(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), reps)
-    second = materialize(_measure(pairs, docs, reps), "jaccard-second")
+    open_ = scratch.write(open_.join(mixed, "sig").select("sig", "rep", "label", "c", "r"), "open")
+    scratch.drop("hits")
+    centres = scratch.write(_centres(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), reps), "centres")
+    second = _measure(_centre_pairs(open_, centres, scratch), docs, reps, scratch, "second")
+    scratch.drop("heads")
     links = _links(first).union(_links(second))
-    label = connected(links, "jaccard-cc")
-    third = materialize(_measure(_member_pairs(open_, second, radius, label, reps), docs, reps), "jaccard-third")
-    label = connected(links.union(_links(third)), "jaccard-cc")
-    placed = materialize(reps.select("k1", "k2", "rep", "low").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-                         .select("k1", "k2", "rep", "low", F.coalesce("label", "rep").alias("label")), "jaccard-placed")
+    label = connected(links, scratch, "parts-2")
+    third = _measure(_member_pairs(open_, second, centres, label, reps, scratch), docs, reps, scratch, "third")
+    scratch.drop("open", "centres", "near", "members", "close-a", "close-b")
+    label = connected(links.union(_links(third)), scratch, "parts-3")
+    placed = scratch.write(reps.select("k1", "k2", "rep", "low").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+                           .select("k1", "k2", "rep", "low", F.coalesce("label", "rep").alias("label")), "placed")
+    scratch.drop("reps", "first", "second", "third")
     rows = keys.select("rid", "doc_id", "n", "k1", "k2").join(placed.select("k1", "k2", "rep", "label"), ["k1", "k2"], "left")
     return rows, placed.groupBy("label").agg(F.min("low").alias("low"))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows, lows = _classes(docs)
+    rows, lows = _classes(docs, Scratch(docs.sparkSession, "jaccard"))
     return rows.join(lows, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
@@ -308,9 +340,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each component: one with the smallest doc_id.
     A text without words is a component of its own."""
-    rows, _ = _classes(docs)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows, _ = _classes(docs, scratch)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
     kept = rows.groupBy(F.col("label"), F.when(F.col("label").isNull(), F.col("rid")).alias("alone")).agg(best).select("best.rid")
-    kept = materialize(kept, "jaccard-kept")
+    kept = scratch.write(kept, "kept")
+    scratch.drop("keys", "placed")
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("rid", F.xxhash64("doc_id", "text"))
     return own.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select(*DOCUMENT_COLUMNS)
