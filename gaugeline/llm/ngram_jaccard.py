@@ -26,7 +26,7 @@ representative that it shares a signature with, linear in the input, and only
 where sizes and sketches allow a link: ``64 * MARKS`` bits that say of which
 cells a set has an odd number of features, so that differing bits are differing
 elements.  One that
-links joins that centre's ball, and others are balls of themselves.  Jaccard
+links within ``BALL`` joins that centre's ball, and others are balls of themselves.  Jaccard
 distance is a metric, so members of two balls can only link if the centres are
 within 0.2 plus both radii.  Round two therefore compares centres whose
 components differ, where the sketches allow it; round three compares members, only
@@ -66,6 +66,7 @@ SEEDS = 6       # domain partitionings before empty subsets are used
 MARKS = 8       # words of 64 cells of the sketch that bounds a distance from below
 NEAR = 0.2 + 1e-9
 SKETCH = [f"m{i}" for i in range(MARKS)]
+BALL = 0.1      # farthest that a linked representative is a member of its centre's ball
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -306,7 +307,7 @@ def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     first = _measure(_first_pairs(hits, reps), docs, reps, scratch, "first")
     label = connected(_links(first), scratch, "parts-1")
-    ball = first.where("linked").select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("d").alias("r"))
+    ball = first.where(F.col("linked") & (F.col("d") <= BALL)).select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("d").alias("r"))
     placed = (reps.select("rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(ball, "rep", "left")
               .select("rep", F.coalesce("label", "rep").alias("label"), F.coalesce("c", "rep").alias("c"),
                       F.coalesce("r", F.lit(0.0)).alias("r")))

@@ -85,3 +85,24 @@ def test_members_link_across_balls(spark):
     docs = spark.createDataFrame([(k, texts[j], "en", "s", 0) for k, j in enumerate(order)], COLUMNS)
     got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_classes(docs).collect()}
     assert got == label and len(set(label.values())) < 13
+
+
+def test_search_keeps_one_small_index(spark):
+    """Nothing but the found rows stays, and the index holds frequencies, not impacts."""
+    from gaugeline.llm import topk_search
+    before = set(glob.glob(f"{common.checkpoint_root(spark)}/llm/search-*/*"))
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(20)), "en", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = topk_search.top_k(docs, docs.where("doc_id % 100 = 0"), shard_rows=64).collect()
+    assert {r.query_id for r in got} == {0, 100, 200} and len(got) == 30
+    assert [os.path.basename(x) for x in set(glob.glob(f"{common.checkpoint_root(spark)}/llm/search-*/*")) - before] == ["found"]
+    assert "impacts" not in topk_search.INDEX
+
+
+def test_collocations_remove_used_tables(spark):
+    from gaugeline.llm import collocations
+    before = set(glob.glob(f"{common.checkpoint_root(spark)}/llm/collocations-*/*"))
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta epsilon zeta", "en", "s", 0) for i in range(40)], COLUMNS)
+    assert collocations.mine_collocations(docs, sketch_bytes=1 << 16).count() > 0
+    left = {os.path.basename(x) for x in set(glob.glob(f"{common.checkpoint_root(spark)}/llm/collocations-*/*")) - before}
+    assert len(left) == 4 and left >= {"vocabulary", "unitigs", "phrases"}
