@@ -24,6 +24,7 @@ then by the phrase's bytes; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeline.llm.bitmaps import merged, segments
-from gaugeline.llm.common import materialize
+from gaugeline.llm.common import Scratch
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -172,17 +173,17 @@ def _first(gram: str, k: int) -> Column:
     return F.substring_index(gram, " ", k)
 
 
-def flow_counts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flow_counts(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Counts of the nodes (three words) and of pairs, from flow and piece ends."""
     nodes = (edges.where("size >= 3").groupBy("lang", _first("gram", 3).alias("gram")).agg(F.sum("n").alias("n")))
-    nodes = materialize(nodes, "collocations-nodes")
+    nodes = scratch.write(nodes, "nodes")
     ends = edges.where("size = 2").select("lang", "gram", "n")
     pairs = (nodes.select("lang", _first("gram", 2).alias("gram"), "n").union(ends)
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     return nodes, pairs
 
 
-def unary_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def unary_paths(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(lang, path, n): maximal chains of edges in which all flow of an edge
     goes into the next.  ``edges`` and ``nodes`` are (lang, gram, n) with all of
     the edges of a weight that any of them has through its nodes."""
@@ -196,8 +197,10 @@ def unary_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         "lang", "gram", "n", F.coalesce("before", "gram").alias("head"), F.col("before").isNotNull().cast("int").alias("steps"))
     # Pieces end, so no chain is a ring, and doubling ends after log2 of the
     # longest chain's length.
-    while True:
-        cur = materialize(cur, "collocations-paths")
+    # Each round's table replaces the one before.
+    for n in count():
+        cur = scratch.write(cur, f"paths-{n}")
+        scratch.drop(f"paths-{n - 1}")
         up = cur.where("steps > 0").select("lang", F.col("gram").alias("head"), F.col("head").alias("higher"), F.col("steps").alias("more"))
         if cur.where("steps > 0").join(up, ["lang", "head"], "left_semi").isEmpty():
             break
@@ -219,19 +222,22 @@ def phrase_graph(docs: DataFrame, min_count: int = 30, sketch_bytes: int = 1 <<
     """``words`` (lang, word, n), ``phrases`` (lang, phrase, size, a) of two to
     four words with a >= min_count, and ``paths`` (lang, path, n)."""
     docs = docs.select("text", "lang")
-    first = materialize(count_words(docs, sketch_bytes), "collocations-words")
+    scratch = Scratch(docs.sparkSession, "collocations")
+    first = scratch.write(count_words(docs, sketch_bytes), "words")
     sketch = merged(first.where("segment is not null"), sketch_bytes, add_counts)
     words = (first.where("segment is null").groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n")))
-    words = materialize(words, "collocations-vocabulary")
-    edges = materialize(count_edges(docs, sketch, min_count), "collocations-edges")
-    nodes, pairs = flow_counts(edges)
+    words = scratch.write(words, "vocabulary")
+    scratch.drop("words")
+    edges = scratch.write(count_edges(docs, sketch, min_count), "edges")
+    nodes, pairs = flow_counts(edges, scratch)
     often = F.col("n") >= min_count
-    paths = materialize(unary_paths(edges.where("size = 4").where(often).select("lang", "gram", "n"), nodes.where(often)),
-                        "collocations-unitigs")
+    paths = scratch.write(unary_paths(edges.where("size = 4").where(often).select("lang", "gram", "n"), nodes.where(often), scratch),
+                          "unitigs")
     sized = [df.where(often).select("lang", F.col("gram").alias("phrase"), F.lit(k).alias("size"), F.col("n").alias("a"))
              for k, df in ((2, pairs), (3, nodes), (4, windows(paths)))]
-    return {"words": words, "paths": paths,
-            "phrases": materialize(sized[0].union(sized[1]).union(sized[2]), "collocations-phrases")}
+    phrases = scratch.write(sized[0].union(sized[1]).union(sized[2]), "phrases")
+    scratch.drop("edges", "nodes")
+    return {"words": words, "paths": paths, "phrases": phrases}
 
 
 def weakest_cuts(phrases: DataFrame, words: DataFrame, min_count: int) -> DataFrame:
