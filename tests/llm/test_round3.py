@@ -13,8 +13,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def _written(spark, name):
-    root = common.checkpoint_root(spark)
-    return sorted(os.path.basename(p) for p in glob.glob(f"{root}/llm/{name}-*/*"))
+    return set(glob.glob(f"{common.checkpoint_root(spark)}/llm/{name}-*/*"))
 
 
 def _shuffle_files(spark):
@@ -41,10 +40,10 @@ def test_written_tables_leave_no_shuffle_files(spark, way):
 def test_jaccard_removes_used_tables(spark):
     texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"]
     rows = [(i, t + " more" * (i // 6), "en", "s", 0) for i, t in enumerate(texts * 3)]
-    before = set(_written(spark, "jaccard"))
+    before = _written(spark, "jaccard")
     docs = spark.createDataFrame(rows, COLUMNS)
     assert {r.component_id for r in ngram_jaccard.jaccard_classes(docs).collect()} == set(range(6))
-    left = set(_written(spark, "jaccard")) - before
+    left = {os.path.basename(x) for x in _written(spark, "jaccard") - before}
     assert {x.rstrip("0123456789-") for x in left} <= {"keys", "placed", "parts"}
     assert len([x for x in left if x.startswith("parts")]) == 3
 
@@ -90,19 +89,19 @@ def test_members_link_across_balls(spark):
 def test_search_keeps_one_small_index(spark):
     """Nothing but the found rows stays, and the index holds frequencies, not impacts."""
     from gaugeline.llm import topk_search
-    before = set(glob.glob(f"{common.checkpoint_root(spark)}/llm/search-*/*"))
+    before = _written(spark, "search")
     rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(20)), "en", "s", 0) for i in range(300)]
     docs = spark.createDataFrame(rows, COLUMNS)
     got = topk_search.top_k(docs, docs.where("doc_id % 100 = 0"), shard_rows=64).collect()
     assert {r.query_id for r in got} == {0, 100, 200} and len(got) == 30
-    assert [os.path.basename(x) for x in set(glob.glob(f"{common.checkpoint_root(spark)}/llm/search-*/*")) - before] == ["found"]
+    assert [os.path.basename(x) for x in _written(spark, "search") - before] == ["found"]
     assert "impacts" not in topk_search.INDEX
 
 
 def test_collocations_remove_used_tables(spark):
     from gaugeline.llm import collocations
-    before = set(glob.glob(f"{common.checkpoint_root(spark)}/llm/collocations-*/*"))
+    before = _written(spark, "collocations")
     docs = spark.createDataFrame([(i, "alpha beta gamma delta epsilon zeta", "en", "s", 0) for i in range(40)], COLUMNS)
     assert collocations.mine_collocations(docs, sketch_bytes=1 << 16).count() > 0
-    left = {os.path.basename(x) for x in set(glob.glob(f"{common.checkpoint_root(spark)}/llm/collocations-*/*")) - before}
+    left = {os.path.basename(x) for x in _written(spark, "collocations") - before}
     assert len(left) == 4 and left >= {"vocabulary", "unitigs", "phrases"}
