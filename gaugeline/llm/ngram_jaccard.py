@@ -29,7 +29,11 @@ elements.  One that
 links within ``BALL`` joins that centre's ball, and others are balls of themselves.  Jaccard
 distance is a metric, so members of two balls can only link if the centres are
 within 0.2 plus both radii.  Round two therefore compares centres whose
-components differ, where the sketches allow it; round three compares members, only
+components differ, where the sketches allow it.  All pairs of a signature's centres would grow with
+the square of their number, so where a signature has ``HOT`` centres or more, each is first
+compared, ``STARS`` times under orders of their own, with the first centre of another component
+only; what links becomes one component, and all pairs are taken of the components that are left.
+Round three compares members, only
 where the centres are near enough, the components still differ, each member's
 sketch allows it to be near the other's centre, and their sketches allow a link.
 Members are judged against the other centre before their signatures are fetched.
@@ -51,6 +55,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -67,6 +72,8 @@ MARKS = 8       # words of 64 cells of the sketch that bounds a distance from be
 NEAR = 0.2 + 1e-9
 SKETCH = [f"m{i}" for i in range(MARKS)]
 BALL = 0.1      # farthest that a linked representative is a member of its centre's ball
+HOT = 8         # centres of a signature that are first compared with one another's first only
+STARS = 4       # rounds of these comparisons
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -257,12 +264,63 @@ def _centres(open_: DataFrame, balls: DataFrame, reps: DataFrame) -> DataFrame:
         "c", "n", *SKETCH, "label", F.coalesce("radius", F.lit(0.0)).alias("r"))
 
 
-def _centre_pairs(open_: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs of open centres to compare."""
-    heads = scratch.write(open_.select("sig", "c").distinct().join(centres, "c"), "heads")
-    return (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
-                                  & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
-            .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
+def _mixed(heads: DataFrame, centres: DataFrame) -> DataFrame:
+    """(sig, c, label) of the signatures whose centres are of several components."""
+    heads = heads.select("sig", "c").join(centres.select("c", "label"), "c")
+    mixed = heads.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    return heads.join(mixed, "sig").select("sig", "c", "label")
+
+
+def _star_pairs(heads: DataFrame, centres: DataFrame, turn: int) -> DataFrame:
+    """Each centre of ``heads`` with the first centre of another component that it
+    shares a signature with, in the order of this turn: linear in ``heads``."""
+    group = Window.partitionBy("sig")
+    order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "label")
+    found = heads.withColumn("one", F.min(order).over(group))
+    found = found.withColumn("two", F.min(F.when(F.col("label") != F.col("one.label"), order)).over(group))
+    other = F.when(F.col("label") != F.col("one.label"), F.col("one.c")).otherwise(F.col("two.c"))
+    pairs = found.select("c", other.alias("o")).where("o is not null").select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))
+    pairs = pairs.distinct().join(centres.alias("l"), F.col("a") == F.col("l.c")).join(centres.alias("r"), F.col("b") == F.col("r.c"))
+    return pairs.where(_possible("l", "r", _reach("l", "r"))).select("a", "b")
+
+
+def _merged(centres: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``centres`` with the components that ``links`` make of theirs."""
+    label = centres.select("c", "label")
+    edges = links.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    parts = connected(edges, scratch, f"{name}-parts").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return scratch.write(centres.join(parts, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), f"{name}-centres")
+
+
+def _compare_centres(open_: DataFrame, centres: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The measured pairs of open centres: all that can matter for the components."""
+    heads = scratch.write(open_.select("sig", "c").distinct(), "heads")
+    hot = heads.groupBy("sig").count().where(F.col("count") >= HOT).select("sig")
+    hot = scratch.write(heads.join(hot, "sig", "left_semi").join(centres.select("c", "label"), "c"), "hot-0")
+    measured: list[DataFrame] = []
+
+    def new(pairs: DataFrame) -> DataFrame:
+        for known in measured:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        return pairs
+
+    for turn in range(STARS):
+        if hot.isEmpty():
+            break
+        found = _measure(new(_star_pairs(hot, centres, turn)), docs, reps, scratch, f"star-{turn}")
+        measured.append(found)
+        if _links(found).isEmpty():
+            break
+        centres = _merged(centres, _links(found), scratch, f"star-{turn}")
+        hot = scratch.write(_mixed(hot, centres), f"hot-{turn + 1}")
+    heads = scratch.write(_mixed(heads, centres).join(centres.drop("label"), "c"), "heads-left")
+    scratch.drop("heads", *[f"hot-{i}" for i in range(STARS + 1)])
+    pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
+                                   & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
+             .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
+    measured.append(_measure(new(pairs), docs, reps, scratch, "second"))
+    scratch.drop("heads-left", *[f"star-{i}-centres" for i in range(STARS)])
+    return reduce(DataFrame.union, measured)
 
 
 def _member_pairs(open_: DataFrame, second: DataFrame, centres: DataFrame, label: DataFrame, reps: DataFrame,
@@ -316,8 +374,7 @@ def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     open_ = scratch.write(open_.join(mixed, "sig").select("sig", "rep", "label", "c", "r"), "open")
     scratch.drop("hits")
     centres = scratch.write(_centres(open_, ball.groupBy("c").agg(F.max("r").alias("radius")), reps), "centres")
-    second = _measure(_centre_pairs(open_, centres, scratch), docs, reps, scratch, "second")
-    scratch.drop("heads")
+    second = _compare_centres(open_, centres, docs, reps, scratch)
     links = _links(first).union(_links(second))
     label = connected(links, scratch, "parts-2")
     third = _measure(_member_pairs(open_, second, centres, label, reps, scratch), docs, reps, scratch, "third")
@@ -325,7 +382,7 @@ def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     label = connected(links.union(_links(third)), scratch, "parts-3")
     placed = scratch.write(reps.select("k1", "k2", "rep", "low").join(label.withColumnRenamed("node", "rep"), "rep", "left")
                            .select("k1", "k2", "rep", "low", F.coalesce("label", "rep").alias("label")), "placed")
-    scratch.drop("reps", "first", "second", "third")
+    scratch.drop("reps", "first", "second", "third", *[f"star-{i}" for i in range(STARS)])
     rows = keys.select("rid", "doc_id", "n", "k1", "k2").join(placed.select("k1", "k2", "rep", "label"), ["k1", "k2"], "left")
     return rows, placed.groupBy("label").agg(F.min("low").alias("low"))
 

@@ -105,3 +105,36 @@ def test_collocations_remove_used_tables(spark):
     assert collocations.mine_collocations(docs, sketch_bytes=1 << 16).count() > 0
     left = {os.path.basename(x) for x in _written(spark, "collocations") - before}
     assert len(left) == 4 and left >= {"vocabulary", "unitigs", "phrases"}
+
+
+def test_jaccard_pairs_of_a_near_copy_group_grow_linearly(spark, monkeypatch):
+    """Copies with two or three words of their own: those with three link by those with two only, and the group is one component."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 240)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for at in rng.choice(np.arange(5, 235, 5), 2 if i % 6 == 5 else 3, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    measured, measure = [], ngram_jaccard._measure
+
+    def counted(pairs, docs, reps, scratch, name):
+        found = measure(pairs, docs, reps, scratch, name)
+        measured.append((name, found.count(), found.where("linked").count()))
+        return found
+
+    monkeypatch.setattr(ngram_jaccard, "_measure", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_classes(docs).collect()}
+    sets = [set(ngram_jaccard.shingle_set(t.encode()).tolist()) for _, t in rows]
+    label = list(range(80))
+    for a in range(80):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 80 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert got == dict(enumerate(label))
+    # All pairs are 3,160; each copy is measured with a few others.
+    assert sum(n for _, n, _ in measured) < 80 * 14, measured
