@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.llm import common, ngram_jaccard
+from gaugeline.llm import common, ngram_jaccard, substring_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -138,3 +138,25 @@ def test_jaccard_pairs_of_a_near_copy_group_grow_linearly(spark, monkeypatch):
     assert got == dict(enumerate(label))
     # All pairs are 3,160; each copy is measured with a few others.
     assert sum(n for _, n, _ in measured) < 80 * 14, measured
+
+
+def test_passages_of_over_50_words_go_whatever_their_bytes(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"{x:x}" for x in range(16, 4096)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    short, fifty = say(55), say(50)
+    assert len(short) < 300
+    texts = [f"{say(40)} {short} {say(40)}", f"{say(30)}\n{short.replace(' ', chr(10))} {say(30)}", f"{say(20)} {fifty} {say(30)}",
+             f"{say(25)} {fifty} {say(30)}", say(120), f"{short} {say(7)} {short}", ""]
+    # Runs that overlap, and those that blocks and single strings have to tell apart.
+    long_ = say(140).split()
+    texts += [" ".join([say(9), *long_[a:b], say(9)]) for a, b in ((0, 60), (8, 70), (17, 71), (40, 101), (88, 140), (0, 50))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(spark.createDataFrame(rows, COLUMNS)).collect()}
+    words, seen = [t.split() for t in texts], {}
+    for w in words:
+        for k in range(len(w) - 50):
+            seen[tuple(w[k:k + 51])] = seen.get(tuple(w[k:k + 51]), 0) + 1
+    for i, w in enumerate(words):
+        gone = {j for k in range(len(w) - 50) if seen[tuple(w[k:k + 51])] > 1 for j in range(k, k + 51)}
+        assert got.get(i, "").split() == [x for j, x in enumerate(w) if j not in gone], i
