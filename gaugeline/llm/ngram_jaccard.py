@@ -39,6 +39,12 @@ sketch allows it to be near the other's centre, and their sketches allow a link.
 Members are judged against the other centre before their signatures are fetched.
 The bounds are exact, so no link is lost, and a large group meets others by its centre.
 
+Signatures are shuffled packed, as those of one task and bucket together: 32 bits of each and the
+steps between the representatives' numbers.  Two that differ in other bits only then count as one, which
+adds pairs and takes none.  Before sets are fetched for a pair, its wide sketches are compared, with twice
+to four times as many cells as the set has features.  Sets are carried to their pairs in
+as many passes as keep them within ``CARRIED`` times the sets.
+
 Tables are removed when a later one holds what is needed of them.
 
 Classes have numbers of their own, and a representative's row is found by a
@@ -54,6 +60,7 @@ numbers count as null; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -74,15 +81,23 @@ SKETCH = [f"m{i}" for i in range(MARKS)]
 BALL = 0.1      # farthest that a linked representative is a member of its centre's ball
 HOT = 8         # centres of a signature that are first compared with one another's first only
 STARS = 4       # rounds of these comparisons
+BUCKET = 400_000     # features whose signatures make up a bucket
+PACKED = 1 << 21     # signatures that are packed at once
+CARRIED = 2          # times the sets of the pairs that a pass of measuring may carry
+LEAST = 1 << 24      # features that any pass may carry
+FEW = 1 << 15        # pairs whose representatives are broadcast to the texts
 SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     """splitmix64 of the feature hashes."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -96,7 +111,8 @@ def shingle_set(text: bytes) -> np.ndarray:
     h = np.full(n - size + 1, size, np.uint64)
     for j in range(size):
         h = _mix(h ^ w[j:n - size + 1 + j], j)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -110,6 +126,25 @@ def set_marks(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def set_wide(s: np.ndarray) -> bytes:
+    """The same with at least two cells for each feature; empty where ``set_marks`` has as many."""
+    if len(s) <= 32 * MARKS:
+        return b""
+    cells = 1 << (2 * len(s) - 1).bit_length()
+    odd = np.bincount((s % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_apart(one: bytes, two: bytes) -> int:
+    """No more than the number of differing features: cells modulo the smaller power of two are compared."""
+    if not (one and two):
+        return 0
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (one, two)), key=len)
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _bands(size: int, num: int, den: int) -> tuple[int, int, int]:
     """(band, upper size of the band, upper size of the next one).
 
@@ -152,7 +187,7 @@ def set_signatures(s: np.ndarray, num: int = 4, den: int = 5) -> np.ndarray:
                 out.append(sig if last else sig[filled])
             if n1 - need > bad.sum():
                 break
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -164,15 +199,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, key and sketch of every row's set."""
     for b in batches:
-        n, keys, marks = [], [], np.zeros((b.num_rows, MARKS), np.int64)
+        n, keys, marks, wide = [], [], np.zeros((b.num_rows, MARKS), np.int64), []
         for i, t in enumerate(b.column("text")):
             s = shingle_set(t.as_py() or b"")
             n.append(len(s))
             keys.append(set_key(s))
             marks[i] = set_marks(s)
+            wide.append(set_wide(s))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("rid"), pa.array(n, pa.int32()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)],
-             *[pa.array(marks[:, j]) for j in range(MARKS)]], ["doc_id", "rid", "n", "k1", "k2", *SKETCH])
+             *[pa.array(marks[:, j]) for j in range(MARKS)], pa.array(wide, pa.binary())], ["doc_id", "rid", "n", "k1", "k2", *SKETCH, "wide"])
 
 
 def _wanted(b: pa.RecordBatch, done: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,17 +222,75 @@ def _wanted(b: pa.RecordBatch, done: set[int]) -> Iterator[tuple[int, np.ndarray
                 yield rep, s
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(reps: np.ndarray) -> bytes:
+    """Ascending numbers as steps of two bytes, low bytes first; then the large steps."""
+    step = np.diff(reps, prepend=0)
+    code = np.minimum(step, 0xFFFF).astype("<u2")
+    return code.view(np.uint8).reshape(-1, 2).T.tobytes() + step[code == 0xFFFF].astype("<i8").tobytes()
+
+
+def _from_steps(data: bytes, n: int) -> np.ndarray:
+    code = np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n).reshape(2, n).T).view("<u2").ravel()
+    step = code.astype(np.int64)
+    step[code == 0xFFFF] = np.frombuffer(data, "<i8", offset=2 * n)
+    return np.cumsum(step)
+
+
+def _packed(reps: list[int], sigs: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: the lower halves of the signatures and their representatives."""
+    order = np.argsort(reps)
+    rep = np.repeat(np.array(reps, np.int64)[order], [len(sigs[i]) for i in order])
+    sig = np.concatenate([sigs[i] for i in order])
+    bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    rep, low, bucket = rep[by], sig[by].astype("<u4"), bucket[by]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+    parts = list(zip(edge[:-1], edge[1:]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()),
+         pa.array([_steps(rep[a:b]) for a, b in parts], pa.binary())], ["bucket", "sigs", "reps"])
+
+
+def _sign(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     done: set[int] = set()
+    reps, sigs, held = [], [], 0
     for b in batches:
-        for at in range(0, b.num_rows, 64):
-            own, sigs = [], []
-            for rep, s in _wanted(b.slice(at, 64), done):
-                g = set_signatures(s)
-                own.append(np.full(len(g), rep, np.int64))
-                sigs.append(g.view(np.int64))
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(own))], ["sig", "rep"])
+        for rep, s in _wanted(b, done):
+            reps.append(rep)
+            sigs.append(set_signatures(s))
+            held += len(sigs[-1])
+            if held >= PACKED:
+                yield from _packed(reps, sigs, buckets)
+                reps, sigs, held = [], [], 0
+    if held:
+        yield from _packed(reps, sigs, buckets)
+
+
+def _met(bucket: int, sigs: list[np.ndarray], reps: list[np.ndarray]) -> pa.RecordBatch:
+    """The signatures of a bucket that several representatives have, and the smallest of these."""
+    sig, rep = np.concatenate(sigs), np.concatenate(reps)
+    by = np.argsort(sig, kind="stable")
+    sig, rep = sig[by], rep[by]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    low, size = np.minimum.reduceat(rep, first), np.diff(np.append(first, len(sig)))
+    kept = np.repeat(low < np.maximum.reduceat(rep, first), size)
+    sig = sig[kept].astype(np.int64) | (bucket << 32)
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(rep[kept]), pa.array(np.repeat(low, size)[kept])], ["sig", "rep", "low"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_met`` of each bucket; the rows of one come together."""
+    number, sigs, reps = None, [], []
+    for b in batches:
+        for bucket, sig, rep in zip(b.column("bucket").to_pylist(), b.column("sigs"), b.column("reps")):
+            if sigs and bucket != number:
+                yield _met(number, sigs, reps)
+                sigs, reps = [], []
+            number = bucket
+            sigs.append(np.frombuffer(sig.as_py(), "<u4"))
+            reps.append(_from_steps(rep.as_py(), len(sigs[-1])))
+    if sigs:
+        yield _met(number, sigs, reps)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,30 +299,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 256):
             found = list(_wanted(b.slice(at, 256), done))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()),
-                                                  pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["rep", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
+                                                  pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["rep", "n", "s"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose wide sketches allow a distance within ``reach``."""
+    for b in batches:
+        apart = np.array([wide_apart(x.as_py(), y.as_py()) for x, y in zip(b.column("wa"), b.column("wb"))], np.int64)
+        n, m, reach = (b.column(c).to_numpy() for c in ("n", "m", "reach"))
+        yield b.select(["a", "b", "n"]).filter(pa.array(apart * (2 - reach) <= reach * (n + m) + 1e-6))
 
 
 def _of_reps(docs: DataFrame, reps: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run`` over the texts of ``reps`` (rep, rid, k1, k2)."""
-    rows = _rows(docs).select("rid", "text").join(reps.select("rep", "rid", "k1", "k2"), "rid")
+    rows = _rows(docs).select("rid", "text").join(reps, "rid")
     return rows.select("rep", "k1", "k2", "text").mapInArrow(run, schema)
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``pairs`` (a, b) with the Jaccard distance ``d`` and ``linked``."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    """``pairs`` (a, b, reach) that can be within their reach, with the Jaccard distance ``d`` and ``linked``."""
+    side = lambda a, n, w: reps.select(F.col("rep").alias(a), F.col("n").cast("long").alias(n), F.col("wide").alias(w))
+    pairs = pairs.select("a", "b", F.col("reach").cast("double").alias("reach")).join(side("a", "n", "wa"), "a").join(side("b", "m", "wb"), "b")
+    pairs = scratch.write(pairs.mapInArrow(_near, "a long, b long, n long"), f"{name}-pairs")
+    count, carried = pairs.agg(F.count("*"), F.sum("n")).first()
+    asked = reps.select("rep", "rid", "k1", "k2").join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi")
     # Sets are made from the texts where they are needed; they are larger than the texts.
-    sets = scratch.write(_of_reps(docs, reps.join(ids, "rep", "left_semi"), _sets, "rep long, s array<long>").dropDuplicates(["rep"]),
-                         f"{name}-sets")
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    out = scratch.write(both.select("a", "b", (1 - F.col("n") / (F.col("total") - F.col("n"))).alias("d"),
-                                    (F.col("n") * 100 >= (F.col("total") - F.col("n")) * 80).alias("linked")), name)
+    sets = _of_reps(docs, F.broadcast(asked) if count <= FEW else asked, _sets, "rep long, n long, s array<long>")
+    sets = scratch.write(sets.dropDuplicates(["rep"]), f"{name}-sets")
+    own = sets.agg(F.sum("n")).first()[0] or 0
+    passes = max(1, math.ceil((carried or 0) / max(LEAST, CARRIED * own)))
+    out = []
+    for i in range(passes):
+        some = pairs.drop("n").where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == i) if passes > 1 else pairs.drop("n")
+        left = some.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+        out.append(scratch.write(both.select("a", "b", (1 - F.col("n") / (F.col("total") - F.col("n"))).alias("d"),
+                                             (F.col("n") * 100 >= (F.col("total") - F.col("n")) * 80).alias("linked")), f"{name}/{i}"))
     scratch.drop(f"{name}-pairs", f"{name}-sets")
-    return out
+    return reduce(DataFrame.union, out)
 
 
 def _links(measured: DataFrame) -> DataFrame:
@@ -254,7 +364,7 @@ def _first_pairs(hits: DataFrame, reps: DataFrame) -> DataFrame:
     star = hits.where("low < rep").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
     info = reps.select("rep", "n", *SKETCH)
     both = star.join(info.alias("l"), F.col("a") == F.col("l.rep")).join(info.alias("r"), F.col("b") == F.col("r.rep"))
-    return both.where(_possible("l", "r", F.lit(NEAR))).select("a", "b")
+    return both.where(_possible("l", "r", F.lit(NEAR))).select("a", "b", F.lit(NEAR).alias("reach"))
 
 
 def _centres(open_: DataFrame, balls: DataFrame, reps: DataFrame) -> DataFrame:
@@ -281,7 +391,7 @@ def _star_pairs(heads: DataFrame, centres: DataFrame, turn: int) -> DataFrame:
     other = F.when(F.col("label") != F.col("one.label"), F.col("one.c")).otherwise(F.col("two.c"))
     pairs = found.select("c", other.alias("o")).where("o is not null").select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))
     pairs = pairs.distinct().join(centres.alias("l"), F.col("a") == F.col("l.c")).join(centres.alias("r"), F.col("b") == F.col("r.c"))
-    return pairs.where(_possible("l", "r", _reach("l", "r"))).select("a", "b")
+    return pairs.where(_possible("l", "r", _reach("l", "r"))).select("a", "b", _reach("l", "r").alias("reach"))
 
 
 def _merged(centres: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -317,7 +427,7 @@ def _compare_centres(open_: DataFrame, centres: DataFrame, docs: DataFrame, reps
     scratch.drop("heads", *[f"hot-{i}" for i in range(STARS + 1)])
     pairs = (heads.alias("l").join(heads.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.label") != F.col("r.label"))
                                    & (F.col("l.c") < F.col("r.c")) & _possible("l", "r", _reach("l", "r")))
-             .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct())
+             .select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), _reach("l", "r").alias("reach")).distinct())
     measured.append(_measure(new(pairs), docs, reps, scratch, "second"))
     scratch.drop("heads-left", *[f"star-{i}-centres" for i in range(STARS)])
     return reduce(DataFrame.union, measured)
@@ -344,24 +454,24 @@ def _member_pairs(open_: DataFrame, second: DataFrame, centres: DataFrame, label
     one, two = sigs.join(close("a", "b"), "rep").alias("l"), sigs.join(close("b", "a"), "rep").alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("sig", "a", "b")]
     both = one.join(two, [*same, F.col("l.d") <= _reach("l", "r"), _possible("l", "r", F.lit(NEAR))])
-    return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"), F.lit(NEAR).alias("reach")).distinct()
 
 
 def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id, n, k1, k2, rep, label) of every row, and (label, low) of
     every component: its smallest doc_id."""
-    profile = f"doc_id long, rid long, n int, k1 long, k2 long, {', '.join(f'{c} long' for c in SKETCH)}"
+    profile = f"doc_id long, rid long, n int, k1 long, k2 long, {', '.join(f'{c} long' for c in SKETCH)}, wide binary"
     keys = scratch.write(_rows(docs).mapInArrow(_profile, profile), "profiles")
     reps = keys.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("low"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+        F.min("doc_id").alias("low"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "wide")])
     # Written once, so that the numbers stay.
     reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    keys = scratch.write(keys.drop(*SKETCH), "keys")
+    keys = scratch.write(keys.drop(*SKETCH, "wide"), "keys")
     scratch.drop("profiles")
-    sigs = _of_reps(docs, reps.where("n >= 4"), _sign, "sig long, rep long")
-    group = Window.partitionBy("sig")
-    hits = scratch.write(sigs.select("sig", "rep", F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
-                         .where("low < high").select("sig", "rep", "low"), "hits")
+    signed = reps.where("n >= 4").select("rep", "rid", "k1", "k2", "n")
+    buckets = max(1, math.ceil((signed.agg(F.sum("n")).first()[0] or 0) / BUCKET))
+    sigs = _of_reps(docs, signed, lambda batches: _sign(batches, buckets), "bucket int, sigs binary, reps binary")
+    hits = scratch.write(sigs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig long, rep long, low long"), "hits")
 
     first = _measure(_first_pairs(hits, reps), docs, reps, scratch, "first")
     label = connected(_links(first), scratch, "parts-1")
