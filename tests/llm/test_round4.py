@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from gaugeline.llm import ngram_jaccard
+from gaugeline.llm import ngram_jaccard, topk_search
 
 
 def test_packed_signatures_meet_as_rows_do():
@@ -93,3 +93,47 @@ def test_sets_are_carried_in_passes(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard.Scratch, "write", lambda self, df, name: (parts.append(name), write(self, df, name))[1])
     assert run("several") == one
     assert len([x for x in parts if x.startswith("several/")]) == 6     # 276 sets carried, 48 at once
+
+
+def _found(spark, docs, queries, **more):
+    return {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in topk_search.top_k(docs, queries, k=4, **more).collect()}
+
+
+def test_search_in_several_rounds_and_shards(spark, monkeypatch):
+    """Neither the index nor the queries are dealt to shards by a shuffle, and what is written is one packed row a shard."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 400)) for i in range(240)] + [(None, "w1 w2 w3"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written, write = {}, topk_search.Scratch.write
+
+    def kept(self, df, name):
+        out = write(self, df, name)
+        written[name] = (out.count(), out.columns, df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(topk_search.Scratch, "write", kept)
+    one = _found(spark, docs, docs.where("doc_id % 5 = 0"))
+    assert len(one) == 48 * 4 and "rows" not in written and [x for x in written if x.startswith("found")] == ["found/0"]
+    count, columns, _ = written["index"]
+    assert count <= 3 and columns == ["n", "words", "terms", "postings", "packed"]
+    monkeypatch.setattr(topk_search, "ROUND", 200)
+    several = _found(spark, docs, docs.where("doc_id % 5 = 0"), shard_rows=9, block=2)
+    assert len([x for x in written if x.startswith("found")]) > 3 and written["index"][0] >= 26
+    assert several.keys() == one.keys()
+    assert all(several[x][0] == i and abs(several[x][1] - s) < 2e-9 for x, (i, s) in one.items())
+
+
+def test_a_task_returns_the_best_of_all_its_shards():
+    rng = np.random.default_rng(4)
+    h = [rng.integers(0, 50, 12) for _ in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "h"])
+    shards = list(topk_search._build(iter([rows]), 10))
+    terms = np.arange(0, 50, 5)
+    sent = (np.array([3, 4]), np.array([0, 6, 10]), terms, np.linspace(0.5, 2, 10))
+    run = lambda some: [r for b in topk_search._run(iter(some), sent, 5, 4, 12.0) for r in b.to_pylist()]
+    got = run(shards)
+    every = [r for s in shards for r in run([s])]
+    assert len(shards) == 10 and len(got) == 10 < len(every)
+    for q in (3, 4):
+        best = sorted(((-r["score"], r["doc_id"]) for r in every if r["query_id"] == q))[:5]
+        assert [(-r["score"], r["doc_id"]) for r in got if r["query_id"] == q] == best
