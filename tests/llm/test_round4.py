@@ -137,3 +137,14 @@ def test_a_task_returns_the_best_of_all_its_shards():
     for q in (3, 4):
         best = sorted(((-r["score"], r["doc_id"]) for r in every if r["query_id"] == q))[:5]
         assert [(-r["score"], r["doc_id"]) for r in got if r["query_id"] == q] == best
+
+
+def test_representatives_of_long_texts(spark, monkeypatch):
+    """The pipeline's second stage: only the pair that links is measured, and one row of it goes."""
+    rng = np.random.default_rng(8)
+    half, measured = _said(rng, 1200), _measured(monkeypatch)
+    texts = [" ".join(half + _said(rng, 1300)) for _ in range(8)]
+    texts.append(texts[5] + " one more")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in ngram_jaccard.keep_representatives(docs).collect()} == dict(enumerate(texts[:8]))
+    assert sum(n for _, n in measured) == 1, measured
